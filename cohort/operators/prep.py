@@ -16,10 +16,10 @@ from cohort.operators.skew import global_rank
 def class_weights(df: DataFrame, classes: Sequence, label: str = "label") -> DataFrame:
     """``N / (C * n_c)`` for every class of the dictionary; a class without rows counts as one."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    every = dictionary(df.sparkSession, classes, label).join(counts, label, "left")
-    total = every.select(label, F.coalesce("n", F.lit(0)).alias("n"))
-    size = F.coalesce(F.greatest("n", F.lit(1)), F.lit(1))
-    return total.withColumn("weight", F.expr("sum(n) over ()") / (F.lit(len(classes)) * size))
+    every = (dictionary(df.sparkSession, classes, label).join(counts, label, "left")
+             .withColumn("n", F.coalesce("n", F.lit(0))))
+    total = F.sum("n").over(Window.partitionBy())
+    return every.withColumn("weight", total / (len(classes) * F.greatest("n", F.lit(1))))
 
 
 def sample_weights(df: DataFrame, classes: Sequence, label: str = "label") -> DataFrame:

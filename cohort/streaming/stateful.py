@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,10 +27,12 @@ def streamed_breaches(requests: DataFrame, rate: float = RATE_PER_SECOND,
         if state.hasTimedOut:
             state.remove()
             return
-        counts = pd.concat([f["at"] for f in frames]).value_counts().sort_index()
+        counts = Counter()
+        for frame in frames:
+            counts.update(frame["at"].tolist())
         level = tuple(state.get) if state.exists else None
         rows = []
-        for at, n in counts.items():
+        for at, n in sorted(counts.items()):
             level, passed = admit(level, int(at), int(n), rate, burst)
             if passed < n:
                 rows.append((key[0], int(at), int(n), int(n) - passed))
