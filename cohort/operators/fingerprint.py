@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohort.functions.bits import median_print
 
@@ -24,7 +24,7 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _median_of_counts(hashes: pd.Series) -> pd.Series:
     """Count, per bit, the hashes that have it set; set the bits whose count is above median."""
     def one(values):
@@ -99,7 +99,7 @@ def phash(pixels: np.ndarray, hash_size: int = IMAGE_HASH_SIZE) -> str:
 def image_prints(images: DataFrame, hash_size: int = IMAGE_HASH_SIZE,
                  name: str = "print") -> DataFrame:
     """Add the perceptual hash of the ``image`` struct; undecodable images get NULL."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def hashed(image: pd.DataFrame) -> pd.Series:
         return pd.Series([
             phash(image_array(h, w, c, d), hash_size) if h is not None and h > 0 else None

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohort.functions.keyed import seeded_key, seeded_uniform
 from cohort.operators.catalog import dictionary
@@ -81,7 +81,7 @@ def mix_lambda(batch_id: Column, alpha: float, seed: int = 42) -> Column:
     if alpha == 1.0:
         return seeded_uniform(seed, F.lit("lambda"), batch_id)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def beta(ids: pd.Series) -> pd.Series:
         return pd.Series([np.random.default_rng([seed, int(i)]).beta(alpha, alpha) for i in ids],
                          dtype=float)

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohort.functions.keyed import hmac_sha256
 
@@ -101,7 +101,7 @@ def derive_key(password: str, salt: bytes) -> bytes:
 
 def derived_keys(salt: Column, password: str) -> Column:
     """Key of each row's salt.  A task derives a salt it has seen only once."""
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         @lru_cache(maxsize=1024)
         def key(salt_bytes: bytes) -> bytes:
