@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -89,8 +90,10 @@ def rate_breaches(requests: DataFrame, rate: float = RATE_PER_SECOND, burst: int
     """Milliseconds in which requests of a client were refused: requests and refusals.
 
     Requests are counted per client and millisecond first.  A pause long enough to drain any
-    bucket starts a new busy period, and each busy period is its own group, so a client is
-    spread over as many tasks as it has busy periods.
+    bucket starts a new busy period, and periods are dealt out one by one, so a client is spread
+    over as many tasks as it has busy periods.  Periods with no more requests than the burst
+    holds cannot refuse any and are left out.  A task walks its sorted periods row by row and
+    holds one state, however long a flood lasts.
     """
     counted = requests.groupBy(client, _millis(F.col(ts)).alias("at")).agg(
         F.count("*").alias("n"))
@@ -100,18 +103,25 @@ def rate_breaches(requests: DataFrame, rate: float = RATE_PER_SECOND, burst: int
     opens = F.when(F.col("_previous").isNull() | (F.col("at") - F.col("_previous") >= pause),
                    F.col("at"))
     marked = running_max(seen, [client], "at", chunk, opens, "_period").drop("_previous")
-
-    def replay(period: pd.DataFrame) -> pd.DataFrame:
-        period = period.sort_values("at")
-        state, refused = None, []
-        for at, n in zip(period["at"], period["n"]):
-            state, passed = admit(state, int(at), int(n), rate, burst)
-            refused.append(int(n) - passed)
-        return period[[client, "at", "n"]].assign(refused=refused).query("refused > 0")
+    full = (marked.groupBy(client, "_period").agg(F.sum("n").alias("_total"))
+            .where(F.col("_total") > burst + 1))
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        period, state = None, None
+        for frame in frames:
+            refused = []
+            for name, start, at, n in frame[[client, "_period", "at", "n"]].itertuples(
+                    index=False):
+                if (name, start) != period:
+                    period, state = (name, start), None
+                state, passed = admit(state, int(at), int(n), rate, burst)
+                refused.append(int(n) - passed)
+            yield frame[[client, "at", "n"]].assign(refused=refused).query("refused > 0")
 
     kind = counted.schema[client].dataType.simpleString()
-    found = marked.groupBy(client, "_period").applyInPandas(
-        replay, f"{client} {kind}, at bigint, n bigint, refused bigint")
+    found = (marked.join(full, [client, "_period"], "left_semi")
+             .repartition(client, "_period").sortWithinPartitions(client, "_period", "at")
+             .mapInPandas(replay, f"{client} {kind}, at bigint, n bigint, refused bigint"))
     return found.withColumn("at", F.timestamp_millis("at"))
 
 

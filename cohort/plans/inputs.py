@@ -215,13 +215,13 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     return events.groupBy(F.col("event_type").alias("run"),
                           F.dayofmonth("ts").alias("epoch")).agg(
-        F.round(F.avg("value") / 100, 6).alias("val_f1_macro"),
+        F.round(F.avg("value") / 100, 10).alias("val_f1_macro"),
         F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("val_acc"),
         F.count("*").cast("double").alias("epoch_time"))
 
 
 HISTORY_SQL = """history AS (
-  SELECT event_type AS run, day(ts)::INT AS epoch, round(avg(value) / 100, 6) AS val_f1_macro,
+  SELECT event_type AS run, day(ts)::INT AS epoch, round(avg(value) / 100, 10) AS val_f1_macro,
     round(avg((value > 50)::INT), 6) AS val_acc, count(*)::DOUBLE AS epoch_time
   FROM events GROUP BY 1, 2)"""
 

@@ -10,7 +10,7 @@ from cohort.plans.evaluation_queries import TOPIC_NAMES
 from cohort.plans.inputs import (CONFUSION_SQL, GROUPS_SQL, SALT, TOPICS, fingerprints,
                                  predictions, predictions_sql, rounded, table)
 from cohort.plans.registry import query
-from cohort.session import scratch_path
+from cohort.session import scratch_path, written
 from cohort.sources import logs, tables
 
 PASSWORD = "correct horse battery staple"
@@ -197,7 +197,7 @@ def last_events(spark, folder):
 SELECT epoch_us(timestamp) AS at, 'intruder' AS actor, resource FROM logged
 WHERE processing_time_ms > 150""")
 def broken_seals(spark, folder):
-    sealed = audit.sealed(audit_events(spark, folder), SALT)
+    sealed = written(audit.sealed(audit_events(spark, folder), SALT), "sealed-log")
     changed = sealed.withColumn("actor", F.when(
         F.col("metadata.processing_time_ms") > 150, "intruder").otherwise(F.col("actor")))
     return audit.broken_seals(changed, SALT).select(

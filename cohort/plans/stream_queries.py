@@ -32,14 +32,14 @@ def _predictions(events):
 
 MONITOR_SQL = """monitored AS (
   SELECT epoch_us(date_trunc('day', ts)) AS window_start, event_type AS class, count(*) AS n,
-    round(avg(value / 500), 6) AS mean_confidence,
+    round(avg(value / 500), 10) AS mean_confidence,
     quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
   FROM events GROUP BY 1, 2)"""
 
 
 def _shown(monitored):
     return rounded(monitored.withColumn("window_start", F.unix_micros("window_start")),
-                   "mean_confidence")
+                   "mean_confidence", digits=10)
 
 
 @query("st3_monitor", f"WITH {MONITOR_SQL} SELECT * FROM monitored")
@@ -116,23 +116,23 @@ def busy_windows(spark, folder):
 
 
 BUCKET_SQL = """RECURSIVE counted AS (
-  SELECT user_id AS client, epoch_ms(ts) AS at, count(*) AS n FROM events GROUP BY 1, 2),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY at) AS i FROM counted),
+  SELECT user_id AS client, epoch_ms(ts) AS ms, count(*) AS n FROM events GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ms) AS i FROM counted),
 step AS (
-  SELECT client, i, at, n, least(n, 3)::BIGINT AS passed,
-    least(n, 3) - 1.0::DOUBLE AS level, at AS last FROM numbered WHERE i = 1
+  SELECT client, i, ms, n, least(n, 3)::BIGINT AS passed,
+    least(n, 3) - 1.0::DOUBLE AS level, ms AS last FROM numbered WHERE i = 1
   UNION ALL
-  SELECT client, i, at, n,
+  SELECT client, i, ms, n,
     passed, CASE WHEN passed > 0 THEN first + passed - 1 ELSE level END,
-    CASE WHEN passed > 0 THEN at ELSE last END
+    CASE WHEN passed > 0 THEN ms ELSE last END
   FROM (
     SELECT *, CASE WHEN first > 2 THEN 0 ELSE least(n, floor(2 - first) + 1) END::BIGINT
       AS passed
     FROM (
-      SELECT m.client, m.i, m.at, m.n, s.level, s.last, greatest(0.0::DOUBLE,
-        s.level - 0.001::DOUBLE * (m.at - s.last) / 1000.0::DOUBLE + 1.0::DOUBLE) AS first
+      SELECT m.client, m.i, m.ms, m.n, s.level, s.last, greatest(0.0::DOUBLE,
+        s.level - 0.001::DOUBLE * (m.ms - s.last) / 1000.0::DOUBLE + 1.0::DOUBLE) AS first
       FROM step s JOIN numbered m ON m.client = s.client AND m.i = s.i + 1))),
-refusals AS (SELECT client, at * 1000 AS at, n, n - passed AS refused FROM step
+refusals AS (SELECT client, ms * 1000 AS at, n, n - passed AS refused FROM step
   WHERE passed < n)"""
 
 
@@ -156,16 +156,16 @@ def _probes(events):
 
 
 FLAP_SQL = """probe AS (
-  SELECT user_id % 5 AS target, epoch_us(ts) AS at, event_type <> 'error' AS ok FROM events),
+  SELECT user_id % 5 AS target, epoch_us(ts) AS us, event_type <> 'error' AS ok FROM events),
 runs AS (
-  SELECT *, max(at) FILTER (ok) OVER (PARTITION BY target ORDER BY at
-      ROWS UNBOUNDED PRECEDING) AS good, min(at) OVER (PARTITION BY target) AS begin FROM probe),
+  SELECT *, max(us) FILTER (ok) OVER (PARTITION BY target ORDER BY us
+      ROWS UNBOUNDED PRECEDING) AS good, min(us) OVER (PARTITION BY target) AS begun FROM probe),
 failed AS (
-  SELECT *, row_number() OVER (PARTITION BY target, good ORDER BY at) AS nth
-  FROM runs WHERE NOT ok AND at - begin >= 60000000),
+  SELECT *, row_number() OVER (PARTITION BY target, good ORDER BY us) AS nth
+  FROM runs WHERE NOT ok AND us - begun >= 60000000),
 spans AS (
-  SELECT target, good, min(at) AS first_failure, max(at) FILTER (nth = 3) AS unhealthy_from,
-    max(at) AS last_failure, count(*) AS failures
+  SELECT target, good, min(us) AS first_failure, max(us) FILTER (nth = 3) AS unhealthy_from,
+    max(us) AS last_failure, count(*) AS failures
   FROM failed GROUP BY target, good HAVING count(*) >= 3)"""
 
 
@@ -179,8 +179,9 @@ def flapping(spark, folder):
 @query("st5_flapping_stream", f"""WITH {FLAP_SQL}
 SELECT target, unhealthy_from AS at, false AS healthy FROM spans
 UNION ALL
-SELECT s.target, (SELECT min(p.at) FROM probe p WHERE p.target = s.target AND p.ok
-  AND p.at > s.last_failure) AS at, true FROM spans s WHERE at IS NOT NULL""")
+SELECT target, back, true FROM (
+  SELECT s.target, (SELECT min(p.us) FROM probe p WHERE p.target = s.target AND p.ok
+    AND p.us > s.last_failure) AS back FROM spans s) WHERE back IS NOT NULL""")
 def flapping_stream(spark, folder):
     changes = stateful.health_changes(_probes(stream_of(spark, folder, "events")))
     return _micros(run_available(changes, "health"), "at")

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cohort.operators.audit import EVENT_SCHEMA
 
-# Pattern and time format of the access log.
+# Pattern and time format of the access log, ISO time of audit events.
 ACCESS_LINE = (r'^(\S+) - (\S+) \[([^\]]+)\] "([^"]*)" (\d+) (\d+) "([^"]*)" "([^"]*)" '
                r'rt=([\d.]+)$')
 ACCESS_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
+EVENT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+    events.write.mode("append").option("timestampFormat", EVENT_TIME).json(path)
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
     """Events of a log; lines that are not JSON are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return (spark.read.schema(schema).option("mode", "DROPMALFORMED")
+            .option("timestampFormat", EVENT_TIME).json(path))
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohort.operators.timelines import MONITOR_WINDOW, SESSION_GAP, monitor
+from cohort.sources.logs import EVENT_TIME
 
 
 def deduplicated(events: DataFrame, delay: str = "1 hour", key: str = "event_id",
@@ -16,6 +17,7 @@ def deduplicated(events: DataFrame, delay: str = "1 hour", key: str = "event_id"
 def audit_sink(events: DataFrame, path: str, checkpoint: str, delay: str = "1 hour"):
     """Append-only JSON log of a stream of stamped events; returns the started query."""
     return (deduplicated(events, delay).writeStream.format("json").outputMode("append")
+            .option("timestampFormat", EVENT_TIME)
             .option("path", path).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
