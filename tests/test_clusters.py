@@ -108,10 +108,10 @@ def test_split_keeps_clusters_whole_and_loses_nothing(spark):
     assert splits.leaking_clusters(done).isEmpty()
     assert splits.unassigned(rows, done, "path").isEmpty()
     assert all(abs(r.deviation) < 5 for r in splits.split_counts(done).collect())
-    leak = done.withColumn("split", F.when(F.col("path") == done.where(
-        "cluster_id = 'c004' or 1 = 1").groupBy("cluster_id").agg(
-            F.count("*").alias("n"), F.min("path").alias("p")).where("n > 1").first().p,
-        "elsewhere").otherwise(F.col("split")))
+    one = components.cluster_sizes(done).where("size > 1").join(done, "cluster_id").agg(
+        F.min("path").alias("path")).first().path
+    leak = done.withColumn("split", F.when(F.col("path") == one, "elsewhere")
+                           .otherwise(F.col("split")))
     assert splits.leaking_clusters(leak).count() == 1
 
 
