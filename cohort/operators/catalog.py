@@ -50,8 +50,9 @@ def split_by_class(df: DataFrame, splits: Sequence[str], classes: Sequence[str],
     every_split = dictionary(spark, [*splits, None], "split")
     every = every_split.withColumn(
         "label", F.explode(F.array(*[F.lit(c) for c in classes], F.lit(None))))
-    counts = (df.cube(F.col(split).alias("split"), F.col(label).alias("label"))
-              .agg(F.count("*").alias("n")))
+    cells = df.groupBy(F.col(split).alias("split"), F.col(label).alias("label")).agg(
+        F.count("*").alias("n"))
+    counts = cells.cube("split", "label").agg(F.sum("n").alias("n"))
     same = (every["split"].eqNullSafe(counts["split"])
             & every["label"].eqNullSafe(counts["label"]))
     of_split = Window.partitionBy("split")

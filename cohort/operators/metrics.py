@@ -214,13 +214,13 @@ def roc_points(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     is_first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     bends = ((F.col("following.pos") != F.col("pos")) | (F.col("following.neg") != F.col("neg")))
     kept = usable.where(is_first | F.col("following").isNull() | bends)
-    curve = kept.select(*keys, F.col("score").alias("threshold"),
-                        (F.col("fp") / F.col("negatives")).alias("fpr"),
-                        (F.col("tp") / F.col("positives")).alias("tpr"))
-    origin = usable.select(*keys).distinct().select(
-        *keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
-        F.lit(0.0).alias("tpr"))
-    return origin.unionByName(curve)
+    point = F.struct(F.col("score").alias("threshold"),
+                     (F.col("fp") / F.col("negatives")).alias("fpr"),
+                     (F.col("tp") / F.col("positives")).alias("tpr"))
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                      F.lit(0.0).alias("tpr"))
+    both = F.explode(F.when(is_first, F.array(origin, point)).otherwise(F.array(point)))
+    return kept.select(*keys, both.alias("p")).select(*keys, "p.*")
 
 
 def operating_point(roc: DataFrame, max_fpr: float = 0.05, by: Sequence[str] = ()) -> DataFrame:

@@ -81,11 +81,12 @@ def near_prints(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
     key.  Both steps are exact.
 
     ``within`` are columns that must be equal, ``flags`` small columns to carry, and
-    ``wanted(left, right)`` an optional condition on them.
+    ``wanted(left, right)`` an optional condition on them.  ``groups`` is read several times, so
+    it should be a written table; its bands are cheap to cut again and are not stored.
     """
     keys = [*within, "band", "value"]
     chars, words = bits // 4, bits // 64
-    rows = written(_banded(groups, [*within, *flags], chars, threshold), "bands")
+    rows = _banded(groups, [*within, *flags], chars, threshold)
     plain = {"sub": F.lit(-1), "sub_value": F.lit(""), "block": F.lit(0),
              "block_low": F.lit(0), "block_high": F.lit(0)}
     large = written(rows.groupBy(*keys).agg(F.count("*").alias("bucket_n"))

@@ -36,13 +36,19 @@ def pixel_sums(images: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def column_sums(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """The same shape as :func:`pixel_sums` with numeric columns as channels."""
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("x"))
+    """The same shape as :func:`pixel_sums` with numeric columns as channels.
+
+    Summed column by column in one pass; only the sums are turned into rows.
+    """
+    wide = df.groupBy(*keep).agg(*[
+        F.struct(F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("s"),
+                 F.sum(F.col(c).cast("double") * F.col(c).cast("double")).alias("ss")).alias(c)
+        for c in columns])
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.col(f"{c}.n").alias("n"),
+                 F.col(f"{c}.s").alias("s"), F.col(f"{c}.ss").alias("ss"))
         for c in columns])).alias("cell")
-    return df.select(*keep, stacked).select(
-        *keep, "cell.channel", F.lit(1).cast("bigint").alias("n"), F.col("cell.x").alias("s"),
-        (F.col("cell.x") * F.col("cell.x")).alias("ss"))
+    return wide.select(*keep, cells).select(*keep, "cell.*")
 
 
 def channel_moments(sums: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohort.functions.keyed import seeded_key
 from cohort.operators.components import cluster_labels
 from cohort.operators.skew import HOT_ROWS, global_rank, join_groups
+from cohort.session import written
 
 POOLS = ("train", "val", "test")
 RATIOS = (0.70, 0.15, 0.15)
@@ -86,9 +87,10 @@ def assign_clusters(clusters: DataFrame, ratios: Sequence[float] = RATIOS,
 def split_rows(rows: DataFrame, key: str, ratios: Sequence[float] = RATIOS, seed: int = 42,
                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``split`` to rows that carry ``cluster_id`` and ``label``."""
-    assigned = assign_clusters(cluster_labels(rows, key), ratios, seed)
-    return join_groups(rows, assigned.select("cluster_id", "size", "split"), ["cluster_id"],
-                       "size", hot_rows).drop("size")
+    labelled = written(cluster_labels(rows, key), "cluster-labels")
+    assigned = written(assign_clusters(labelled, ratios, seed)
+                       .select("cluster_id", "size", "split"), "cluster-splits")
+    return join_groups(rows, assigned, ["cluster_id"], "size", hot_rows).drop("size")
 
 
 def unclustered(rows: DataFrame, key: str) -> DataFrame:

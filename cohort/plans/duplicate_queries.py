@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohort.functions.bits import median_print
+from cohort.functions.bits import hamming, median_print
 from cohort.operators import components, cosine, migration, pairs, splits
 from cohort.plans.inputs import (ASSIGNED_SQL, BITS, CLUSTERS_SQL, DIMENSIONS, DISTANCE,
                                  DOCS_SQL, GROUPS_SQL, PRINTS_SQL, documents, fingerprints,
                                  rounded, table)
 from cohort.plans.registry import query
 from cohort.session import written
+from cohort.sources import images
 
 
 def label_pairs(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -361,3 +362,42 @@ SELECT n AS total, moved, round(moved * 100.0::DOUBLE / n, 6) AS moved_pct,
 def overall_migration(spark, folder):
     return rounded(migration.overall_migration(_migrations(spark, folder)), "moved_pct",
                    "chance_pct")
+
+
+@query("p7_hamming", """WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, list_sort(embedding)[32]::DOUBLE
+    + list_sort(embedding)[33]::DOUBLE AS m FROM embeddings),
+w AS (SELECT vec_id, list_sum(list_transform(v, lambda x, i: CASE WHEN 2 * x > m
+  THEN 1::UBIGINT << (64 - i)::INT ELSE 0::UBIGINT END))::UBIGINT AS w FROM v)
+SELECT a.vec_id, coalesce(bit_count(xor(a.w, b.w))::DOUBLE, 'inf'::DOUBLE) < 1000 AS known,
+  bit_count(xor(a.w, b.w))::INT AS distance
+FROM w a LEFT JOIN w b ON b.vec_id = a.vec_id + 1""")
+def hamming_distances(spark, folder):
+    prints = print_of_every_vector(spark, folder)
+    following = prints.select((F.col("vec_id") - 1).alias("vec_id"), F.col("print").alias("next"))
+    far = prints.join(following, "vec_id", "left").select(
+        "vec_id", hamming(F.col("print"), F.col("next"), BITS).alias("d"))
+    return far.select("vec_id", (F.col("d") < 1000).alias("known"),
+                      F.when(F.col("d") < 1000, F.col("d")).cast("int").alias("distance"))
+
+
+@query("p9_moved_rows", f"""WITH {MIGRATED_SQL}
+SELECT filename, original, new FROM crossed WHERE moved""")
+def moved_rows(spark, folder):
+    moves = _migrations(spark, folder)
+    return moves.where(migration.moved(F.col("original"), F.col("new"))).drop("label")
+
+
+@query("s4_split_manifest", f"""WITH {ASSIGNED_SQL},
+named AS (SELECT a.id, a.split, a.label, d.source || '/' || a.id || '/scan_' || d.n_chars
+    || '.jpg' AS path, 'scan_' || d.n_chars AS stem
+  FROM assigned a JOIN docs d USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY split, label, stem
+  ORDER BY md5('0|' || path)) - 1 AS k FROM named)
+SELECT id, path, split || '/' || label || '/' || stem || CASE WHEN k > 0 THEN '_' || k ELSE '' END
+  || '.jpg' AS destination FROM ranked""")
+def split_manifest(spark, folder):
+    path = F.concat("source", F.lit("/"), "id", F.lit("/scan_"), "n_chars", F.lit(".jpg"))
+    files = documents(spark, folder).select("id", path.alias("path"))
+    rows = assigned(spark, folder).select("id", "split", "label").join(files, "id")
+    return images.split_manifest(rows).select("id", "path", "destination")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cohort.operators import metrics, prep, trainlog
 from cohort.plans.inputs import (CONFUSION_SQL, HISTORY_SQL, TOPICS, history, predictions,
                                  predictions_sql, rounded, table)
-from cohort.plans.registry import query
+from cohort.plans.registry import ORACLE, query
+from cohort.session import scratch_path
+from cohort.sources import tables
 
 TOPIC_NAMES = tuple(f"topic{i}" for i in TOPICS)
 MODELS = {"all": (0, 64), "back": (32, 64), "front": (0, 32)}
@@ -212,6 +214,18 @@ SELECT model, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
   {", ".join(f"round(max(f1) FILTER (class = {i}), 6) AS f1_{i}" for i in TOPICS)}
 FROM class_f1 f GROUP BY model""")
 def model_comparison(spark, folder):
+    return _comparison(spark, folder)
+
+
+@query("s9_comparison_file", ORACLE["m16_model_comparison"])
+def comparison_file(spark, folder):
+    """The comparison written as JSON and read back."""
+    compared, path = _comparison(spark, folder), scratch_path(spark, "comparison")
+    tables.write_metrics(compared, path)
+    return spark.read.schema(compared.schema).json(path)
+
+
+def _comparison(spark, folder):
     compared = metrics.model_comparison(_all_models(spark, folder), TOPICS)
     return rounded(compared, "accuracy", "f1_macro", "auc_macro", *[f"f1_{i}" for i in TOPICS])
 
@@ -314,3 +328,14 @@ SELECT run, max(val_f1_macro) AS best_f1, max(val_acc) AS best_acc, count(*) AS
   sum(epoch_time) AS total_time FROM history GROUP BY run""")
 def runs(spark, folder):
     return trainlog.run_comparison(history(spark, folder))
+
+
+@query("s10_training_history", f"""WITH {HISTORY_SQL}
+SELECT run, epoch, val_f1_macro, val_acc, epoch_time FROM history""")
+def training_history(spark, folder):
+    """History files written per run and read back, one row per epoch."""
+    rows, path = history(spark, folder), scratch_path(spark, "history")
+    unused = {c: F.lit(0.0) for c in tables.HISTORY_COLUMNS if c not in rows.columns}
+    tables.write_history(rows.withColumns(unused), path)
+    return tables.read_history(spark, path).select("run", "epoch", "val_f1_macro", "val_acc",
+                                                   "epoch_time")

@@ -237,5 +237,25 @@ HISTORY_SQL = """history AS (
   FROM events GROUP BY 1, 2)"""
 
 
+def vector_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 64-number vector as a grey 8 x 8 picture in the shape of the image source."""
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    low, high = F.array_min("v"), F.array_max("v")
+    scaled = vectors.withColumns({"low": low, "span": high - low})
+    octets = F.transform("v", lambda x: F.lpad(F.hex(F.floor(
+        (x - F.col("low")) / F.col("span") * 255)), 2, "0"))
+    image = F.struct(F.concat(F.lit("vec/"), "vec_id").alias("origin"), F.lit(8).alias("height"),
+                     F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"),
+                     F.unhex(F.array_join(octets, "")).alias("data"))
+    return scaled.select("vec_id", "label", image.alias("image"))
+
+
+PIXELS_SQL = """pixels AS (
+  SELECT vec_id, label, list_transform(v, lambda x: floor(
+    (x - list_min(v)) / (list_max(v) - list_min(v)) * 255)) AS p
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings))"""
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})

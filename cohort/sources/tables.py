@@ -30,11 +30,20 @@ def write_metrics(document: DataFrame, path: str, drop: tuple[str, ...] = RAW_AR
     document.drop(*drop).write.mode("overwrite").json(path)
 
 
+def write_history(history: DataFrame, path: str) -> None:
+    """One folder per run with one file of equal-length arrays, epochs in order."""
+    entry = F.struct("epoch", *[F.col(c).cast("double").alias(c) for c in HISTORY_COLUMNS])
+    runs = history.groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    runs.select("run", *[F.col(f"e.{c}").alias(c) for c in HISTORY_COLUMNS]).write.mode(
+        "overwrite").partitionBy("run").json(path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run and epoch from files of equal-length arrays; the run is the folder name."""
+    """One row per run and epoch from files of equal-length arrays; the run is the folder's name."""
     schema = ", ".join(f"{c} array<double>" for c in HISTORY_COLUMNS)
     files = (spark.read.schema(schema).option("multiLine", "true")
              .option("recursiveFileLookup", "true").json(path)
-             .withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2)))
+             .withColumn("run", F.regexp_replace(F.element_at(
+                 F.split(F.input_file_name(), "/"), -2), "^run=", "")))
     epochs = files.select("run", F.posexplode(F.arrays_zip(*HISTORY_COLUMNS)).alias("at", "e"))
     return epochs.select("run", (F.col("at") + 1).alias("epoch"), "e.*")

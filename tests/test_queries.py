@@ -34,4 +34,6 @@ def test_entry_runs(spark, small):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == {"w6_mixup_beta"}
+    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == {
+        "w6_mixup_beta", "w8_conservative_variants", "w9_aggressive_variants",
+        "w11_image_prints"}
