@@ -70,16 +70,3 @@ def spans(chars: int, parts: int) -> list[tuple[int, int]]:
     short, longer = divmod(chars, parts)
     lengths = [short] * (parts - longer) + [short + 1] * longer
     return [(sum(lengths[:i]), length) for i, length in enumerate(lengths)]
-
-
-def cut(text: Column, pieces: list[tuple[int, int]]) -> Column:
-    return F.array(*[F.substring(text, start + 1, length) for start, length in pieces])
-
-
-def first_equal_piece(left: Column, right: Column, pieces: list[tuple[int, int]]) -> Column:
-    """Number of the first piece in which two strings agree, NULL if none does."""
-    result = None
-    for number, (start, length) in enumerate(pieces):
-        same = F.substring(left, start + 1, length) == F.substring(right, start + 1, length)
-        result = F.when(same, number) if result is None else result.when(same, number)
-    return result

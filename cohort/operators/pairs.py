@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from cohort.functions.bits import (cut, first_equal_piece, hex_words, risk_tier,
-                                   spans, words_distance)
+from cohort.functions.bits import risk_tier
+from cohort.operators.bands import Bands
 from cohort.operators.skew import smallest
 from cohort.session import written
 
@@ -37,35 +37,6 @@ def side_groups(prints: DataFrame, key: str, side: str = "original_split") -> Da
                  F.min(F.when(test, F.col(key))).alias("first_test")))
 
 
-def _banded(groups: DataFrame, keep: Sequence[str], chars: int, threshold: int) -> DataFrame:
-    pieces = spans(chars, threshold + 1)
-    band = F.posexplode(cut(F.col("print"), pieces)).alias("band", "value")
-    words = hex_words(F.col("print"), chars).alias("words")
-    return groups.select(*keep, "print", words).select("*", band)
-
-
-def _without_band(text: Column, chars: int, threshold: int, band: Column) -> Column:
-    result = None
-    for number, (start, length) in enumerate(spans(chars, threshold + 1)):
-        rest = F.concat(F.substring(text, 1, start),
-                        F.substring(text, start + length + 1, chars))
-        result = F.when(band == number, rest) if result is None else result.when(
-            band == number, rest)
-    return result
-
-
-def _second_pieces(chars: int, threshold: int) -> list[list[tuple[int, int]]]:
-    return [spans(chars - length, threshold + 1) for _, length in spans(chars, threshold + 1)]
-
-
-def _by_band(band: Column, options: list[Column]) -> Column:
-    result = None
-    for number, option in enumerate(options):
-        result = F.when(band == number, option) if result is None else result.when(
-            band == number, option)
-    return result
-
-
 def near_prints(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
                 within: Sequence[str] = (), flags: Sequence[str] = (), wanted=None,
                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -84,61 +55,45 @@ def near_prints(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
     ``wanted(left, right)`` an optional condition on them.  ``groups`` is read several times, so
     it should be a written table; its bands are cheap to cut again and are not stored.
     """
+    bands = Bands(bits, threshold)
     keys = [*within, "band", "value"]
-    chars, words = bits // 4, bits // 64
-    rows = _banded(groups, [*within, *flags], chars, threshold)
-    plain = {"sub": F.lit(-1), "sub_value": F.lit(""), "block": F.lit(0),
+    rows = bands.banded(groups, [*within, *flags])
+    plain = {"sub": F.lit(-1), "sub_value": F.lit(0).cast("bigint"), "block": F.lit(0),
              "block_low": F.lit(0), "block_high": F.lit(0)}
     large = written(rows.groupBy(*keys).agg(F.count("*").alias("bucket_n"))
                     .where(F.col("bucket_n") > bucket_rows), "large-buckets")
-    refinable = chars - max(length for _, length in spans(chars, threshold + 1)) > threshold
+    refined = False
     if large.isEmpty():
         candidates = rows.withColumns(plain)
-        refined = False
-    elif refinable:
+    elif bands.can_refine:
+        refined = True
         small = rows.join(large, keys, "left_anti").withColumns(plain)
-        split = rows.join(large, keys, "left_semi").withColumn(
-            "rest", _without_band(F.col("print"), chars, threshold, F.col("band")))
-        pieces = _second_pieces(chars, threshold)
-        split = split.select("*", F.posexplode(_by_band(
-            F.col("band"), [cut(F.col("rest"), p) for p in pieces])).alias("sub", "sub_value"))
-        split = split.drop("rest")
+        split = bands.refined(rows.join(large, keys, "left_semi"))
         candidates = small.unionByName(
-            _blocked(split, [*keys, "sub", "sub_value"], bucket_rows))
-        refined = True
+            _blocked(split, [*keys, "sub", "sub_value"], bands, bucket_rows))
     else:
-        whole = rows.withColumns({"sub": F.lit(-1), "sub_value": F.lit("")})
-        candidates = _blocked(whole, keys, bucket_rows)
-        refined = False
+        whole = rows.withColumns({c: plain[c] for c in ("sub", "sub_value")})
+        candidates = _blocked(whole, keys, bands, bucket_rows)
 
-    join_keys = [*keys, "sub", "sub_value", "block_low", "block_high"]
     a, b = candidates.alias("a"), candidates.alias("b")
-    left, right = F.col("a.print"), F.col("b.print")
-    distance = words_distance(F.col("a.words"), F.col("b.words"), words)
     condition = F.lit(True)
-    for key in join_keys:
+    for key in [*keys, "sub", "sub_value", "block_low", "block_high"]:
         condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    condition = condition & (left < right) & (distance <= threshold)
+    condition = condition & (bands.distance() <= threshold) & bands.in_order()
     condition = condition & ((F.col("a.block") != F.col("b.block"))
                              | (F.col("a.block_low") == F.col("a.block_high")))
     if wanted is not None:
         condition = condition & wanted(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-    condition = condition & (F.col("a.band") == first_equal_piece(
-        left, right, spans(chars, threshold + 1)))
-    if refined:
-        first_sub = _by_band(F.col("a.band"), [
-            first_equal_piece(_without_band(left, chars, threshold, F.col("a.band")),
-                              _without_band(right, chars, threshold, F.col("a.band")), p)
-            for p in _second_pieces(chars, threshold)])
-        condition = condition & ((F.col("a.sub") == -1) | (F.col("a.sub") == first_sub))
+    condition = condition & bands.at_first_band(refined)
     return a.join(b, condition).select(
-        *[F.col(f"a.{k}") for k in within], left.alias("print1"), right.alias("print2"),
+        *[F.col(f"a.{k}") for k in within], bands.print_hex("a").alias("print1"),
+        bands.print_hex("b").alias("print2"),
         *[F.col(f"a.{c}").alias(f"{c}1") for c in flags],
         *[F.col(f"b.{c}").alias(f"{c}2") for c in flags],
-        distance.alias("distance"))
+        bands.distance().alias("distance"))
 
 
-def _blocked(rows: DataFrame, keys: list[str], bucket_rows: int) -> DataFrame:
+def _blocked(rows: DataFrame, keys: list[str], bands: Bands, bucket_rows: int) -> DataFrame:
     """Split buckets of more than ``bucket_rows`` rows into block pairs of bounded size."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("bucket_n"))
     large = written(sizes.where(F.col("bucket_n") > bucket_rows), "split-buckets")
@@ -146,10 +101,11 @@ def _blocked(rows: DataFrame, keys: list[str], bucket_rows: int) -> DataFrame:
     if large.isEmpty():
         return rows.withColumns(none)
     small = rows.join(large, keys, "left_anti").withColumns(none)
+    words = [f"w{i}" for i in range(bands.words)]
     blocks = F.ceil(F.col("bucket_n") / bucket_rows).cast("int")
     split = (rows.join(large, keys)
              .withColumn("blocks", blocks)
-             .withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+             .withColumn("block", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("block_low", F.least("block", "other"))
              .withColumn("block_high", F.greatest("block", "other"))

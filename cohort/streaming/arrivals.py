@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohort.functions.bits import (cut, first_equal_piece, hex_words, spans, words_distance)
-from cohort.operators.pairs import (BUCKET_ROWS, THRESHOLD, _by_band, _second_pieces,
-                                    _without_band)
+from cohort.operators.bands import Bands
+from cohort.operators.pairs import BUCKET_ROWS, THRESHOLD
 from cohort.operators.validate import reject_reason
 from cohort.session import written
 
 
-def _keyed(prints: DataFrame, bits: int, threshold: int, refined: bool) -> DataFrame:
-    chars = bits // 4
-    banded = prints.select("*", hex_words(F.col("print"), chars).alias("words"), F.posexplode(
-        cut(F.col("print"), spans(chars, threshold + 1))).alias("band", "value"))
-    if not refined:
-        return banded.withColumns({"sub": F.lit(-1), "sub_value": F.lit("")})
-    rest = _without_band(F.col("print"), chars, threshold, F.col("band"))
-    pieces = _by_band(F.col("band"), [cut(rest, p) for p in _second_pieces(chars, threshold)])
-    return banded.select("*", F.posexplode(pieces).alias("sub", "sub_value"))
+def _keyed(prints: DataFrame, keep: list[str], bands: Bands, refined: bool) -> DataFrame:
+    rows = bands.banded(prints, keep)
+    if refined:
+        return bands.refined(rows)
+    return rows.withColumns({"sub": F.lit(-1), "sub_value": F.lit(0).cast("bigint")})
 
 
 def known_bands(groups: DataFrame, bits: int = 256, threshold: int = THRESHOLD,
@@ -29,12 +24,13 @@ def known_bands(groups: DataFrame, bits: int = 256, threshold: int = THRESHOLD,
     When some bucket is large, all keys get a second band, which keeps buckets small and the
     search exact.
     """
-    plain = written(_keyed(groups, bits, threshold, False), "known-bands")
-    largest = (plain.groupBy("band", "value").agg(F.count("*").alias("n"))
-               .where(F.col("n") > bucket_rows))
-    if largest.isEmpty():
+    bands, keep = Bands(bits, threshold), ["first", "n"]
+    plain = written(_keyed(groups, keep, bands, False), "known-bands")
+    largest = (plain.groupBy("band", "value").agg(F.count("*").alias("rows"))
+               .where(F.col("rows") > bucket_rows))
+    if largest.isEmpty() or not bands.can_refine:
         return plain, False
-    return written(_keyed(groups, bits, threshold, True), "known-bands"), True
+    return written(_keyed(groups, keep, bands, True), "known-bands"), True
 
 
 def arriving_duplicates(stream: DataFrame, key: str, known: DataFrame, refined: bool,
@@ -43,26 +39,17 @@ def arriving_duplicates(stream: DataFrame, key: str, known: DataFrame, refined:
 
     A stateless stream-static join; a match comes out once, at its first equal band.
     """
-    chars = bits // 4
-    arrivals = _keyed(stream.where(F.col("print").isNotNull()), bits, threshold, refined)
+    bands = Bands(bits, threshold)
+    arrivals = _keyed(stream.where(F.col("print").isNotNull()), [key], bands, refined)
     a, b = arrivals.alias("a"), known.alias("b")
-    left, right = F.col("a.print"), F.col("b.print")
-    distance = words_distance(F.col("a.words"), F.col("b.words"), bits // 64)
     condition = F.lit(True)
     for column in ("band", "value", "sub", "sub_value"):
         condition = condition & (F.col(f"a.{column}") == F.col(f"b.{column}"))
-    condition = condition & (distance <= threshold) & (
-        F.col("a.band") == first_equal_piece(left, right, spans(chars, threshold + 1)))
-    if refined:
-        firsts = [first_equal_piece(
-            _without_band(left, chars, threshold, F.col("a.band")),
-            _without_band(right, chars, threshold, F.col("a.band")), p)
-            for p in _second_pieces(chars, threshold)]
-        condition = condition & (F.col("a.sub") == _by_band(F.col("a.band"), firsts))
+    condition = condition & (bands.distance() <= threshold) & bands.at_first_band(refined)
     return a.join(b, condition).select(
-        F.col(f"a.{key}").alias(key), left.alias("print"), right.alias("known_print"),
-        F.col("b.first").alias("known_first"), F.col("b.n").alias("known_members"),
-        distance.alias("distance"))
+        F.col(f"a.{key}").alias(key), bands.print_hex("a").alias("print"),
+        bands.print_hex("b").alias("known_print"), F.col("b.first").alias("known_first"),
+        F.col("b.n").alias("known_members"), bands.distance().alias("distance"))
 
 
 def image_arrivals(spark: SparkSession, folder: str) -> DataFrame:
