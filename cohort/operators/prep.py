@@ -36,8 +36,8 @@ def weighted_resample(df: DataFrame, key: str, classes: Sequence, draws: int | N
     class by rank.  Draws are independent, repeatable, and joined on (class, rank), where ranks
     are unique, so no class gathers in one task.  Default size: as many draws as rows.
     """
-    sizes = {r[0]: r[1] for r in
-             df.groupBy(label).agg(F.count("*").alias("n")).collect() if r[0] in set(classes)}
+    known = df.where(F.col(label).isin(*classes))
+    sizes = {r[0]: r[1] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
     present = [c for c in classes if c in sizes]
     total = draws if draws is not None else sum(sizes.values())
     names = F.array(*[F.lit(c) for c in present])
@@ -49,7 +49,7 @@ def weighted_resample(df: DataFrame, key: str, classes: Sequence, draws: int | N
              .select("draw", names[F.col("_slot")].alias(label),
                      (F.floor(seeded_uniform(seed, F.lit("row"), F.col("draw"))
                               * counts[F.col("_slot")]) + 1).cast("bigint").alias("_rank")))
-    keyed = df.withColumn("_order", seeded_key(seed, F.lit("rank"), F.col(key)))
+    keyed = known.withColumn("_order", seeded_key(seed, F.lit("rank"), F.col(key)))
     ranked = global_rank(keyed, "_order", key, [label], "_rank").drop("_order")
     return drawn.join(ranked, [label, "_rank"]).drop("_rank")
 

@@ -147,29 +147,34 @@ UPLOADS_SQL = r"""uploads AS (
     n_chars * 2048 AS size, regexp_matches(text, '[A-Z]') AS decodable FROM documents)"""
 
 
-def _uploads(spark, folder):
-    number = F.col("id") % 5
+def uploads(docs):
+    number = F.col("doc_id") % 5
     ending = (F.when(number == 0, ".jpg").when(number == 1, ".PNG").when(number == 2, ".jpeg")
               .when(number == 3, ".dcm").otherwise(""))
-    kind = (F.when(F.col("id") % 7 == 0, "application/pdf")
-            .when(F.col("id") % 7 > 1, "image/png"))
-    return documents(spark, folder).select(
-        "id", F.concat("source", F.lit("/Scan "), "id", ending).alias("filename"),
+    kind = (F.when(F.col("doc_id") % 7 == 0, "application/pdf")
+            .when(F.col("doc_id") % 7 > 1, "image/png"))
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.concat("source", F.lit("/Scan "), "doc_id", ending).alias("filename"),
         kind.alias("content_type"), (F.col("n_chars") * 2048).alias("size"),
         F.col("text").rlike("[A-Z]").alias("decodable"))
 
 
-@query("p3_validate_rejects", f"""WITH {UPLOADS_SQL}
-SELECT id, filename, CASE
+REASONS_SQL = UPLOADS_SQL + """,
+reasons AS (SELECT id, filename, CASE
   WHEN id % 5 > 2 THEN 'unsupported file type'
   WHEN id % 7 = 0 THEN 'invalid content type'
   WHEN size > 10 * 1024 * 1024 THEN 'file too large'
   WHEN NOT decodable THEN 'could not open image' END AS reason
-FROM uploads""")
+FROM uploads)"""
+
+
+@query("p3_validate_rejects", f"WITH {REASONS_SQL} SELECT id, filename, reason FROM reasons")
 def validate_rejects(spark, folder):
     reason = validate.reject_reason(F.col("filename"), F.col("content_type"), F.col("size"),
                                     F.col("decodable"))
-    return _uploads(spark, folder).select("id", "filename", reason.alias("reason"))
+    rows = uploads(table(spark, folder, "documents"))
+    return rows.select("id", "filename", reason.alias("reason"))
 
 
 @query("p5_sanitize_names", rf"""WITH {UPLOADS_SQL}
@@ -178,7 +183,8 @@ SELECT id, CASE WHEN id % 11 = 0 THEN 'unknown' ELSE
     WHEN 2 THEN '.jpeg' WHEN 3 THEN '.dcm' ELSE '' END END AS resource FROM uploads""")
 def sanitize_names(spark, folder):
     name = F.when(F.col("id") % 11 != 0, F.col("filename"))
-    return _uploads(spark, folder).select("id", sanitized(name).alias("resource"))
+    rows = uploads(table(spark, folder, "documents"))
+    return rows.select("id", sanitized(name).alias("resource"))
 
 
 @query("p10_normalise", """SELECT vec_id,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohort.operators import pairs, timelines
+from cohort.operators import pairs, timelines, validate
 from cohort.operators.fingerprint import text_print
 from cohort.plans.inputs import (BITS, DISTANCE, PRINTS_SQL, fingerprints, rounded,
                                  table)
 from cohort.plans.privacy_queries import ACTIONS_SQL, audit_events
+from cohort.plans.profile_queries import REASONS_SQL, uploads
 from cohort.plans.registry import query
 from cohort.session import scratch_path, written
 from cohort.sources import logs
@@ -202,3 +203,14 @@ def arriving(spark, folder):
         F.col("doc_id").alias("id"), text_print(F.col("text")).alias("print"))
     found = arrivals.arriving_duplicates(stream, "id", known, refined, BITS, DISTANCE)
     return run_available(found, "arrivals")
+
+
+@query("st1_dead_letters", f"""WITH {REASONS_SQL}
+SELECT id, filename, reason FROM reasons WHERE reason IS NOT NULL""")
+def dead_letters(spark, folder):
+    """Arriving uploads that are refused, each with the first rule it breaks."""
+    arriving_uploads = uploads(stream_of(spark, folder, "documents"))
+    reason = validate.reject_reason(F.col("filename"), F.col("content_type"), F.col("size"),
+                                    F.col("decodable"))
+    checked = arriving_uploads.select("id", "filename", reason.alias("reason"))
+    return run_available(validate.dead_letters(checked), "dead-letters")
