@@ -68,11 +68,14 @@ def build_clusters(images: DataFrame, pairs: DataFrame, key: str = "path",
     """Add ``cluster_id`` to images from a table of path pairs.
 
     Pairs with an end outside the pool are ignored; images without a pair are their own cluster.
+    An end that very many pairs share is looked up once, not once per pair.
     """
-    pool = images.select(F.col(key).alias("_end"))
     usable = pairs.where(F.col("path1") != F.col("path2")).select("path1", "path2")
     for end in ("path1", "path2"):
-        usable = usable.join(pool, usable[end] == pool["_end"], "left_semi")
+        ends = usable.groupBy(end).agg(F.count("*").alias("n")).join(
+            images.select(F.col(key).alias(end)), end, "left_semi")
+        usable = written(join_groups(usable, ends, [end], "n", hot_rows)
+                         .select("path1", "path2"), "pool-pairs")
     found = connected_components(usable, hot_rows=hot_rows)
     return (images.join(found.withColumnRenamed("node", key), key, "left")
             .withColumn("cluster_id", F.coalesce("component", key)).drop("component"))

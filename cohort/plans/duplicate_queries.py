@@ -258,12 +258,14 @@ anypair AS (
   SELECT a.print AS print1, b.print AS print2, bit_count(xor(a.w, b.w))::INT AS distance,
     (a.n * b.n)::BIGINT AS pairs
   FROM anyg a JOIN anyg b ON a.print < b.print AND bit_count(xor(a.w, b.w)) <= 3
-  UNION ALL SELECT print, print, 0, (n * (n - 1) // 2)::BIGINT FROM anyg WHERE n > 1)
-SELECT print1, print2, distance, pairs, pools FROM (
-  SELECT p.*, (SELECT string_agg(s, '+' ORDER BY s) FROM (
-      SELECT DISTINCT split AS s FROM assigned x
-      WHERE x.print = p.print1 OR x.print = p.print2)) AS pools
-  FROM anypair p) WHERE contains(pools, '+')""")
+  UNION ALL SELECT print, print, 0, (n * (n - 1) // 2)::BIGINT FROM anyg WHERE n > 1),
+place AS (SELECT DISTINCT print, split FROM assigned),
+ends AS (
+  SELECT print1, print2, split FROM anypair JOIN place ON print = print1
+  UNION SELECT print1, print2, split FROM anypair JOIN place ON print = print2),
+spread AS (SELECT print1, print2, string_agg(split, '+' ORDER BY split) AS pools
+  FROM ends GROUP BY print1, print2 HAVING count(*) > 1)
+SELECT print1, print2, distance, pairs, pools FROM anypair JOIN spread USING (print1, print2)""")
 def strict_leakage(spark, folder):
     rows = assigned(spark, folder)
     groups = written(pairs.print_groups(rows, "id"), "groups")

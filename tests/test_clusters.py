@@ -46,12 +46,13 @@ def test_too_many_rounds_is_an_error(spark):
                                         max_rounds=0)
 
 
-def test_clusters_of_a_pool(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
+def test_clusters_of_a_pool(spark, hot_rows):
     """Pairs that leave the pool are ignored; everyone else is alone."""
     pool = spark.createDataFrame([(c,) for c in "abcde"], "path string")
     pairs = spark.createDataFrame([("a", "b", 0), ("b", "c", 4), ("d", "not_in_pool", 2)],
                                   "path1 string, path2 string, distance int")
-    rows = components.build_clusters(pool, pairs)
+    rows = components.build_clusters(pool, pairs, hot_rows=hot_rows)
     assert {r.path: r.cluster_id for r in rows.collect()} == dict(zip("abcde", "aaade"))
     assert tuple(components.cluster_stats(rows).first()) == (3, 2, 1, 3)
     none = components.build_clusters(pool, pairs.limit(0))
