@@ -36,7 +36,8 @@ def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOT
                  block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
     """(first1, first2, cosine, pairs) for distinct vectors with a cosine >= threshold.
 
-    ``pairs`` is the number of row pairs behind a line, as for fingerprint pairs.
+    ``pairs`` is the number of row pairs behind a line, as for fingerprint pairs; the copies
+    inside one vector are a line of their own with ``first1 = first2``.
     """
     groups = written(groups, "vectors")
     spark = groups.sparkSession
@@ -89,5 +90,9 @@ def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOT
             "first1": a[keep], "first2": b[keep], "cosine": cosine[i, j][keep],
             "pairs": (left["n"].to_numpy()[i] * right["n"].to_numpy()[j])[keep]})
 
-    return grid.groupBy("cell", "row", "column").applyInPandas(
+    different = grid.groupBy("cell", "row", "column").applyInPandas(
         compare, f"first1 {kind}, first2 {kind}, cosine double, pairs bigint")
+    copies = groups.where(F.col("n") > 1).select(
+        F.col("first").alias("first1"), F.col("first").alias("first2"),
+        F.lit(1.0).alias("cosine"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return different.unionByName(copies)

@@ -130,7 +130,8 @@ def dedup_report(spark, folder):
   GROUP BY embedding)
 SELECT a.first AS first1, b.first AS first2,
   round(list_cosine_similarity(a.v, b.v), 6) AS cosine, (a.n * b.n)::BIGINT AS pairs
-FROM v a JOIN v b ON a.first < b.first AND list_cosine_similarity(a.v, b.v) >= 0.35""")
+FROM v a JOIN v b ON a.first < b.first AND list_cosine_similarity(a.v, b.v) >= 0.35
+UNION ALL SELECT first, first, 1.0, (n * (n - 1) // 2)::BIGINT FROM v WHERE n > 1""")
 def cosine_pairs(spark, folder):
     groups = cosine.vector_groups(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return rounded(cosine.cosine_pairs(groups, 0.35), "cosine")
