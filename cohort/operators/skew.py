@@ -16,9 +16,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
 
     Groups of at least ``hot_rows`` rows are broadcast: there can be no more of them than
     total rows / ``hot_rows``, whatever the skew.  All other keys are shuffled as usual.
+    ``rows`` and ``groups`` are read more than once and should be written tables or cheap.
     """
     keys = list(keys)
     hot = groups.where(F.col(size) >= hot_rows)
+    if hot.isEmpty():
+        return rows.join(groups, keys)
     rest = groups.where(F.col(size) < hot_rows)
     hot_side = rows.join(F.broadcast(hot), keys)
     cold_side = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
