@@ -15,7 +15,6 @@ from cohort.session import written
 
 POOLS = ("train", "val", "test")
 RATIOS = (0.70, 0.15, 0.15)
-_QUOTA_SCHEMA = "cluster_label string, size bigint, q_train bigint, q_val bigint, q_test bigint"
 
 
 def run_quotas(size: int, clusters: int, targets: Sequence[float],
@@ -64,7 +63,9 @@ def quotas(clusters: DataFrame, ratios: Sequence[float] = RATIOS) -> DataFrame:
         return pd.DataFrame(rows, columns=["cluster_label", "size", "q_train", "q_val", "q_test"])
 
     histogram = clusters.groupBy("cluster_label", "size").agg(F.count("*").alias("clusters"))
-    return histogram.groupBy("cluster_label").applyInPandas(assign, _QUOTA_SCHEMA)
+    kind = clusters.schema["cluster_label"].dataType.simpleString()
+    return histogram.groupBy("cluster_label").applyInPandas(
+        assign, f"cluster_label {kind}, size bigint, q_train bigint, q_val bigint, q_test bigint")
 
 
 def assign_clusters(clusters: DataFrame, ratios: Sequence[float] = RATIOS,

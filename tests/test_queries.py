@@ -2,6 +2,7 @@
 
 import os
 import pathlib
+import subprocess
 import sys
 
 import pytest
@@ -37,3 +38,24 @@ def test_every_query_without_sql_is_known():
     assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == {
         "w6_mixup_beta", "w8_conservative_variants", "w9_aggressive_variants",
         "w11_image_prints"}
+
+
+def test_queries_run_from_any_folder(small, tmp_path):
+    """Python workers must not need the package on their path."""
+    entry = pathlib.Path(spark_entry.__file__).resolve()
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spec = importlib.util.spec_from_file_location("entry", {str(entry)!r})
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("sp5_unclustered_split", "m2_accuracy", "w7_base_transform"):
+    assert module.queries()[name](spark, {small!r}).collect()
+""")
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=environment,
+                          capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
