@@ -31,10 +31,6 @@ def arg_max(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def dot(left: Column, right: Column) -> Column:
-    return total(F.zip_with(left, right, lambda x, y: x * y))
-
-
 def norm(values: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(ZERO), lambda acc, x: acc + x * x))
 
