@@ -23,25 +23,44 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z in lower case and other letters as they are; null has none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    text = F.coalesce(text, F.lit(""))
+    lowered = (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))  # ASCII only
+               .otherwise(F.translate(text, UPPER, LOWER)))
     return F.array_remove(F.split(lowered, GAP), "")
 
 
-def _grams(hashes: str, length: int, offset: int = 0) -> Column:
-    """Hash of each run of ``length`` word hashes; no run, no hash."""
-    h = F.col(hashes)
-    starts = F.when(F.size(h) >= length, F.sequence(F.lit(0), F.size(h) - length)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(
-        F.lit(length), *[F.get(h, i + k) for k in range(offset, offset + length)]))
+def _from(array: str | Column, nth: int) -> Column:
+    """The array from its nth element on."""
+    return F.slice(array, nth, 2 ** 30)
 
 
-def _minima(grams: str, width: int) -> Column:
-    """Smallest hash of each run of ``width`` grams."""
-    g = F.col(grams)
-    starts = F.when(F.size(g) >= width, F.sequence(F.lit(1), F.size(g) - width + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_min(F.slice(g, i, width)))
+def _grams(df: DataFrame, length: int, name: str = "g") -> DataFrame:
+    """Add the hash of each run of ``length`` word hashes in column h; no run, no hash.
+
+    Runs of 2, 4, 8 ... words come from two runs of half the length, the rest word by word.
+    """
+    df, covered = df.withColumn(name, F.col("h")), 1
+    while 2 * covered <= length:
+        df = df.withColumn(name, F.zip_with(name, _from(name, covered + 1),
+                                            lambda x, y: F.xxhash64(x, y)))
+        covered *= 2
+    grams = F.col(name)
+    for k in range(covered, length):
+        grams = F.zip_with(grams, _from("h", k + 1), lambda x, y: F.xxhash64(x, y))
+    return df.withColumn(name, F.slice(grams, 1, F.greatest(F.size("h") - (length - 1),
+                                                            F.lit(0))))
+
+
+def _minima(df: DataFrame, width: int) -> DataFrame:
+    """Replace the grams in column g by the smallest hash of each run of ``width`` of them."""
+    df, covered = df.withColumn("least", F.col("g")), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        df = df.withColumn("least", F.zip_with("least", _from("least", step + 1),
+                                               lambda x, y: F.least(x, y)))
+        covered += step
+    return df.withColumn("g", F.slice(
+        "least", 1, F.greatest(F.size("g") - (width - 1), F.lit(0)))).drop("least")
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
@@ -85,17 +104,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     for m in short:
         runs = runs.unionByName(_runs(bench.where(F.size("h") == m), m))
     runs = written(runs.select("item", "m", "r.a", "r.b").distinct(), "bench-runs")
-    prints = full.withColumn("g", _grams("h", gram)).select(
-        F.explode_outer(_minima("g", width)).alias("print"))
+    prints = _minima(_grams(full, gram), width).select(
+        F.explode_outer("g").alias("print"))
     for m in short:
-        prints = prints.unionByName(bench.where(F.size("h") == m).select(
-            F.explode_outer(_grams("h", m)).alias("print")))
+        prints = prints.unionByName(_grams(bench.where(F.size("h") == m), m).select(
+            F.explode_outer("g").alias("print")))
     prints = written(prints.distinct(), "bench-prints")
 
-    found = (_hashed(source, "text").withColumn("g", _grams("h", gram))
-             .withColumn("n_words", F.size("h").cast("long")))
-    own = [F.array_distinct(_minima("g", width))] + [
-        F.array_distinct(_grams("h", m)) for m in short]
+    found = _hashed(source, "text").withColumn("n_words", F.size("h").cast("long"))
+    found = _minima(_grams(found, gram), width)
+    for m in short:
+        found = _grams(found, m, f"g{m}")
+    own = [F.array_distinct(g) for g in ("g", *(f"g{m}" for m in short))]
     found = written(found.select("key", "tkey", "n_words", F.concat(*own).alias("prints")),
                     "doc-prints")
     hits = written(found.select("key", "tkey", F.explode("prints").alias("print"))
@@ -109,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     again = written(_hashed(again, "text"), "hit-words")
     spots = []
     for m, length, first in [(window, gram, True), *((m, m, False) for m in short)]:
-        at = again.withColumn("g", _grams("h", length)).select(
+        at = _grams(again, length).select(
             *same, F.size("h").alias("n"), F.posexplode_outer("g").alias("pos", "print"))
         at = at.join(hits.withColumnsRenamed({"key": "k2", "tkey": "t2", "print": "p2"}),
                      F.col("key").eqNullSafe(F.col("k2")) & (F.col("tkey") == F.col("t2"))
