@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohort.llm.bag_minhash import near_duplicates
 from cohort.llm.shards import byte_shards
 from cohort.llm.winnowing import contamination
 
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op4_bag_minhash")
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_byte_shards", sql="""
 WITH polynomial AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
