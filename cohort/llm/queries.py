@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohort.llm.bag_minhash import near_duplicates
+from cohort.llm.impact_index import top_inner_products
+from cohort.llm.packing import pack
 from cohort.llm.shards import byte_shards
 from cohort.llm.winnowing import contamination
 
@@ -58,6 +60,32 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_best_fit")
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed as byte tokens, one more token for the end of each."""
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+                            .alias("length")))
+
+
+@query("op9_impact_index", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x:
+    CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1),
+    lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+FROM s QUALIFY rank <= 5""")
+def op9_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_winnowing", sql="""
 WITH dwords AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
