@@ -124,7 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     # only texts with a hit are read again; of them, only the runs around a hit are compared
     k, same = F.col("key"), ["key", "tkey"]
     named = hits.select(k.alias("k2"), F.col("tkey").alias("t2")).distinct()
-    again = source.join(named, k.eqNullSafe(F.col("k2")) & (F.col("tkey") == F.col("t2")),
+    # a merge join at every size: a plan that broadcasts small tables would move no text there
+    again = source.hint("merge").join(named, k.eqNullSafe(F.col("k2")) & (F.col("tkey") == F.col("t2")),
                         "left_semi").dropDuplicates(same)
     again = written(_hashed(again, "text"), "hit-words")
     spots = []
