@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohort.llm.bag_minhash import near_duplicates
+from cohort.llm.crf_language import with_languages
 from cohort.llm.impact_index import top_inner_products
+from cohort.llm.nbsvm import quality_scores
 from cohort.llm.packing import pack
 from cohort.llm.shards import byte_shards
 from cohort.llm.winnowing import contamination
@@ -68,6 +70,27 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
                             .alias("length")))
 
 
+def remainder(modulus: int, value: int):
+    """Whether the checksum of the document id leaves this remainder; no id, no."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value,
+                      F.lit(False))
+
+
+@query("op7_crf_language")
+def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    held_out = remainder(4, 2)
+    rows = with_languages(table(spark, sf_dir, "documents"), held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), "predicted.*")
+
+
+@query("op8_nbsvm")
+def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                          remainder(3, 1))
+
+
 @query("op9_impact_index", sql="""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x:
