@@ -10,6 +10,7 @@ from cohort.llm.impact_index import top_inner_products
 from cohort.llm.nbsvm import quality_scores
 from cohort.llm.packing import pack
 from cohort.llm.shards import byte_shards
+from cohort.llm.suffix_dedup import repeated_bytes
 from cohort.llm.winnowing import contamination
 
 QUERIES, ORACLE = {}, {}
@@ -29,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that lie in a 100-byte string that also starts earlier."""
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query("op4_bag_minhash")
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
