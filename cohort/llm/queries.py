@@ -9,6 +9,7 @@ from cohort.llm.crf_language import with_languages
 from cohort.llm.impact_index import top_inner_products
 from cohort.llm.nbsvm import quality_scores
 from cohort.llm.packing import pack
+from cohort.llm.sanitise import personal_data, spans_text
 from cohort.llm.shards import byte_shards
 from cohort.llm.suffix_dedup import repeated_bytes
 from cohort.llm.winnowing import contamination
@@ -36,6 +37,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+@query("op3_sanitise")
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document and the terms that disclose it."""
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"))
+
+
 @query("op4_bag_minhash")
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
