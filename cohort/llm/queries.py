@@ -12,6 +12,7 @@ from cohort.llm.packing import pack
 from cohort.llm.sanitise import personal_data, spans_text
 from cohort.llm.shards import byte_shards
 from cohort.llm.suffix_dedup import repeated_bytes
+from cohort.llm.url_templates import url_path, url_verdicts
 from cohort.llm.winnowing import contamination
 
 QUERIES, ORACLE = {}, {}
@@ -37,6 +38,21 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
+         ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op2_url_templates")
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url; a page takes the labels of the document that its path names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    named = pages.withColumn("p", url_path(F.col("url"))).selectExpr(
+        "page_id", "try_cast(regexp_extract(p, '/([0-9]+)', 1) AS bigint) AS doc_id")
+    labels = named.join(table(spark, sf_dir, "labels"), "doc_id").selectExpr(
+        "page_id", "CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad")
+    return url_verdicts(pages, labels, RULES)
+
+
 @query("op3_sanitise")
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document and the terms that disclose it."""
