@@ -112,7 +112,7 @@ def _sign(bands: int, band_rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in chunks(batch.column(1)):
+            for first, data, offsets in chunks(batch.column(2)):
                 n = len(offsets) - 1
                 rows, hashes, counts = shingles(data, offsets)
                 codes = signatures(rows, hashes, counts, n, m)
@@ -124,13 +124,13 @@ def _sign(bands: int, band_rows: int):
                 some = total > 0
                 keys = keys.astype(np.uint64).view(np.int64)
                 yield pa.record_batch([
-                    batch.column(0).slice(first, n),
+                    batch.column(0).slice(first, n), batch.column(1).slice(first, n),
                     _fixed(_digests(rows, hashes, counts, n)), pa.array(total),
                     pa.ListArray.from_arrays(
                         np.r_[0, np.cumsum(some * bands)].astype(np.int32),
                         keys[some].reshape(-1)),
                     _fixed((codes & np.uint64(255)).astype(np.uint8)),
-                ], names=["key", "node", "total", "bands", "sketch"])
+                ], names=["key", "row_key", "node", "total", "bands", "sketch"])
 
     return run
 
@@ -193,11 +193,12 @@ def _close(least: int):
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD, bands: int = BANDS,
                     band_rows: int = BAND_ROWS) -> DataFrame:
-    """(key, class_id, n_copies, class_size) for every row of ``docs``.
+    """(key, row_key, class_id, n_copies, class_size, first) for every row of ``docs``.
 
     Documents are in one class if a chain of pairs of similarity ``threshold`` or more connects
     them.  ``class_id`` is the smallest key of the class, ``n_copies`` the number of rows with
-    the same multiset of word runs.  A text of fewer than five words is one run; texts without
+    the same multiset of word runs.  ``row_key`` hashes key and text; ``first`` marks the rows of
+    the smallest key and row key of each class, more than one only if whole rows repeat.  A text of fewer than five words is one run; texts without
     words (null and empty ones too) are alone.  Rows that repeat a key are members on their own.
     Other columns are ignored.
 
@@ -207,14 +208,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     looked at one by one: by signature first (five standard deviations below the threshold),
     then exactly.  So a group of n near copies costs about n comparisons, and no pair is left out.
     """
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row_key"),
+                         F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     signed = written(source.mapInArrow(
         _sign(bands, band_rows),
-        f"key {kind}, node binary, total bigint, bands array<bigint>, sketch binary"), "signed")
+        f"key {kind}, row_key bigint, node binary, total bigint, bands array<bigint>, sketch binary"), "signed")
     some = signed.where(F.col("total") > 0)
     nodes = written(some.groupBy("node").agg(
-        F.min("key").alias("first"), F.count("*").alias("n_copies")), "nodes")
+        F.min(F.struct("key", "row_key")).alias("lowest"), F.count("*").alias("n_copies")), "nodes")
     rows = (some.select("node", "bands").dropDuplicates(["node"])
             .select("node", F.explode_outer("bands").alias("bucket")))
     rows = written(rows, "buckets")
@@ -259,25 +261,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     classes = nodes.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    sizes = classes.groupBy("component").agg(F.min("first").alias("class_id"),
+    sizes = classes.groupBy("component").agg(F.min("lowest").alias("lowest"),
                                              F.sum("n_copies").alias("class_size"))
-    classes = classes.join(sizes, "component").select("node", "class_id", "n_copies", "class_size")
-    member = signed.select("key", F.when(F.col("total") > 0, F.col("node")).alias("node"))
-    return member.join(classes, "node", "left").select(
-        F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"),
+    classes = classes.drop("lowest").join(sizes, "component").select(
+        "node", "lowest", "n_copies", "class_size")
+    member = signed.select("key", "row_key",
+                           F.when(F.col("total") > 0, F.col("node")).alias("node"))
+    rows = member.join(classes, "node", "left")
+    alone = F.col("lowest").isNull()
+    return rows.select(
+        F.col("key").alias(key), "row_key",
+        F.when(alone, F.col("key")).otherwise(F.col("lowest.key")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (alone | (F.col("row_key") == F.col("lowest.row_key"))).alias("first"))
 
 
 def _checked(source: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Compare the texts of pairs of nodes; each node is looked up by its first key.
+    """Compare the texts of pairs of nodes; each node is looked up by its lowest row.
 
-    A key that several texts share brings up each of them; only the one with the node's digest
-    stays.
+    Should two rows have one row key, only the text with the node's digest stays.
     """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    carriers = ends.join(nodes, "node").select("node", "first")
-    texts = source.join(carriers, F.col("key").eqNullSafe(F.col("first"))).select("node", "text")
+    carriers = ends.join(nodes, "node").select("node", F.col("lowest.row_key").alias("row_key"))
+    # a merge join at every size: a plan that broadcasts small tables would move no text there
+    texts = source.hint("merge").join(carriers, "row_key").select("node", "text")
     texts = texts.mapInArrow(_own, "node binary, text string").dropDuplicates(["node"])
     texts = written(texts, "pair-texts")
     one = texts.withColumnsRenamed({"node": "a", "text": "text1"})

@@ -65,7 +65,8 @@ def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_bag_minhash")
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_copies", "class_size")
 
 
 @query("op5_byte_shards", sql="""

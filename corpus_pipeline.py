@@ -1,15 +1,74 @@
-"""From raw documents to packed training sequences, one table per stage."""
+"""From raw documents to packed training sequences, one written table per stage.
+
+Each stage works on all that the one before kept; all but the last return the columns of
+documents.  Rows may repeat ids or texts, and any column may be null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cohort.llm.bag_minhash import near_duplicates
+from cohort.llm.crf_language import with_languages
+from cohort.llm.packing import pack
+from cohort.llm.sanitise import sanitise
+from cohort.llm.winnowing import contamination
+from cohort.session import written
+
+#: Share of the words that the language of a text has to label.
+LEAST_SHARE = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts with a language: those with letters, most of which one language explains."""
+    rows = with_languages(docs, F.lit(False))
+    kept = (F.col("predicted.lang_pred") != "und") & (F.col("predicted.score") >= LEAST_SHARE)
+    return rows.where(kept).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each class of near copies."""
+    first = near_duplicates(docs).where("first").select(F.col("row_key").alias("r2")).distinct()
+    keyed = docs.withColumn("r1", F.xxhash64("doc_id", "text")).hint("merge")
+    return keyed.join(first, F.col("r1") == F.col("r2")).dropDuplicates(["r1"]).select(
+        *docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    held = contamination(docs, items).where("n_hit > 0").select(
+        F.col("doc_id").alias("k2"), F.col("tkey").alias("t2")).distinct()
+    tkey = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.hint("merge").join(
+        written(held, "held-documents"),
+        F.col("doc_id").eqNullSafe(F.col("k2")) & (tkey == F.col("t2")), "left_anti")
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and the terms that disclose it; every document stays."""
+    return sanitise(docs).withColumn(
+        "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(
+        *docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: the pieces of documents that each holds, as byte tokens and end marks."""
+    lengths = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+                          .alias("length"))
+    return pack(lengths).groupBy("bin", "capacity", "used").agg(F.sort_array(F.collect_list(
+        F.struct("offset", "doc_id", "piece", "start", "length"))).alias("pieces"))
+
 
-STAGES = []
+STAGES = [("language", known_language), ("near copies", without_near_copies),
+          ("benchmarks", without_benchmarks), ("personal data", without_personal_data),
+          ("packing", packed)]
+#: The classifier of the first stage and the signatures of the second are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
