@@ -105,7 +105,7 @@ def run_hashes(hashes: np.ndarray, rows: np.ndarray, length: int
     left = np.repeat(head + counts, counts) - np.arange(n)  # words from here to the end of the row
     for k in range(1, length):
         more = np.zeros(n, np.uint64)
-        more[:n - k] = hashes[k:]
+        more[:max(n - k, 0)] = hashes[k:]
         more[left <= k] = 0
         total = mix(total) + more
     kept = left >= np.minimum(length, np.repeat(counts, counts))
