@@ -24,6 +24,10 @@ from cohort.operators.components import connected_components
 from cohort.session import written
 
 SHINGLE, BANDS, BAND_ROWS, THRESHOLD = 5, 20, 4, 0.8
+#: Registers in all; those beyond the bands sharpen the estimate of similarity.
+REGISTERS = 400
+#: Rounds in which each node is compared with its likeliest partner only.
+ROUNDS = 3
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
 #: Points drawn in one go for all processes that are still running.
@@ -107,8 +111,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
         pa.py_buffer(flat.tobytes())])
 
 
-def _sign(bands: int, band_rows: int):
-    m = bands * band_rows
+def _sign(bands: int, band_rows: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +122,7 @@ def _sign(bands: int, band_rows: int):
                 number = np.arange(1, bands + 1, dtype=np.uint64) * BASE
                 keys = np.zeros((n, bands), np.uint64) + number
                 for k in range(band_rows):
-                    keys = mix(keys + codes[:, k::band_rows][:, :bands])
+                    keys = mix(keys + codes[:, k:bands * band_rows:band_rows])
                 total = np.bincount(rows, counts, n).astype(np.int64)
                 some = total > 0
                 keys = keys.astype(np.uint64).view(np.int64)
@@ -165,31 +168,90 @@ def _verify(threshold: float):
     return run
 
 
-def _close(least: int):
-    """Pairs of nodes in different components whose sketches agree in ``least`` registers."""
+def _agreements(one: np.ndarray, two: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Equal registers of each pair of different components; 0 within a component.
+
+    Most members of a block tend to be in one component, whose pairs are not looked at.
+    """
+    out = np.zeros((len(one), len(two)), np.int32)
+    main = np.bincount(np.r_[na, nb]).argmax()
+    for x, y in ((na != main, np.ones(len(nb), bool)), (na == main, nb != main)):
+        x, y = np.flatnonzero(x), np.flatnonzero(y)
+        for i in range(0, len(x), 16):
+            some = x[i:i + 16]
+            out[np.ix_(some, y)] = (one[some][:, None, :] == two[y][None, :, :]).sum(axis=2)
+    out[na[:, None] == nb[None, :]] = 0
+    return out
+
+
+def _pairs_of_blocks(least: int, every: bool):
+    """Pairs of nodes in different components whose sketches agree in ``least`` registers or
+    more: each node with its best partner in the other block, or every such pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, groups, sketches = (batch.column(i) for i in (0, 1, 2))
             for i in range(batch.num_rows):
-                a = [np.frombuffer(b"".join(s.as_py()), np.uint8).reshape(len(s), -1)
-                     for s in (sketches[i], batch.column(5)[i])]
-                one, two = names[i].as_py(), batch.column(3)[i].as_py()
-                ga, gb = groups[i].as_py(), batch.column(4)[i].as_py()
-                rank = {g: k for k, g in enumerate(sorted({*ga, *gb}))}
-                na = np.array([rank[g] for g in ga])
-                nb = np.array([rank[g] for g in gb])
-                agree = (a[0][:, None, :] == a[1][None, :, :]).sum(axis=2)
-                x, y = np.nonzero((agree >= least) & (na[:, None] != nb[None, :]))
-                pairs = {(min(one[p], two[q]), max(one[p], two[q]))
+                one, ga, a, two, gb, b = (c[i].as_py() for c in batch.columns)
+                rank = {g: k for k, g in enumerate({*ga, *gb})}
+                if len(rank) == 1:
+                    continue
+                agree = _agreements(
+                    np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1),
+                    np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1),
+                    np.array([rank[g] for g in ga]), np.array([rank[g] for g in gb]))
+                if every:
+                    x, y = np.nonzero(agree >= least)
+                else:
+                    x = np.r_[np.arange(len(one)), agree.argmax(axis=0)]
+                    y = np.r_[agree.argmax(axis=1), np.arange(len(two))]
+                    x, y = x[agree[x, y] >= least], y[agree[x, y] >= least]
+                found = {(min(one[p], two[q]), max(one[p], two[q]), int(agree[p, q]))
                          for p, q in zip(x.tolist(), y.tolist())}
-                if pairs:
-                    yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()),
-                                           pa.array([p[1] for p in pairs], pa.binary())],
-                                          names=["a", "b"])
+                if found:
+                    columns = list(zip(*found))
+                    yield pa.record_batch(
+                        [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()),
+                         pa.array(columns[2], pa.int32())], names=["a", "b", "agree"])
 
     return run
 
 
+def _candidates(shared: DataFrame, sketches: DataFrame, found: DataFrame, least: int,
+                every: bool) -> DataFrame:
+    """Pairs to compare in the buckets whose members are still in several components.
+
+    A bucket is cut into blocks, and each pair of its blocks is looked at on its own.
+    """
+    placed = shared.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"),
+                         "left").select("bucket", "node",
+                                        F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("n")).where(F.col("low") != F.col("high")).select("bucket", "n")
+    dealt = placed.join(mixed, "bucket").join(sketches, "node").withColumn(
+        "blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = written(dealt.groupBy("bucket", "blocks", "block").agg(F.collect_list(
+        F.struct("node", "component", "sketch")).alias("m")), "bucket-blocks")
+    columns = ["m.node", "m.component", "m.sketch"]
+    left = blocks.select("bucket", *columns, F.explode(F.sequence(
+        F.col("block"), F.col("blocks") - 1)).alias("other"))
+    right = blocks.select("bucket", F.col("block").alias("other"),
+                          *(F.col(c).alias(c[2:] + "2") for c in columns))
+    pairs = (left.join(right, ["bucket", "other"])
+             .select("node", "component", "sketch", "node2", "component2", "sketch2")
+             .mapInArrow(_pairs_of_blocks(least, every), "a binary, b binary, agree int"))
+    if every:
+        return written(pairs.select("a", "b").distinct(), "pairs")
+    pairs = written(pairs.distinct(), "block-pairs")
+    ends = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.col("b").alias("to"), "agree"),
+        F.struct(F.col("b").alias("node"), F.col("a").alias("to"), "agree"))).alias("e"))
+    best = ends.select("e.*").groupBy("node").agg(
+        F.max_by("to", F.struct("agree", F.hex("to"))).alias("to"))
+    return written(best.select(F.least("node", "to").alias("a"),
+                               F.greatest("node", "to").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD, bands: int = BANDS,
                     band_rows: int = BAND_ROWS) -> DataFrame:
@@ -204,15 +266,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     A pair at the threshold shares no band with probability (1 - threshold ** band_rows) ** bands,
     3 in 100,000 at the defaults.  Each node is first compared with the node that leads most of
-    its buckets.  Only pairs that share a bucket but are still in different components then are
-    looked at one by one: by signature first (five standard deviations below the threshold),
-    then exactly.  So a group of n near copies costs about n comparisons, and no pair is left out.
+    its buckets, then, for some rounds, with the likeliest partner by signature outside its
+    component.  So a group of n near copies grows together in a few times n comparisons.  Last,
+    all pairs that share a bucket but not a component are compared, unless their signatures lie
+    four standard deviations below the threshold (another 3 in 100,000).  No pair is left out.
     """
     source = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row_key"),
                          F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     signed = written(source.mapInArrow(
-        _sign(bands, band_rows),
+        _sign(bands, band_rows, REGISTERS),
         f"key {kind}, row_key bigint, node binary, total bigint, bands array<bigint>, sketch binary"), "signed")
     some = signed.where(F.col("total") > 0)
     nodes = written(some.groupBy("node").agg(
@@ -228,37 +291,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     best = votes.groupBy("node").agg(F.max_by(
         "leader", F.struct("votes", F.hex("leader"))).alias("leader"))
     pairs = written(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), "pairs")
-    links = _checked(source, nodes, pairs, threshold).where("linked").select("a", "b")
+    texts = _texts(source, nodes, shared.select("node").distinct())
+    sketches = written(some.join(shared.select("node").distinct(), "node", "left_semi")
+                       .select("node", "sketch").dropDuplicates(["node"]), "sketches")
+    links = _links(texts, pairs, threshold)
+    least = int(REGISTERS * threshold - 4 * (REGISTERS * threshold * (1 - threshold)) ** 0.5)
+    for every in [False] * ROUNDS + [True]:
+        found = written(connected_components(links, "a", "b"), "components")
+        more = _links(texts, _candidates(shared, sketches, found, least, every), threshold)
+        links = links.unionByName(more)
     found = written(connected_components(links, "a", "b"), "components")
 
-    # buckets whose members are still in several components
-    placed = shared.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"),
-                         "left").select("bucket", "node",
-                                        F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count("*").alias("n")).where(F.col("low") != F.col("high")).select("bucket", "n")
-    sketches = some.select("node", "sketch").dropDuplicates(["node"])
-    members = placed.join(mixed, "bucket").join(sketches, "node")
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = written(dealt.groupBy("bucket", "blocks", "block").agg(F.collect_list(
-        F.struct("node", "component", "sketch")).alias("m")), "bucket-blocks")
-    columns = ["m.node", "m.component", "m.sketch"]
-    left = blocks.select("bucket", "block", *columns, F.explode(F.sequence(
-        F.col("block"), F.col("blocks") - 1)).alias("other"))
-    right = blocks.select("bucket", F.col("block").alias("other"),
-                          *(F.col(c).alias(c[2:] + "2") for c in columns))
-    least = int(bands * band_rows * threshold
-                - 5 * (bands * band_rows * threshold * (1 - threshold)) ** 0.5)
-    more = (left.join(right, ["bucket", "other"])
-            .select("node", "component", "sketch", "node2", "component2", "sketch2")
-            .mapInArrow(_close(least), "a binary, b binary"))
-    more = written(more.distinct(), "more-pairs")
-    extra = _checked(source, nodes, more, threshold).where("linked").select("a", "b")
-    joined = written(links.unionByName(extra), "links")
-    found = written(connected_components(joined, "a", "b"), "components")
-
     classes = nodes.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     sizes = classes.groupBy("component").agg(F.min("lowest").alias("lowest"),
@@ -277,22 +320,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (alone | (F.col("row_key") == F.col("lowest.row_key"))).alias("first"))
 
 
-def _checked(source: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Compare the texts of pairs of nodes; each node is looked up by its lowest row.
+def _texts(source: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes; each is looked up by its lowest row.
 
     Should two rows have one row key, only the text with the node's digest stays.
     """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    carriers = ends.join(nodes, "node").select("node", F.col("lowest.row_key").alias("row_key"))
+    carriers = wanted.join(nodes, "node").select("node", F.col("lowest.row_key").alias("row_key"))
     # a merge join at every size: a plan that broadcasts small tables would move no text there
     texts = source.hint("merge").join(carriers, "row_key").select("node", "text")
-    texts = texts.mapInArrow(_own, "node binary, text string").dropDuplicates(["node"])
-    texts = written(texts, "pair-texts")
+    return written(texts.mapInArrow(_own, "node binary, text string").dropDuplicates(["node"]),
+                   "pair-texts")
+
+
+def _links(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs that an exact comparison confirms."""
     one = texts.withColumnsRenamed({"node": "a", "text": "text1"})
     two = texts.withColumnsRenamed({"node": "b", "text": "text2"})
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "text1", "text2")
-    return written(both.mapInArrow(_verify(threshold), "a binary, b binary, linked boolean"),
-                   "checked")
+    checked = both.mapInArrow(_verify(threshold), "a binary, b binary, linked boolean")
+    return written(checked.where("linked").select("a", "b"), "links")
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
