@@ -91,19 +91,30 @@ def broken_seals(log: DataFrame, key: str) -> DataFrame:
 def leaked_values(log: DataFrame, text: str, values: DataFrame, value: str) -> DataFrame:
     """Log rows that contain any of the protected values, with the value.
 
-    Every piece of the text as long as some value is joined to the values by equality, so the
-    search is exact without comparing every row to every value.
+    Values fall into classes by length (1, 2 to 3, 4 to 7, ...).  A class is looked up by its
+    shortest length: every piece of that length in the text meets the values that begin with it,
+    and what follows is compared in place.  So a text makes about one line per character and
+    class, however many lengths there are.  A value is reported at its first place in a text.
     """
-    sizes = values.where(F.length(value) > 0).select(F.length(value).alias("size")).distinct()
-    lengths = sorted(r["size"] for r in sizes.collect())
-    if not lengths:
+    wanted = values.where(F.length(value) > 0).select(F.col(value).alias("leaked")).distinct()
+    wanted = wanted.withColumn("_size", F.floor(F.log2(F.length("leaked"))).cast("int"))
+    # at most 31 classes, whatever the values
+    classes = sorted(r[0] for r in wanted.select("_size").distinct().collect())
+    if not classes:
         return log.withColumn("leaked", F.lit(None).cast("string")).limit(0)
+
     def pieces(size: int) -> Column:
-        starts = F.when(F.length(text) >= size, F.sequence(
-            F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))).otherwise(
+        n = 2 ** size
+        starts = F.when(F.length(text) >= n, F.sequence(
+            F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))).otherwise(
             F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))
-
-    all_pieces = F.array_distinct(F.flatten(F.array(*[pieces(s) for s in lengths])))
-    wanted = values.select(F.col(value).alias("leaked")).distinct()
-    return log.withColumn("leaked", F.explode(all_pieces)).join(wanted, "leaked")
+        return F.transform(starts, lambda i: F.struct(
+            F.lit(size).alias("_size"), i.alias("_at"),
+            F.substring(F.col(text), i, F.lit(n)).alias("_piece")))
+
+    keyed = wanted.withColumn("_piece", F.substring(
+        F.col("leaked"), F.lit(1), F.pow(F.lit(2), F.col("_size")).cast("int")))
+    placed = log.withColumn("_p", F.explode_outer(F.concat(*[pieces(s) for s in classes])))
+    found = placed.select("*", "_p.*").drop("_p").join(keyed, ["_size", "_piece"])
+    return found.where(F.instr(F.col(text), F.col("leaked")) == F.col("_at")).drop(
+        "_size", "_at", "_piece")

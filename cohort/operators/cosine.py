@@ -2,8 +2,11 @@
 
 Angles obey the triangle inequality.  Every vector lives in the cell of its nearest pivot.  If x
 (cell p) and y (cell q) are at most theta apart, then angle(y, p) <= angle(y, q) + 2 theta, so
-y only has to visit the cells for which that holds.  Cells are cut into blocks of bounded size
-and every (cell, home block, visitor block) is its own group, so a dense cell is spread too.
+y only has to visit the cells for which that holds.  It need not visit a cell further away than
+the cell's radius and theta, nor one numbered below its own, whose members visit y's cell instead.
+Cells are cut into blocks of bounded size and every (cell, home block, visitor block) is its own
+group, so a dense cell is spread too.  Where vectors form no clusters, angles to all pivots are
+alike, every cell of higher number is visited, and half of all pairs are compared.
 Equal vectors are folded into one first.
 """
 
@@ -47,7 +50,19 @@ def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOT
     if not len(points):
         return spark.createDataFrame([], f"first1 {kind}, first2 {kind}, cosine double, "
                                          "pairs bigint")
-    reach = 2 * float(np.arccos(np.clip(threshold, -1, 1))) + _SLACK
+    theta = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not frame.empty:
+                angles = np.arccos(np.clip(np.stack(frame["v"].to_list()) @ points.T, -1, 1))
+                yield pd.DataFrame({"cell": angles.argmin(axis=1), "angle": angles.min(axis=1)})
+
+    # one line per pivot
+    radius = np.zeros(len(points))
+    for cell, angle in groups.mapInPandas(distances, "cell int, angle double").groupBy(
+            "cell").agg(F.max("angle")).collect():
+        radius[cell] = angle
 
     def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -55,7 +70,9 @@ def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOT
                 continue
             angles = np.arccos(np.clip(np.stack(frame["v"].to_list()) @ points.T, -1, 1))
             home = angles.argmin(axis=1)
-            near = angles <= angles.min(axis=1)[:, None] + reach
+            near = angles <= np.minimum(angles.min(axis=1)[:, None] + theta,
+                                        radius[None, :]) + theta + _SLACK
+            near &= np.arange(len(points))[None, :] > home[:, None]
             near[np.arange(len(home)), home] = True
             row, cell = np.nonzero(near)
             out = frame.iloc[row][["first", "n", "v"]].reset_index(drop=True)
@@ -76,7 +93,8 @@ def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOT
     visitors = (spread.withColumn("column", column_block)
                 .withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
                 .withColumn("side", F.lit(1)))
-    grid = homes.unionByName(visitors).select("cell", "row", "column", "side", "first", "n", "v")
+    grid = homes.unionByName(visitors).select("cell", "row", "column", "side", "first", "n", "v",
+                                             "home")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = block[block["side"] == 0], block[block["side"] == 1]
@@ -85,7 +103,10 @@ def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOT
         cosine = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
         i, j = np.nonzero(cosine >= threshold)
         a, b = left["first"].to_numpy()[i], right["first"].to_numpy()[j]
-        keep = a < b
+        # pairs within the cell come both ways, pairs with a visitor once
+        keep = (a < b) | ~right["home"].to_numpy(bool)[j]
+        swap = b < a
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pd.DataFrame({
             "first1": a[keep], "first2": b[keep], "cosine": cosine[i, j][keep],
             "pairs": (left["n"].to_numpy()[i] * right["n"].to_numpy()[j])[keep]})

@@ -26,15 +26,25 @@ def token_hash(token: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _median_of_counts(hashes: pd.Series) -> pd.Series:
-    """Count, per bit, the hashes that have it set; set the bits whose count is above median."""
-    def one(values):
-        if values is None or len(values) == 0:
-            return None
-        octets = np.asarray(values, np.int64).astype(">i8").view(np.uint8).reshape(-1, 8)
-        counts = np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-        return np.packbits(counts > np.median(counts)).tobytes().hex()
-
-    return pd.Series([one(values) for values in hashes], dtype=object)
+    """Count, per bit, the hashes that have it set; set the bits whose count is above median.
+
+    All rows of a batch are counted at once, some hashes at a time to bound the memory.
+    """
+    sizes = np.array([0 if v is None else len(v) for v in hashes], np.int64)
+    rows = np.flatnonzero(sizes)
+    out = np.full(len(hashes), None, object)
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[rows[at:]]), 1 << 18)) + at)
+        some = rows[at:upto]
+        flat = np.concatenate([np.asarray(hashes.iloc[i], np.int64) for i in some])
+        bits = np.unpackbits(flat.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        codes = np.packbits(counts > np.median(counts, axis=1, keepdims=True), axis=1)
+        out[some] = [code.tobytes().hex() for code in codes]
+        at = upto
+    return pd.Series(out, dtype=object)
 
 
 def text_print(text: Column) -> Column:

@@ -236,12 +236,20 @@ def worst_errors(predictions: DataFrame, k: int, key: str = "id") -> DataFrame:
 
 
 def log_loss(predictions: DataFrame, weights: DataFrame | None = None,
-             by: Sequence[str] = ()) -> DataFrame:
+             by: Sequence[str] = (), floor: float = 1e-15) -> DataFrame:
     """Cross-entropy of the true class; with class weights, the weighted mean.
 
-    ``weights`` (label, weight) has one row per class.
+    Taken from ``logits`` where the predictions have them, as the log of the sum of their
+    exponentials less that of the true class.  Without them a probability below ``floor`` counts
+    as ``floor``: its row has a large loss and is not lost.  ``weights`` (label, weight) has one
+    row per class.
     """
-    loss = -F.ln(F.col("probs")[F.col("label")])
+    if "logits" in predictions.columns:
+        top = F.array_max("logits")
+        spread = F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+        loss = F.ln(spread) + top - F.col("logits")[F.col("label")]
+    else:
+        loss = -F.ln(F.greatest(F.col("probs")[F.col("label")], F.lit(floor)))
     if weights is None:
         return predictions.groupBy(*by).agg(F.avg(loss).alias("log_loss"))
     weighted = predictions.join(F.broadcast(weights), "label")

@@ -16,11 +16,20 @@ def moved(original: Column, new: Column) -> Column:
             | ((original == "Testing") & (new == "train")))
 
 
-def migration_table(original: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per file name found on both sides: filename, label, original, new.
+def migration_table(original: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+    """One row per file found on both sides: key, filename, label, original, new.
 
-    A name must be unique on each side; names that are not come from :func:`ambiguous_names`
-    and are left out here instead of overwriting each other.
+    Files meet by their source path, of which each is unique, so names may repeat.
+    """
+    return original.select(key, "filename", "label", "original").join(
+        new.select(key, F.col("split").alias("new")), key)
+
+
+def migration_by_name(original: DataFrame, new: DataFrame) -> DataFrame:
+    """The same for sides that share nothing but file names: filename, label, original, new.
+
+    A name must be unique on each side.  Names that are not cannot be matched; they come from
+    :func:`ambiguous_names` with the number of their files, which totals have to add.
     """
     return _unique_names(original, ["label", "original"]).join(
         _unique_names(new, ["split"]).withColumnRenamed("split", "new"), "filename").select(

@@ -99,14 +99,13 @@ def mixup(batched: DataFrame, key: str, vector: str, label: str = "label", alpha
     order = seeded_key(seed, F.lit("partner"), F.col(key))
     in_order = Window.partitionBy("batch_id").orderBy("slot")
     at_random = Window.partitionBy("batch_id").orderBy(order, key)
-    left = batched.withColumn("_place", F.row_number().over(in_order))
+    left = batched.withColumns({"_place": F.row_number().over(in_order),
+                                "lam": mix_lambda(F.col("batch_id"), alpha, seed)})
     right = batched.select(
         "batch_id", F.row_number().over(at_random).alias("_place"),
         F.col(key).alias("partner"), F.col(vector).alias("_other"), F.col(label).alias("label_b"))
-    lambdas = batched.select("batch_id").distinct().withColumn(
-        "lam", mix_lambda(F.col("batch_id"), alpha, seed))
     mixed = F.zip_with(F.col(vector), F.col("_other"),
                        lambda x, y: F.col("lam") * x + (1 - F.col("lam")) * y)
-    return (left.join(right, ["batch_id", "_place"]).join(lambdas, "batch_id")
+    return (left.join(right, ["batch_id", "_place"])
             .select("batch_id", "slot", key, "partner", "lam", F.col(label).alias("label_a"),
                     "label_b", mixed.alias("mixed")))

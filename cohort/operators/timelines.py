@@ -72,12 +72,14 @@ def admit(state: tuple[float, int] | None, at: int, n: int, rate: float,
     """Leaky bucket: how many of ``n`` requests at millisecond ``at`` pass, and the new state.
 
     A bucket starts empty; each request adds one, time drains ``rate`` per second, and a request
-    that would lift the level above ``burst`` is refused and leaves the state as it was.
+    that would lift the level above ``burst`` is refused and leaves the state as it was.  Time
+    never runs back: a request older than the state counts at the time of the state.
     """
     if state is None:
         first = 0.0
     else:
         level, last = state
+        at = max(at, last)
         first = max(0.0, level - rate * (at - last) / 1000.0 + 1.0)
     if first > burst:
         return state, 0

@@ -284,16 +284,18 @@ def unclustered_split(spark, folder):
 
 
 MIGRATED_SQL = ASSIGNED_SQL + """,
-migrated AS (SELECT 'doc_' || id AS filename, label, original, split AS new FROM assigned),
+migrated AS (SELECT id, 'doc_' || (id % 97) AS filename, label, original, split AS new
+  FROM assigned),
 crossed AS (SELECT *, (original = 'Training' AND new <> 'train')
   OR (original = 'Testing' AND new = 'train') AS moved FROM migrated)"""
 
 
 def _migrations(spark, folder):
+    """Files meet by id; their names repeat, as they do in real folders."""
     rows = assigned(spark, folder)
-    name = F.concat(F.lit("doc_"), "id").alias("filename")
-    original = documents(spark, folder).select(name, "label", "original")
-    return migration.migration_table(original, rows.select(name, "split"))
+    name = F.concat(F.lit("doc_"), F.col("id") % 97).alias("filename")
+    original = documents(spark, folder).select("id", name, "label", "original")
+    return migration.migration_table(original, rows.select("id", "split"), "id")
 
 
 @query("j6_migration_table", f"WITH {MIGRATED_SQL} SELECT * FROM migrated")
@@ -385,7 +387,7 @@ def hamming_distances(spark, folder):
 
 
 @query("p9_moved_rows", f"""WITH {MIGRATED_SQL}
-SELECT filename, original, new FROM crossed WHERE moved""")
+SELECT id, filename, original, new FROM crossed WHERE moved""")
 def moved_rows(spark, folder):
     moves = _migrations(spark, folder)
     return moves.where(migration.moved(F.col("original"), F.col("new"))).drop("label")

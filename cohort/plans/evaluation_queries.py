@@ -233,9 +233,9 @@ def _comparison(spark, folder):
 @query("m17_log_loss", f"""WITH {predictions_sql()},
 weight AS (SELECT label, (SELECT count(*) FROM pred) / (10.0::DOUBLE * count(*)) AS w
   FROM pred GROUP BY label)
-SELECT round(avg(-ln(probs[label + 1])), 5) AS log_loss,
-  round(sum(w * -ln(probs[label + 1])) / sum(w), 5) AS weighted_log_loss
-FROM pred JOIN weight USING (label)""")
+SELECT round(avg(loss), 5) AS log_loss, round(sum(w * loss) / sum(w), 5) AS weighted_log_loss
+FROM (SELECT label, ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))))
+    + list_max(logits) - logits[label + 1] AS loss FROM pred) JOIN weight USING (label)""")
 def log_loss(spark, folder):
     scored = predictions(spark, folder)
     weights = prep.class_weights(scored, TOPICS).select("label", "weight")

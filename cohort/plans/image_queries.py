@@ -32,25 +32,6 @@ def base_transform(spark, folder):
         F.size("tensor").alias("length")), "first_r", "first_g", "last_b", digits=4)
 
 
-def _variants(spark, folder, mode):
-    done = augment.transform_images(vector_images(spark, folder), "vec_id", mode, variants=2,
-                                    size=32, keep=("label",))
-    return done.select("vec_id", "label", "variant", F.size("tensor").alias("length"),
-                       F.array_min("tensor").alias("low"), F.array_max("tensor").alias("high"))
-
-
-@query("w8_conservative_variants")
-def conservative_variants(spark, folder):
-    """Random numpy transforms, so there is no SQL form."""
-    return _variants(spark, folder, "conservative")
-
-
-@query("w9_aggressive_variants")
-def aggressive_variants(spark, folder):
-    """Random numpy transforms, so there is no SQL form."""
-    return _variants(spark, folder, "aggressive")
-
-
 @query("w11_image_prints")
 def image_prints(spark, folder):
     """Perceptual hash of every picture; resize and cosine transform have no SQL form."""

@@ -282,6 +282,19 @@ def access_log(spark, folder):
         "bytes", "request_time")
 
 
+@query("s11_rejected_lines", """SELECT CASE WHEN user_id IS NULL THEN NULL
+  ELSE 'upstream timed out for 10.0.0.' || user_id END AS value FROM events
+WHERE event_type = 'error'""")
+def rejected_lines(spark, folder):
+    """Lines of the error kind stand in another form between the access lines."""
+    good = F.format_string('10.0.0.%d - - [01/Jan/2024:00:00:00 +0000] "GET /%s HTTP/1.1" 200 1 '
+                           '"-" "probe/1.0" rt=0.1', "user_id", "event_type")
+    bad = F.concat(F.lit("upstream timed out for 10.0.0."), "user_id")
+    lines = table(spark, folder, "events").select(
+        F.when(F.col("event_type") == "error", bad).otherwise(good).alias("value"))
+    return logs.rejected_access_lines(lines)
+
+
 @query("m1_api_responses", f"""WITH {predictions_sql()}
 SELECT id, 'topic' || pred AS prediction, round(confidence, 4) AS confidence,
   substr(sha256('scan_' || id), 1, 12) || '.dcm' AS resource FROM pred""")

@@ -1,4 +1,9 @@
-"""Keyed state: rate limits and health checks as streams."""
+"""Keyed state: rate limits and health checks as streams.
+
+Rows wait in the state until the watermark has passed them and are then replayed in the order of
+their time, so results do not depend on how rows fall into batches.  Rows that come after the
+watermark has passed their time are replayed at once, at the time the state has reached.
+"""
 
 from __future__ import annotations
 
@@ -16,50 +21,66 @@ from cohort.operators.timelines import (BURSTS, PROBE_RETRIES, RATE_PER_SECOND,
 def streamed_breaches(requests: DataFrame, rate: float = RATE_PER_SECOND,
                       burst: int = BURSTS["/predict"], client: str = "client",
                       delay: str = "10 seconds") -> DataFrame:
-    """Refused requests per client and millisecond, in event-time order within a batch.
+    """Refused requests per client and millisecond.
 
-    The state is the level of the bucket; it expires when the bucket must have drained.
+    The state is the level of the bucket and the requests that wait, counted per millisecond; it
+    expires when the bucket must have drained.
     """
     kind = requests.schema[client].dataType.simpleString()
     drained_ms = int((burst + 1) / rate * 1000) + 1
 
     def replay(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counts = Counter()
+        level, last, ats, ns = state.get if state.exists else (0.0, -1, [], [])
+        waiting = Counter(dict(zip(ats, ns)))
         for frame in frames:
-            counts.update(frame["at"].tolist())
-        level = tuple(state.get) if state.exists else None
+            waiting.update(frame["at"].tolist())
+        mark = state.getCurrentWatermarkMs()
+        bucket = None if last < 0 else (level, last)
         rows = []
-        for at, n in sorted(counts.items()):
-            level, passed = admit(level, int(at), int(n), rate, burst)
+        for at, n in sorted((a, n) for a, n in waiting.items() if a < mark):
+            bucket, passed = admit(bucket, int(at), int(n), rate, burst)
             if passed < n:
                 rows.append((key[0], int(at), int(n), int(n) - passed))
-        if level is not None:
-            state.update((float(level[0]), int(level[1])))
-            state.setTimeoutTimestamp(max(level[1], state.getCurrentWatermarkMs()) + drained_ms)
+        rest = sorted((a, n) for a, n in waiting.items() if a >= mark)
+        if rest or (bucket and bucket[1] + drained_ms > mark):
+            level, last = bucket or (0.0, -1)
+            state.update((float(level), int(last), [int(a) for a, _ in rest],
+                          [int(n) for _, n in rest]))
+            due = rest[0][0] + 1 if rest else last + drained_ms
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=[client, "at", "n", "refused"])
 
     timed = (requests.withWatermark("ts", delay)
              .select(client, "ts", F.unix_millis("ts").alias("at")))
     return timed.groupBy(client).applyInPandasWithState(
         replay, f"{client} {kind}, at bigint, n bigint, refused bigint",
-        "level double, last bigint", "append", GroupStateTimeout.EventTimeTimeout
+        "level double, last bigint, at array<bigint>, n array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout
     ).withColumn("at", F.timestamp_millis("at"))
 
 
 def health_changes(probes: DataFrame, retries: int = PROBE_RETRIES,
-                   grace_seconds: int = START_GRACE_SECONDS) -> DataFrame:
-    """A row whenever a target turns unhealthy or recovers: target, at, healthy."""
+                   grace_seconds: int = START_GRACE_SECONDS, delay: str = "1 minute"
+                   ) -> DataFrame:
+    """A row whenever a target turns unhealthy or recovers: target, at, healthy.
+
+    Of probes at one time the failed ones count first.  A target is remembered as long as the
+    stream runs; there are few.
+    """
     kind = probes.schema["target"].dataType.simpleString()
 
     def follow(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        begin, failures = state.get if state.exists else (None, 0)
-        rows = []
-        for at, ok in pd.concat(list(frames)).sort_values("at")[["at", "ok"]].itertuples(
-                index=False):
-            begin = int(at) if begin is None else begin
+        begin, failures, ats, oks = state.get if state.exists else (-1, 0, [], [])
+        waiting = list(zip(ats, oks))
+        for frame in frames:
+            waiting += zip(frame["at"].tolist(), frame["ok"].tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        rows, rest = [], [(a, ok) for a, ok in waiting if a >= mark]
+        for at, ok in waiting[:len(waiting) - len(rest)]:
+            begin = at if begin < 0 else begin
             if ok:
                 if failures >= retries:
                     rows.append((key[0], int(at), True))
@@ -68,11 +89,16 @@ def health_changes(probes: DataFrame, retries: int = PROBE_RETRIES,
                 failures += 1
                 if failures == retries:
                     rows.append((key[0], int(at), False))
-        state.update((begin, failures))
+        state.update((int(begin), int(failures), [int(a) for a, _ in rest],
+                      [bool(ok) for _, ok in rest]))
+        if rest:
+            state.setTimeoutTimestamp(max(rest[0][0], mark) // 1000 + 1)
         yield pd.DataFrame(rows, columns=["target", "at", "healthy"])
 
-    timed = probes.select("target", F.unix_micros("ts").alias("at"), "ok")
+    timed = probes.withWatermark("ts", delay).select(
+        "target", "ts", F.unix_micros("ts").alias("at"), "ok")
     return timed.groupBy("target").applyInPandasWithState(
-        follow, f"target {kind}, at bigint, healthy boolean", "begin bigint, failures int",
-        "append", GroupStateTimeout.NoTimeout
+        follow, f"target {kind}, at bigint, healthy boolean",
+        "begin bigint, failures int, at array<bigint>, ok array<boolean>",
+        "append", GroupStateTimeout.EventTimeTimeout
     ).withColumn("at", F.timestamp_micros("at"))

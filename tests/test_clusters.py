@@ -131,6 +131,15 @@ def test_same_label_clusters_can_leak_across_labels(spark):
     assert found == {("p", "p"): "test+train", ("p", "q"): "test+train+val"}
 
 
+def test_migration_keeps_files_that_share_a_name(spark):
+    original = spark.createDataFrame(
+        [("a/1", "1", "x", "Training"), ("b/1", "1", "x", "Testing"), ("c/2", "2", "y", "Testing")],
+        "path string, filename string, label string, original string")
+    new = original.select("path").withColumn("split", F.lit("train"))
+    moves = migration.migration_table(original, new)
+    assert migration.overall_migration(moves).first().total == 3
+
+
 def test_migration_counts(spark):
     original = spark.createDataFrame(
         [("a", "x", "Training"), ("b", "x", "Training"), ("c", "y", "Testing"),
@@ -139,7 +148,7 @@ def test_migration_counts(spark):
     new = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "train"), ("d", "val"),
                                  ("twice", "val"), ("new", "val")],
                                 "filename string, split string")
-    moves = migration.migration_table(original, new)
+    moves = migration.migration_by_name(original, new)
     assert {(r.filename, r.original, r.new) for r in moves.collect()} == {
         ("a", "Training", "train"), ("b", "Training", "test"), ("c", "Testing", "train"),
         ("d", "Testing", "val")}

@@ -135,6 +135,15 @@ def test_log_loss_and_worst_errors(spark):
     assert [r.id for r in metrics.worst_errors(rows, 5).collect()] == [3, 2]
 
 
+def test_log_loss_keeps_rows_of_probability_zero(spark):
+    rows = spark.createDataFrame([(0, [.9, .1], [3.0, 0.8]), (1, [1.0, 0.0], [900.0, 0.0])],
+                                 "label int, probs array<double>, logits array<double>")
+    assert metrics.log_loss(rows.drop("logits"), floor=1e-10).first().log_loss == pytest.approx(
+        (-np.log(.9) - np.log(1e-10)) / 2)
+    assert metrics.log_loss(rows).first().log_loss == pytest.approx(
+        (np.log(1 + np.exp(-2.2)) + 900.0) / 2)
+
+
 def naive_stop(scores, patience, delta, mode):
     best, waited = None, 0
     for epoch, s in enumerate(scores, 1):

@@ -1,6 +1,8 @@
+import datetime
 import os
 import random
 import shutil
+import time
 
 import pytest
 from conftest import picture, png
@@ -19,6 +21,22 @@ def stream(spark, frame, tmp_path, name="source"):
     return spark.readStream.schema(frame.schema).parquet(path)
 
 
+END = datetime.datetime(2024, 2, 1)
+
+
+def dealt_stream(spark, frame, tmp_path, files):
+    """The rows in any order over some files, one file a batch, and the end behind them."""
+    path = tmp_path / f"dealt-{files}"
+    for k in range(files):
+        frame.where(F.pmod(F.hash(*frame.columns), F.lit(files)) == k).orderBy(
+            F.rand(files)).coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(0.05)  # files are read in the order of their times
+    end = [F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name)
+           for f in frame.schema]
+    spark.range(1).select(*end).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
 def at(seconds):
     return F.timestamp_millis((F.lit(1_704_067_200_000) + seconds * 1000).cast("bigint"))
 
@@ -61,9 +79,10 @@ def test_leaky_bucket_batch_and_stream(spark, tmp_path):
         if refused:
             expected[client] = refused
     assert got == expected and set(got) == {"flood", "bursts"}
-    live = run_available(stateful.streamed_breaches(stream(spark, frame, tmp_path), 10.0, 20),
-                         "breaches")
-    assert sorted(live.collect()) == sorted(batch.collect())
+    for files in (1, 3):
+        live = run_available(stateful.streamed_breaches(
+            dealt_stream(spark, frame, tmp_path, files), 10.0, 20, delay="2 hours"), "breaches")
+        assert sorted(live.collect()) == sorted(batch.collect())
     busy = timelines.busy_seconds(frame)
     assert {r.client for r in busy.collect()} == {"flood", "bursts"}
 
@@ -83,11 +102,18 @@ def test_health_batch_and_stream(spark, tmp_path):
     base = 1_704_067_200_000
     assert sorted((r.target, (r.u - base) // 1000, r.failures) for r in spans) == [
         ("a", 60 + 30 * 6, 4), ("a", 60 + 30 * 11, 3), ("late", 120, 3)]
-    live = run_available(stateful.health_changes(stream(spark, probes, tmp_path)), "health")
-    rows = sorted((r.target, (r.u - base) // 1000, r.healthy) for r in live.select(
-        "target", F.unix_millis("at").alias("u"), "healthy").collect())
-    assert rows == [("a", 240, False), ("a", 300, True), ("a", 390, False),
-                    ("late", 120, False), ("late", 150, True)]
+    for files in (1, 3):
+        live = run_available(stateful.health_changes(
+            dealt_stream(spark, probes, tmp_path, files), delay="2 hours"), "health")
+        rows = sorted((r.target, (r.u - base) // 1000, r.healthy) for r in live.select(
+            "target", F.unix_millis("at").alias("u"), "healthy").collect())
+        assert rows == [("a", 240, False), ("a", 300, True), ("a", 390, False),
+                        ("late", 120, False), ("late", 150, True)]
+
+
+def test_time_never_runs_back_in_a_bucket():
+    state, passed = timelines.admit((5.0, 10_000), 9_000, 1, 10.0, 20)
+    assert passed == 1 and state == (6.0, 10_000)
 
 
 def test_sessions_batch_and_stream(spark, tmp_path):
