@@ -56,8 +56,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: the pieces of documents that each holds, as byte tokens and end marks."""
     lengths = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
                           .alias("length"))
-    return pack(lengths).groupBy("bin", "capacity", "used").agg(F.sort_array(F.collect_list(
+    bins = pack(lengths).groupBy("bin", "capacity", "used").agg(F.sort_array(F.collect_list(
         F.struct("offset", "doc_id", "piece", "start", "length"))).alias("pieces"))
+    return bins.withColumn("doc_ids", F.col("pieces.doc_id"))
 
 
 STAGES = [("language", known_language), ("near copies", without_near_copies),
