@@ -27,9 +27,9 @@ SHINGLE, BANDS, BAND_ROWS, THRESHOLD = 5, 20, 4, 0.8
 #: Registers in all; those beyond the bands sharpen the estimate of similarity.
 REGISTERS = 400
 #: Rounds in which each node is compared with its likeliest partner only.
-ROUNDS = 3
+ROUNDS = 2
 #: Members of a bucket that are compared as one block.
-BLOCK = 256
+BLOCK = 1024
 #: Points drawn in one go for all processes that are still running.
 POINTS = 1 << 16
 
@@ -132,7 +132,8 @@ def _sign(bands: int, band_rows: int, m: int):
                     pa.ListArray.from_arrays(
                         np.r_[0, np.cumsum(some * bands)].astype(np.int32),
                         keys[some].reshape(-1)),
-                    _fixed((codes & np.uint64(255)).astype(np.uint8)),
+                    _fixed(np.concatenate([(codes & np.uint64(255)).astype(np.uint8),
+                                           keys.view(np.uint8)], axis=1)),
                 ], names=["key", "row_key", "node", "total", "bands", "sketch"])
 
     return run
@@ -184,20 +185,31 @@ def _agreements(one: np.ndarray, two: np.ndarray, na: np.ndarray, nb: np.ndarray
     return out
 
 
-def _pairs_of_blocks(least: int, every: bool):
+def _pairs_of_blocks(least: int, every: bool, bands: int):
     """Pairs of nodes in different components whose sketches agree in ``least`` registers or
-    more: each node with its best partner in the other block, or every such pair."""
+    more: each node with its best partner in the other block, or every such pair.
+
+    A sketch ends with the buckets of its node.  A pair counts only in the first bucket that it
+    shares.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one, ga, a, two, gb, b = (c[i].as_py() for c in batch.columns)
+                bucket, one, ga, a, two, gb, b = (c[i].as_py() for c in batch.columns)
                 rank = {g: k for k, g in enumerate({*ga, *gb})}
                 if len(rank) == 1:
                     continue
-                agree = _agreements(
-                    np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1),
-                    np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1),
-                    np.array([rank[g] for g in ga]), np.array([rank[g] for g in gb]))
+                a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+                agree = _agreements(a[:, :-8 * bands], b[:, :-8 * bands],
+                                    np.array([rank[g] for g in ga]),
+                                    np.array([rank[g] for g in gb]))
+                ka, kb = (np.ascontiguousarray(s[:, -8 * bands:]).view(np.int64) for s in (a, b))
+                x, y = np.nonzero(agree >= least)
+                for at in range(0, len(x), 1 << 16):
+                    p, q = x[at:at + (1 << 16)], y[at:at + (1 << 16)]
+                    first = (ka[p] == kb[q]).argmax(axis=1)
+                    later = ka[p, first] != bucket
+                    agree[p[later], q[later]] = 0
                 if every:
                     x, y = np.nonzero(agree >= least)
                 else:
@@ -216,7 +228,7 @@ def _pairs_of_blocks(least: int, every: bool):
 
 
 def _candidates(shared: DataFrame, sketches: DataFrame, found: DataFrame, least: int,
-                every: bool) -> DataFrame:
+                every: bool, bands: int) -> DataFrame:
     """Pairs to compare in the buckets whose members are still in several components.
 
     A bucket is cut into blocks, and each pair of its blocks is looked at on its own.
@@ -238,8 +250,8 @@ def _candidates(shared: DataFrame, sketches: DataFrame, found: DataFrame, least:
     right = blocks.select("bucket", F.col("block").alias("other"),
                           *(F.col(c).alias(c[2:] + "2") for c in columns))
     pairs = (left.join(right, ["bucket", "other"])
-             .select("node", "component", "sketch", "node2", "component2", "sketch2")
-             .mapInArrow(_pairs_of_blocks(least, every), "a binary, b binary, agree int"))
+             .select("bucket", "node", "component", "sketch", "node2", "component2", "sketch2")
+             .mapInArrow(_pairs_of_blocks(least, every, bands), "a binary, b binary, agree int"))
     if every:
         return written(pairs.select("a", "b").distinct(), "pairs")
     pairs = written(pairs.distinct(), "block-pairs")
@@ -296,11 +308,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                        .select("node", "sketch").dropDuplicates(["node"]), "sketches")
     links = _links(texts, pairs, threshold)
     least = int(REGISTERS * threshold - 4 * (REGISTERS * threshold * (1 - threshold)) ** 0.5)
+    found = _joined(None, links)
     for every in [False] * ROUNDS + [True]:
-        found = written(connected_components(links, "a", "b"), "components")
-        more = _links(texts, _candidates(shared, sketches, found, least, every), threshold)
-        links = links.unionByName(more)
-    found = written(connected_components(links, "a", "b"), "components")
+        pairs = _candidates(shared, sketches, found, least, every, bands)
+        found = _joined(found, _links(texts, pairs, threshold))
 
     classes = nodes.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -320,6 +331,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (alone | (F.col("row_key") == F.col("lowest.row_key"))).alias("first"))
 
 
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links; only components that the links join are looked at."""
+    if found is None:
+        return written(connected_components(links, "a", "b"), "components")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = written(found.unionByName(ends.join(found, "node", "left_anti").select(
+        "node", F.col("node").alias("component"))), "components")
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.join(known.select(F.col("node").alias(end),
+                                        F.col("component").alias(f"{end}2")), end)
+    edges = written(edges.select("a2", "b2").where("a2 <> b2").distinct(), "joins")
+    if edges.isEmpty():
+        return known
+    merged = connected_components(edges, "a2", "b2").select(
+        F.col("node").alias("component"), F.col("component").alias("into"))
+    return written(known.join(merged, "component", "left").select(
+        "node", F.coalesce("into", "component").alias("component")), "components")
+
+
 def _texts(source: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes; each is looked up by its lowest row.
 
