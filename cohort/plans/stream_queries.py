@@ -121,7 +121,7 @@ def busy_windows(spark, folder):
 
 
 BUCKET_SQL = """RECURSIVE counted AS (
-  SELECT user_id % 5 AS client, epoch_ms(ts) AS ms, count(*) AS n FROM events GROUP BY 1, 2),
+  SELECT user_id % 5 AS client, epoch_us(ts) // 1000 AS ms, count(*) AS n FROM events GROUP BY 1, 2),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ms) AS i FROM counted),
 step AS (
   SELECT client, i, ms, n, least(n, 3)::BIGINT AS passed,
