@@ -14,12 +14,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.llm.textbytes import BYTE_CODE, LOWER, chunks, mix, word_bounds, word_hashes
 
 #: Hashed features, and labelled rows of each language that are fitted.
-BITS, PER_LANGUAGE = 16, 120
+BITS, PER_LANGUAGE = 16, 80
 #: A word is in a language's lexicon if so many training texts of it, and a tenth of that share of
 #: texts in any other at most, have it.
 LEXICON_TEXTS = 3
@@ -266,10 +266,13 @@ def with_languages(docs: DataFrame, held_out: Column, key: str = "doc_id", text:
     known = docs.where(~held_out & F.col(key).isNotNull() & F.col(lang).isNotNull()
                        & (F.length(text) > 0)).select(
         F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
-    per = known.groupBy("l").agg(F.min("h")).select("l").collect()
-    picked = [known.where(F.col("l") == r[0]).dropDuplicates(["h"]).orderBy("h").limit(per_language)
-              for r in sorted(per)]
-    rows = pd.concat([p.select("l", "t", "h").toPandas() for p in picked]) if picked else []
+    # hashes are picked before texts are moved: per_language of each language, small enough to
+    # broadcast whatever the table
+    lowest = Window.partitionBy("l").orderBy("h")
+    picked = (known.select("l", "h").distinct().withColumn("nth", F.row_number().over(lowest))
+              .where(F.col("nth") <= per_language).drop("nth"))
+    rows = (known.join(F.broadcast(picked), ["l", "h"]).dropDuplicates(["l", "h"])
+            .orderBy("l", "h").toPandas())
     out = "lang_pred string, score double"
     if not len(rows):
         return docs.withColumn("predicted", F.struct(F.lit("und").alias("lang_pred"),
