@@ -158,11 +158,19 @@ def multikey_sort(words: np.ndarray, place: np.ndarray, depths: list[int]
     """
     members, run = np.arange(len(place)), np.zeros(len(place), np.int64)
     for depth in depths:
-        key = words[place[members] + depth]
-        order = np.lexsort((key, run)) if run.any() else np.argsort(key)
-        members, key, run = members[order], key[order], run[order]
         if not len(members):
             break
+        key = words[place[members] + depth]
+        if depth == depths[0]:
+            order = np.argsort(key)
+            members, key = members[order], key[order]
+        else:  # runs whose strings all have the same word are in order as they are
+            differs = (key[1:] != key[:-1]) & (run[1:] == run[:-1])
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[1:][differs]] = True
+            some = np.flatnonzero(mixed[run])
+            order = some[np.lexsort((key[some], run[some]))]
+            members[some], key[some] = members[order], key[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (run[1:] != run[:-1])]
         run = np.cumsum(new) - 1
         tied = np.bincount(run)[run] > 1
