@@ -2,9 +2,10 @@
 
 Patterns find the protected entities: addresses, card and phone numbers.  A term that stands near
 an entity reveals it as far as the corpus lets one be inferred from the other.  With p the share
-of documents, the pointwise mutual information log p(t, e) / (p(t) p(e)) is compared with the
+of distinct texts, the pointwise mutual information log p(t, e) / (p(t) p(e)) is compared with the
 information -log p(e) of the entity: a term that discloses more than a share of it is
-generalised, one that discloses nearly all of it is removed.
+generalised, one that discloses nearly all of it is removed.  A pair seen in one text is judged
+like any other: what it discloses then depends on how rare the term is in the corpus.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from cohort.llm.textbytes import chunks, word_bounds, word_hashes
 from cohort.session import written
 
 KINDS = ("email", "ip", "card", "phone", "general", "term")
-#: Words on each side of an entity that may disclose it, documents that have to show it, and the
+#: Words on each side of an entity that may disclose it, texts that have to show it, and the
 #: shares of the entity's information from which a term is generalised or removed.
-REACH, SUPPORT, GENERALISE, REMOVE = 5, 2, 0.7, 0.9
+REACH, SUPPORT, GENERALISE, REMOVE = 5, 1, 0.7, 0.9
+#: Rows of places that are held before they are passed on.
+HELD = 1 << 17
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -32,6 +35,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 DIGITS = re.compile(r"[0-9]")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -95,50 +99,75 @@ def near_words(text: str, start: int, end: int, reach: int) -> list[tuple[int, i
     return [(a, b) for a, b in words if any(c.isalpha() for c in text[a:b])]
 
 
+def term_places(text: str, spans: list[tuple[int, int, int]], reach: int
+                ) -> dict[str, tuple[list[int], list[int]]]:
+    """Starts and ends of each word near a span, outside of all spans."""
+    near = sorted({w for a, _, b in spans for w in near_words(text, a, b, reach)})
+    places: dict[str, tuple[list[int], list[int]]] = {}
+    at, done = 0, 0
+    for x, y in near:
+        while at < len(spans) and spans[at][0] < y:
+            done = max(done, spans[at][2])
+            at += 1
+        if x >= done:
+            starts, ends = places.setdefault(text[x:y].translate(LOWER), ([], []))
+            starts.append(x)
+            ends.append(y)
+    return places
+
+
+def entity_code(text: str, start: int, kind: int, end: int) -> int:
+    value = text[start:end].lower()
+    value = value if kind < 2 else "".join(DIGITS.findall(value))
+    return int.from_bytes(hashlib.blake2b(
+        f"{kind}{value}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def _find(reach: int):
+    def row(kind, **columns):
+        n = len(next(iter(columns.values())))
+        return pa.record_batch(
+            [pa.array(np.full(n, kind, np.int32))]
+            + [columns.get(f.name, pa.nulls(n, f.type)) for f in SCHEMA], names=[
+                "what", *SCHEMA.names])
+
+    def table(kind, names, tuples):
+        return row(kind, **{n: pa.array(values, SCHEMA.field(n).type)
+                            for n, values in zip(names, zip(*tuples))})
+
+    def terms(near):
+        data = np.frombuffer("\n".join(x[1] for x in near).encode(), np.uint8)
+        begin, end, _ = word_bounds(data, np.array([0, len(data)]))
+        codes = word_hashes(data, begin, end).view(np.int64).tolist()
+        return table(1, ("tkey", "term", "starts", "ends"),
+                     [(x[0], code, *x[2:]) for x, code in zip(near, codes)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 2), np.uint64)
-
-        def row(kind, **columns):
-            n = len(next(iter(columns.values())))
-            return pa.record_batch(
-                [pa.array(np.full(n, kind, np.int32))]
-                + [columns.get(f.name, pa.nulls(n, f.type)) for f in SCHEMA], names=[
-                    "what", *SCHEMA.names])
-
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            docs, near = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                text = text or ""
+            found, near, entities = [], [], []
+            for tkey, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
                 spans = base_spans(text)
+                if not spans:
+                    continue
                 kinds = [k for _, k, _ in spans]
-                docs.append((*(kinds.count(k) for k in range(4)),
-                             [a for a, _, _ in spans], kinds, [b for _, _, b in spans]))
-                taken = [(a, b) for a, _, b in spans]
-                for a, k, b in spans:
-                    value = text[a:b].lower()
-                    value = value if k < 2 else "".join(DIGITS.findall(value))
-                    entity = int.from_bytes(hashlib.blake2b(
-                        f"{k}{value}".encode(), digest_size=8).digest(), "big", signed=True)
-                    for x, y in near_words(text, a, b, reach):
-                        if all(y <= c or x >= d for c, d in taken):
-                            near.append((i, entity, text[x:y], x, y))
-            columns = list(zip(*docs)) or [[]] * 7
-            yield row(0, id=ids, tkey=keys, **{
-                name: pa.array(values, SCHEMA.field(name).type) for name, values in zip(
-                    ("n_email", "n_ip", "n_card", "n_phone", "starts", "kinds", "ends"), columns)})
+                found.append((tkey, *(kinds.count(k) for k in range(4)),
+                              [a for a, _, _ in spans], kinds, [b for _, _, b in spans]))
+                entities += [(tkey, e) for e in {entity_code(text, *s) for s in spans}]
+                near += [(tkey, word, *ends)
+                         for word, ends in term_places(text, spans, reach).items()]
+                if len(near) > HELD:
+                    yield terms(near)
+                    near = []
+            if found:
+                yield table(0, ("tkey", "n_email", "n_ip", "n_card", "n_phone", "starts", "kinds",
+                                "ends"), found)
+                yield table(3, ("tkey", "entity"), entities)
             if near:
-                at = pa.array([x[0] for x in near])
-                data = np.frombuffer("\n".join(x[2] for x in near).encode(), np.uint8)
-                begin, end, _ = word_bounds(data, np.array([0, len(data)]))
-                yield row(1, id=ids.take(at), tkey=keys.take(at),
-                          entity=pa.array([x[1] for x in near], pa.int64()),
-                          term=pa.array(word_hashes(data, begin, end).view(np.int64)),
-                          start=pa.array([x[3] for x in near], pa.int64()),
-                          end=pa.array([x[4] for x in near], pa.int64()))
+                yield terms(near)
             # in how many texts each word stands, added up as far as memory allows
-            for _, data, offsets in chunks(batch.column(2)):
+            for _, data, offsets in chunks(batch.column(1)):
                 begin, end, rows = word_bounds(data, offsets)
                 words = word_hashes(data, begin, end)
                 order = np.lexsort((rows, words))
@@ -169,13 +198,63 @@ def _added(held: np.ndarray) -> np.ndarray:
 
 
 SCHEMA = pa.schema([
-    ("id", pa.int64()), ("tkey", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()),
-    ("n_card", pa.int64()), ("n_phone", pa.int64()), ("starts", pa.list_(pa.int64())),
-    ("kinds", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64())), ("entity", pa.int64()),
-    ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
-DDL = ("what int, id bigint, tkey bigint, n_email bigint, n_ip bigint, n_card bigint, "
-       "n_phone bigint, starts array<bigint>, kinds array<int>, ends array<bigint>, "
-       "entity bigint, term bigint, start bigint, end bigint, n bigint")
+    ("tkey", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()),
+    ("n_phone", pa.int64()), ("starts", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())),
+    ("ends", pa.list_(pa.int64())), ("entity", pa.int64()), ("term", pa.int64()),
+    ("n", pa.int64())])
+DDL = ("what int, tkey bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
+       "starts array<bigint>, kinds array<int>, ends array<bigint>, entity bigint, term bigint, "
+       "n bigint")
+
+
+def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """(tkey, text) of each distinct text, and how many there are; only copies are moved."""
+    copies = written(keyed.groupBy("tkey").agg(F.count("*").alias("n")), "text-copies")
+    repeated = copies.where("n > 1").select("tkey")
+    texts = keyed.select("tkey", F.coalesce("text", F.lit("")).alias("text"))
+    once = texts.join(repeated, "tkey", "left_anti")
+    return once.unionByName(texts.join(repeated, "tkey", "left_semi").dropDuplicates(["tkey"])), \
+        copies.count()
+
+
+def disclosing_terms(found: DataFrame, total: int, support: int, generalise: float,
+                     remove: float) -> DataFrame:
+    """(tkey, more): places of the terms that disclose an entity of their text.
+
+    Entities that stand in the same texts are one, so a text with many entities of its own is no
+    more work than one with a single entity.
+    """
+    n, held = float(max(total, 1)), found.where("what = 3").select("tkey", "entity")
+    same = held.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.bit_xor("tkey").alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "tkey")).alias("y")).where(F.col("n_entity") < n)
+    classes = written(held.join(same.select("entity", "n_entity", F.xxhash64("n_entity", "x", "y")
+                                            .alias("class")), "entity")
+                      .select("tkey", "class", "n_entity").distinct(), "entity-classes")
+    # a term discloses the share if it stands in every text of the entity, or not at all:
+    # n_term has a limit that leaves out no pair
+    limit = n ** (1 - generalise) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)
+    most = classes.agg(F.max(limit)).head()[0] or 0.0
+    near = found.where("what = 1").select("tkey", "term", "starts", "ends")
+    terms = (found.where("what = 2").join(near.select("term").distinct(), "term", "left_semi")
+             .groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") <= most))
+    pairs = written(near.join(terms, "term").join(classes, "tkey")
+                    .where(F.col("n_term") <= limit), "entity-terms")
+    # both shares come from texts: a pair cannot be seen more often than its term
+    both = F.least("n_both", "n_term", "n_entity")
+    told = (F.log(both * n / (F.col("n_term") * F.col("n_entity")))
+            / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9)) + 1e-9)
+    disclosed = written(
+        pairs.groupBy("class", "term", "n_term", "n_entity").agg(F.count("*").alias("n_both"))
+        .where(F.col("n_both") >= support).withColumn("told", told)
+        .where(F.col("told") >= generalise)
+        .select("class", "term", F.when(F.col("told") >= remove, KINDS.index("term"))
+                .otherwise(KINDS.index("general")).alias("kind")), "disclosed")
+    places = pairs.join(disclosed, ["class", "term"]).select(
+        "tkey", "kind", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
+    return (places.groupBy("tkey", F.col("at.starts").alias("start"), F.col("at.ends").alias("end"))
+            .agg(F.max("kind").alias("kind")).groupBy("tkey")
+            .agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH,
@@ -185,50 +264,27 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
 
     ``base`` and ``spans`` are arrays of (start, kind, end) in code points, sorted; kinds count
     from 0 in the order of ``KINDS``.  ``spans`` adds the words near an entity that disclose it:
-    seen near it in ``support`` documents or more, and disclosing the share ``generalise`` or
-    ``remove`` of its information.  Null texts are empty, and empty texts have no spans.  Rows of
-    equal key and text count as one document in the statistics of pairs, as each row in those of
-    single terms, and get equal results.  Keys are integers.  Other columns are ignored.
+    seen in its text in ``support`` distinct texts or more, and disclosing the share
+    ``generalise`` or ``remove`` of its information.  Null texts are empty, and empty texts have
+    no spans.  Rows of equal text count as one text in all statistics and get equal results.
+    Keys are integers.  Other columns are ignored.
     """
-    source = docs.select(F.col(key).cast("bigint").alias("id"),
-                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"),
-                         F.col(text).alias("text"))
-    found = written(source.mapInArrow(_find(reach), DDL), "personal-data")
-    rows = found.where("what = 0").select("id", "tkey", "n_email", "n_ip", "n_card", "n_phone",
-                                          "starts", "kinds", "ends")
-    near = found.where("what = 1").select("id", "tkey", "entity", "term", "start", "end")
-    seen = near.select("id", "tkey", "entity", "term").distinct()
-    pairs = written(seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-                    .where(F.col("n_both") >= support), "entity-terms")
-    entities = near.select("id", "tkey", "entity").distinct().groupBy("entity").agg(
-        F.count("*").alias("n_entity"))
-    terms = (found.where("what = 2").join(pairs.select("term").distinct(), "term", "left_semi")
-             .groupBy("term").agg(F.sum("n").alias("n_term")))
-    total = F.lit(float(max(rows.count(), 1)))
-    # both shares come from documents: a pair cannot be seen more often than its term
-    both = F.least("n_both", "n_term", "n_entity")
-    told = (F.log(both * total / (F.col("n_term") * F.col("n_entity")))
-            / F.greatest(F.log(total / F.col("n_entity")), F.lit(1e-9)))
-    disclosed = written(
-        pairs.join(entities, "entity").join(terms, "term").withColumn("told", told)
-        .where((F.col("told") >= generalise) & (F.col("n_entity") < total))
-        .select("entity", "term", F.when(F.col("told") >= remove, KINDS.index("term"))
-                .otherwise(KINDS.index("general")).alias("kind")), "disclosed")
-    more = (near.join(disclosed, ["entity", "term"]).groupBy("id", "tkey", "start", "end")
-            .agg(F.max("kind").alias("kind")).groupBy(F.col("id").alias("i2"),
-                                                      F.col("tkey").alias("t2"))
-            .agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
-    base = F.arrays_zip(F.col("starts").alias("start"), F.col("kinds").alias("kind"),
-                        F.col("ends").alias("end"))
-    joined = rows.join(more, F.col("id").eqNullSafe(F.col("i2")) & (F.col("tkey") == F.col("t2")),
-                       "left")
+    keyed = docs.select(F.col(key).cast("bigint").alias("id"),
+                        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"),
+                        F.col(text).alias("text"))
+    texts, total = _distinct_texts(keyed)
+    found = written(texts.mapInArrow(_find(reach), DDL), "personal-data")
     struct = "array<struct<start:bigint,kind:int,end:bigint>>"
-    return joined.select(
-        F.col("id").alias(key), "tkey", "n_email", "n_ip", "n_card", "n_phone",
-        base.cast(struct).alias("base"),
-        F.array_sort(F.concat(base.cast(struct), F.coalesce(F.col("more").cast(struct),
-                                                            F.array().cast(struct))))
-        .alias("spans"))
+    base = F.arrays_zip(F.col("starts").alias("start"), F.col("kinds").alias("kind"),
+                        F.col("ends").alias("end")).cast(struct)
+    none, counts = F.array().cast(struct), ("n_email", "n_ip", "n_card", "n_phone")
+    more = disclosing_terms(found, total, support, generalise, remove)
+    held = written(found.where("what = 0").select("tkey", *counts, base.alias("base")).join(
+        more, "tkey", "left").select("tkey", *counts, "base", F.array_sort(F.concat(
+            "base", F.coalesce(F.col("more").cast(struct), none))).alias("spans")), "text-spans")
+    return keyed.select("id", "tkey").join(held, "tkey", "left").select(
+        F.col("id").alias(key), "tkey", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+        F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

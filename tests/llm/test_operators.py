@@ -172,6 +172,23 @@ def test_disclosing_terms(spark):
     assert "zebulon" not in clean[0] and "[email]" in clean[0] and clean[9] == texts[9]
 
 
+def told_words(docs):
+    return {r["doc_id"]: {r["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] > 3}
+            for r in sanitise.personal_data(docs).join(docs, "doc_id").collect()}
+
+
+def test_terms_of_an_entity_in_one_text_are_judged_and_copies_count_once(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, 30) for _ in range(60)]
+    texts[0] += " zebulon writes from a@b.example the of"
+    texts[1] += " quentin phones +44 20 7946 0958 the of"
+    once = told_words(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert "zebulon" in once[0] and "quentin" in once[1] and not {"the", "of"} & (once[0] | once[1])
+    copied = list(enumerate(texts)) + [(100 + i, texts[1]) for i in range(20)]
+    more = told_words(spark.createDataFrame(copied, "doc_id bigint, text string"))
+    assert more == once | {100 + i: once[1] for i in range(20)}
+
+
 # --- near duplicates
 
 def multiset(text):
