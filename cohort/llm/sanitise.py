@@ -1,7 +1,7 @@
 """Personal data by patterns, and the terms that give it away by corpus statistics.
 
-Patterns find the protected entities: addresses, card and phone numbers.  A term that stands near
-an entity reveals it as far as the corpus lets one be inferred from the other.  With p the share
+Patterns find the protected entities: addresses, card and phone numbers.  A term anywhere in a text
+with an entity reveals it as far as the corpus lets one be inferred from the other.  With p the share
 of distinct texts, the pointwise mutual information log p(t, e) / (p(t) p(e)) is compared with the
 information -log p(e) of the entity: a term that discloses more than a share of it is
 generalised, one that discloses nearly all of it is removed.  A pair seen in one text is judged
@@ -22,11 +22,15 @@ from cohort.llm.textbytes import chunks, word_bounds, word_hashes
 from cohort.session import written
 
 KINDS = ("email", "ip", "card", "phone", "general", "term")
-#: Words on each side of an entity that may disclose it, texts that have to show it, and the
+#: Words on each side of an entity that count as near, texts that have to show a pair, and the
 #: shares of the entity's information from which a term is generalised or removed.
 REACH, SUPPORT, GENERALISE, REMOVE = 5, 1, 0.7, 0.9
+#: Weight of what a term discloses that is near in no text.
+FAR = 0.9
 #: Rows of places that are held before they are passed on.
 HELD = 1 << 17
+#: Hash buckets that tell which texts may have copies, a broadcast of one line each at most.
+BUCKETS = 1 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -100,19 +104,22 @@ def near_words(text: str, start: int, end: int, reach: int) -> list[tuple[int, i
 
 
 def term_places(text: str, spans: list[tuple[int, int, int]], reach: int
-                ) -> dict[str, tuple[list[int], list[int]]]:
-    """Starts and ends of each word near a span, outside of all spans."""
-    near = sorted({w for a, _, b in spans for w in near_words(text, a, b, reach)})
-    places: dict[str, tuple[list[int], list[int]]] = {}
+                ) -> dict[str, tuple[bool, list[int], list[int]]]:
+    """For each word with a letter: is it near a span, and its starts and ends outside of spans."""
+    near = {x for a, _, b in spans for x, _ in near_words(text, a, b, reach)}
+    places: dict[str, tuple[bool, list[int], list[int]]] = {}
     at, done = 0, 0
-    for x, y in near:
+    for m in WORD.finditer(text.translate(LOWER)):
+        x, y = m.span()
         while at < len(spans) and spans[at][0] < y:
             done = max(done, spans[at][2])
             at += 1
-        if x >= done:
-            starts, ends = places.setdefault(text[x:y].translate(LOWER), ([], []))
-            starts.append(x)
-            ends.append(y)
+        if x < done or not any(c.isalpha() for c in m[0]):
+            continue
+        close, starts, ends = places.get(m[0], (False, [], []))
+        places[m[0]] = close or x in near, starts, ends
+        starts.append(x)
+        ends.append(y)
     return places
 
 
@@ -139,7 +146,7 @@ def _find(reach: int):
         data = np.frombuffer("\n".join(x[1] for x in near).encode(), np.uint8)
         begin, end, _ = word_bounds(data, np.array([0, len(data)]))
         codes = word_hashes(data, begin, end).view(np.int64).tolist()
-        return table(1, ("tkey", "term", "starts", "ends"),
+        return table(1, ("tkey", "term", "near", "starts", "ends"),
                      [(x[0], code, *x[2:]) for x, code in zip(near, codes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +162,8 @@ def _find(reach: int):
                 found.append((tkey, *(kinds.count(k) for k in range(4)),
                               [a for a, _, _ in spans], kinds, [b for _, _, b in spans]))
                 entities += [(tkey, e) for e in {entity_code(text, *s) for s in spans}]
-                near += [(tkey, word, *ends)
-                         for word, ends in term_places(text, spans, reach).items()]
+                near += [(tkey, word, *places)
+                         for word, places in term_places(text, spans, reach).items()]
                 if len(near) > HELD:
                     yield terms(near)
                     near = []
@@ -201,20 +208,24 @@ SCHEMA = pa.schema([
     ("tkey", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()),
     ("n_phone", pa.int64()), ("starts", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())),
     ("ends", pa.list_(pa.int64())), ("entity", pa.int64()), ("term", pa.int64()),
-    ("n", pa.int64())])
+    ("near", pa.bool_()), ("n", pa.int64())])
 DDL = ("what int, tkey bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
        "starts array<bigint>, kinds array<int>, ends array<bigint>, entity bigint, term bigint, "
-       "n bigint")
+       "near boolean, n bigint")
 
 
 def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """(tkey, text) of each distinct text, and how many there are; only copies are moved."""
+    """(tkey, text) of each distinct text, and how many there are.
+
+    Texts are only moved to be folded, and only those in the bucket of a text with copies.
+    """
     copies = written(keyed.groupBy("tkey").agg(F.count("*").alias("n")), "text-copies")
-    repeated = copies.where("n > 1").select("tkey")
-    texts = keyed.select("tkey", F.coalesce("text", F.lit("")).alias("text"))
-    once = texts.join(repeated, "tkey", "left_anti")
-    return once.unionByName(texts.join(repeated, "tkey", "left_semi").dropDuplicates(["tkey"])), \
-        copies.count()
+    bucket = F.pmod("tkey", F.lit(BUCKETS)).alias("bucket")
+    repeated = F.broadcast(copies.where("n > 1").select(bucket).distinct())
+    texts = keyed.select("tkey", F.coalesce("text", F.lit("")).alias("text"), bucket)
+    once = texts.join(repeated, "bucket", "left_anti")
+    folded = texts.join(repeated, "bucket", "left_semi").dropDuplicates(["tkey"])
+    return once.unionByName(folded).drop("bucket"), copies.count()
 
 
 def disclosing_terms(found: DataFrame, total: int, support: int, generalise: float,
@@ -231,22 +242,24 @@ def disclosing_terms(found: DataFrame, total: int, support: int, generalise: flo
     classes = written(held.join(same.select("entity", "n_entity", F.xxhash64("n_entity", "x", "y")
                                             .alias("class")), "entity")
                       .select("tkey", "class", "n_entity").distinct(), "entity-classes")
-    # a term discloses the share if it stands in every text of the entity, or not at all:
-    # n_term has a limit that leaves out no pair
+    # the most a term can disclose is with n_both = min(n_term, n_entity) and near: terms beyond
+    # the limit cannot reach the share, whatever their pairs, and need not be paired
     limit = n ** (1 - generalise) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)
     most = classes.agg(F.max(limit)).head()[0] or 0.0
-    near = found.where("what = 1").select("tkey", "term", "starts", "ends")
-    terms = (found.where("what = 2").join(near.select("term").distinct(), "term", "left_semi")
-             .groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") <= most))
-    pairs = written(near.join(terms, "term").join(classes, "tkey")
+    words = found.where("what = 1").select("tkey", "term", "near", "starts", "ends")
+    terms = (found.where("what = 2").groupBy("term").agg(F.sum("n").alias("n_term"))
+             .where(F.col("n_term") <= most))
+    pairs = written(words.join(terms, "term").join(classes, "tkey")
                     .where(F.col("n_term") <= limit), "entity-terms")
     # both shares come from texts: a pair cannot be seen more often than its term
     both = F.least("n_both", "n_term", "n_entity")
     told = (F.log(both * n / (F.col("n_term") * F.col("n_entity")))
             / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9)) + 1e-9)
+    weight = F.when(F.col("near"), 1.0).otherwise(FAR)
     disclosed = written(
-        pairs.groupBy("class", "term", "n_term", "n_entity").agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= support).withColumn("told", told)
+        pairs.groupBy("class", "term", "n_term", "n_entity").agg(
+            F.count("*").alias("n_both"), F.max("near").alias("near"))
+        .where(F.col("n_both") >= support).withColumn("told", told * weight)
         .where(F.col("told") >= generalise)
         .select("class", "term", F.when(F.col("told") >= remove, KINDS.index("term"))
                 .otherwise(KINDS.index("general")).alias("kind")), "disclosed")
@@ -263,9 +276,12 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
     """(key, tkey, n_email, n_ip, n_card, n_phone, base, spans) for every row of ``docs``.
 
     ``base`` and ``spans`` are arrays of (start, kind, end) in code points, sorted; kinds count
-    from 0 in the order of ``KINDS``.  ``spans`` adds the words near an entity that disclose it:
-    seen in its text in ``support`` distinct texts or more, and disclosing the share
-    ``generalise`` or ``remove`` of its information.  Null texts are empty, and empty texts have
+    from 0 in the order of ``KINDS``.  ``spans`` adds the terms that disclose an
+    entity of their text, at every place where they stand outside of ``base``: seen with it
+    in ``support`` distinct texts or more, anywhere in them, and disclosing the share
+    ``generalise`` or ``remove`` of its information; that share counts ``FAR`` times where the term
+    is within ``reach`` words of an entity in none of these texts.  Texts without the entity keep
+    the term.  Null texts are empty, and empty texts have
     no spans.  Rows of equal text count as one text in all statistics and get equal results.
     Keys are integers.  Other columns are ignored.
     """

@@ -1,6 +1,7 @@
 """Operators against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -189,6 +190,59 @@ def test_terms_of_an_entity_in_one_text_are_judged_and_copies_count_once(spark):
     assert more == once | {100 + i: once[1] for i in range(20)}
 
 
+def brute_told(texts):
+    """Per text, the (start, kind, end) of all disclosing terms, by counting pairs one by one."""
+    distinct = sorted(set(texts))
+    n, held, has, close = len(distinct), {}, {}, set()
+    for d, text in enumerate(distinct):
+        spans = sanitise.base_spans(text)
+        for w in set(words(text)):
+            has.setdefault(w, set()).add(d)
+        for a, k, b in spans:
+            held.setdefault((k, text[a:b].lower()), set()).add(d)
+            close |= {(d, text[x:y].lower()) for x, y in sanitise.near_words(text, a, b, 5)}
+    out = []
+    for text in texts:
+        d, spans, found = distinct.index(text), sanitise.base_spans(text), set()
+        for m in WORD.finditer(text.lower()):
+            w = m[0].lower()
+            if any(a < m.end() and m.start() < b for a, _, b in spans) or not re.search("[a-z]", w):
+                continue
+            for a, k, b in spans:
+                e = held[k, text[a:b].lower()]
+                both = {x for x in e if w in words(brute_masked(distinct[x]))}
+                told = (math.log(len(both) * n / len(has[w]) / len(e)) / math.log(n / len(e)) + 1e-9
+                        ) * (1 if any((x, w) in close for x in both) else 0.9)
+                if told >= 0.7:
+                    found.add((m.start(), 5 if told >= 0.9 else 4, m.end()))
+        best = {(a, b): max(k for x, k, y in found if (x, y) == (a, b)) for a, _, b in found}
+        out.append(sorted((a, k, b) for (a, b), k in best.items()))
+    return out
+
+
+def brute_masked(text):
+    for a, _, b in sanitise.base_spans(text):
+        text = text[:a] + " " * (b - a) + text[b:]
+    return text
+
+
+def test_terms_far_from_an_entity_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = [prose(rng, 30) for _ in range(60)]
+    for i in range(4):
+        texts[i] = (f"Zebulon {texts[i]} zebulon {texts[i]} again{i} {prose(rng, 20)} a@b.example "
+                    f"{prose(rng, 20)} closing zebulon")
+    texts[4] += f" both c@d.example and a@b.example {prose(rng, 20)} rarely"
+    texts[5] += " zebulon"
+    texts += [texts[0]] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["spans"] for r in sanitise.personal_data(docs).collect()}
+    got = [[tuple(s) for s in rows[i] if s["kind"] > 3] for i in range(len(texts))]
+    assert got == brute_told(texts)
+    assert [sum(texts[i][a:b].lower() == "zebulon" for a, _, b in got[i]) for i in range(6)] == [
+        3, 3, 3, 3, 0, 0]
+
+
 # --- near duplicates
 
 def multiset(text):
