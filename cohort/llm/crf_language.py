@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohort.llm.textbytes import BYTE_CODE, LOWER, chunks, mix, word_bounds, word_hashes
 
 #: Hashed features, and labelled rows of each language that are fitted.
-BITS, PER_LANGUAGE = 16, 80
+BITS, PER_LANGUAGE = 16, 120
 #: A word is in a language's lexicon if so many training texts of it, and a tenth of that share of
 #: texts in any other at most, have it.
 LEXICON_TEXTS = 3
@@ -257,15 +257,15 @@ def with_languages(docs: DataFrame, held_out: Column, key: str = "doc_id", text:
     """Add ``predicted``, a struct of lang_pred and score, to ``docs``.
 
     The model is fitted on rows that are not held out and have key, text and language: at most
-    ``per_language`` of each language, those with the lowest hash of key and text.  Null texts and
+    ``per_language`` distinct texts of each language, those with the lowest hash.  Null texts and
     texts without a letter are ``und`` with score 0, and so is all if nothing can be learned.
-    A key or row that repeats counts once in training and is labelled each time.  Ties between
+    A text that repeats counts once in training and is labelled each time.  Ties between
     languages go to the first by name.  The number of languages has to be small; the model and the
     training rows pass through the driver, nothing else does.
     """
     known = docs.where(~held_out & F.col(key).isNotNull() & F.col(lang).isNotNull()
                        & (F.length(text) > 0)).select(
-        F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+        F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     # hashes are picked before texts are moved: per_language of each language, small enough to
     # broadcast whatever the table
     lowest = Window.partitionBy("l").orderBy("h")

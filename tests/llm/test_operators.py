@@ -243,6 +243,17 @@ def test_terms_far_from_an_entity_equal_brute_force(spark):
         3, 3, 3, 3, 0, 0]
 
 
+def test_training_texts_of_languages_are_distinct(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, 20) for _ in range(30)] + ["one text again and again"] * 300
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string")
+    fitted, fit = [], crf_language.fit
+    monkeypatch.setattr(crf_language, "fit", lambda t, l: fitted.extend(t.to_pylist()) or fit(t, l))
+    crf_language.with_languages(docs, F.lit(False))
+    assert sorted(fitted) == sorted(set(texts))
+
+
 # --- near duplicates
 
 def multiset(text):
