@@ -15,12 +15,17 @@ from cohort.llm.sanitise import sanitise
 from cohort.llm.winnowing import contamination
 from cohort.session import written
 
-#: Share of the words that the language of a text has to label.
+#: Share of the words that the language of a text has to label; acts with four languages or more.
 LEAST_SHARE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with a language: those with letters, most of which one language explains."""
+    """Keep texts with a letter.
+
+    The score is the largest of K shares, at least 1 / K, so ``LEAST_SHARE`` rejects nothing with up
+    to three known languages, and with four only scores below 0.3.  Texts in a language that was
+    not learned, or of random letters, get a known label and pass.
+    """
     rows = with_languages(docs, F.lit(False))
     kept = (F.col("predicted.lang_pred") != "und") & (F.col("predicted.score") >= LEAST_SHARE)
     return rows.where(kept).select(*docs.columns)
