@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohort.llm.bag_minhash import near_duplicates
+from cohort.llm.collocations import collocations
 from cohort.llm.crf_language import with_languages
 from cohort.llm.impact_index import top_inner_products
 from cohort.llm.nbsvm import quality_scores
 from cohort.llm.packing import pack
 from cohort.llm.sanitise import personal_data, spans_text
 from cohort.llm.shards import byte_shards
+from cohort.llm.simhash_balls import simhash_components
 from cohort.llm.suffix_dedup import repeated_bytes
 from cohort.llm.url_templates import url_path, url_verdicts
+from cohort.llm.whitening import whiten
 from cohort.llm.winnowing import contamination
 
 QUERIES, ORACLE = {}, {}
@@ -175,3 +178,50 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op11_collocations", sql="""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM spoken GROUP BY lang),
+runs AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM spoken, range(1, 6) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i) WHERE len(w) >= m),
+counted AS (
+  SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY lang, m, phrase HAVING count(*) >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.m, c.f AS a, k, string_split(c.phrase, ' ') AS w
+  FROM counted c, range(1, 5) AS s(k) WHERE k < c.m),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.k, l.f AS l, r.f AS r, n,
+    (1000 * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM cut JOIN totals USING (lang)
+  JOIN counted l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1:k], ' ')
+  JOIN counted r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[k + 1:cut.m], ' ')),
+best AS (
+  SELECT * FROM scored c WHERE NOT EXISTS (
+    SELECT 1 FROM counted o WHERE o.lang = c.lang AND len(o.phrase) > len(c.phrase)
+      AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.f >= 100 * c.a)
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (
+    PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words belong together most."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings on their first sixteen whitened components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_simhash_balls")
+def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the component of near copies of each document."""
+    return simhash_components(table(spark, sf_dir, "documents"))
