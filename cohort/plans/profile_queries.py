@@ -147,7 +147,7 @@ UPLOADS_SQL = r"""uploads AS (
     n_chars * 2048 AS size, regexp_matches(text, '[A-Z]') AS decodable FROM documents)"""
 
 
-def uploads(docs):
+def uploads(docs, *more):
     number = F.col("doc_id") % 5
     ending = (F.when(number == 0, ".jpg").when(number == 1, ".PNG").when(number == 2, ".jpeg")
               .when(number == 3, ".dcm").otherwise(""))
@@ -157,7 +157,7 @@ def uploads(docs):
         F.col("doc_id").alias("id"),
         F.concat("source", F.lit("/Scan "), "doc_id", ending).alias("filename"),
         kind.alias("content_type"), (F.col("n_chars") * 2048).alias("size"),
-        F.col("text").rlike("[A-Z]").alias("decodable"))
+        F.col("text").rlike("[A-Z]").alias("decodable"), *more)
 
 
 REASONS_SQL = UPLOADS_SQL + """,

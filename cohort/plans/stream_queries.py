@@ -13,7 +13,7 @@ from cohort.plans.profile_queries import REASONS_SQL, uploads
 from cohort.plans.registry import query
 from cohort.session import scratch_path, written
 from cohort.sources import logs
-from cohort.streaming import arrivals, feeds, stateful
+from cohort.streaming import arrivals, feeds, intake, stateful
 from cohort.streaming.jobs import run_available, with_end
 
 
@@ -224,3 +224,84 @@ def dead_letters(spark, folder):
                                     F.col("decodable"))
     checked = arriving_uploads.select("id", "filename", reason.alias("reason"))
     return run_available(validate.dead_letters(checked), "dead-letters")
+
+
+INTAKE_SQL = REASONS_SQL + ", " + PRINTS_SQL + """,
+known AS (SELECT w, count(*) AS n FROM prints
+  WHERE original_split = 'train' AND print IS NOT NULL GROUP BY w),
+near AS (SELECT p.id, count(*) AS known_prints, sum(k.n)::BIGINT AS known_rows
+  FROM prints p JOIN known k ON bit_count(xor(p.w, k.w)) <= 3 GROUP BY p.id)"""
+
+
+@query("st1_intake", f"""WITH {INTAKE_SQL}
+SELECT r.id, r.filename, r.reason, CASE WHEN r.reason IS NULL THEN p.print END AS print,
+  CASE WHEN r.reason IS NULL THEN coalesce(n.known_prints, 0) END AS known_prints,
+  CASE WHEN r.reason IS NULL THEN coalesce(n.known_rows, 0) END AS known_rows
+FROM reasons r JOIN prints p USING (id) LEFT JOIN near n USING (id)""")
+def upload_intake(spark, folder):
+    """Documents arrive as uploads: checked, fingerprinted and looked up among known ones, by
+    batches that write their own folders; each upload's outcome is read back from there."""
+    train = fingerprints(spark, folder).where(F.col("original_split") == "train")
+    known, refined = arrivals.known_bands(pairs.print_groups(train, "id"), BITS, DISTANCE)
+    out = scratch_path(spark, "intake")
+
+    def check(batch):
+        named = uploads(batch, "text")
+        reason = validate.reject_reason(F.col("filename"), F.col("content_type"), F.col("size"),
+                                        F.col("decodable"))
+        shown = F.when(F.col("reason").isNull(), text_print(F.when(
+            F.col("reason").isNull(), F.col("text"))))
+        return named.select("id", "filename", reason.alias("reason"), "text").select(
+            "id", "filename", "reason", shown.alias("print"))
+
+    intake.intake(stream_of(spark, folder, "documents"), "id", check, known, refined, out,
+                  f"{out}-progress", BITS, DISTANCE).awaitTermination()
+    near = intake.matches(spark, out).groupBy("id").agg(
+        F.count("*").alias("known_prints"), F.sum("known_members").alias("known_rows"))
+    fine = intake.accepted(spark, out).join(near, "id", "left").select(
+        "id", "filename", F.lit(None).cast("string").alias("reason"), "print",
+        F.coalesce("known_prints", F.lit(0)).alias("known_prints"),
+        F.coalesce("known_rows", F.lit(0)).alias("known_rows"))
+    return fine.unionByName(intake.rejected(spark, out).select("id", "filename", "reason"),
+                            allowMissingColumns=True)
+
+
+OUTCOMES_SQL = """dealt AS (
+  SELECT event_id, ts, user_id % 7 = 0 AS held, user_id % 11 = 0 AS twice,
+    ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS early FROM events),
+arriving AS (
+  SELECT 0 AS batch, event_id, ts FROM dealt WHERE early AND NOT held
+  UNION ALL SELECT 1, event_id, ts FROM dealt WHERE NOT early AND NOT held
+  UNION ALL SELECT 1, event_id, ts FROM dealt WHERE early AND NOT held AND twice
+  UNION ALL SELECT 2, event_id, ts FROM dealt WHERE held),
+marks AS (
+  SELECT b AS batch, (SELECT epoch_ms(max(ts)) FROM arriving WHERE batch < b) - 86400000 AS mark
+  FROM range(3) t(b)),
+decided AS (
+  SELECT batch, event_id, ts, CASE WHEN epoch_ms(ts) < mark THEN 'late'
+    WHEN row_number() OVER (PARTITION BY event_id, coalesce(epoch_ms(ts) < mark, false)
+      ORDER BY batch) > 1 THEN 'repeated' ELSE 'kept' END AS outcome
+  FROM arriving JOIN marks USING (batch))"""
+
+
+@query("st7_outcomes", f"""WITH {OUTCOMES_SQL}
+SELECT batch, event_id, epoch_us(ts) AS at, outcome FROM decided""")
+def late_and_repeated(spark, folder):
+    """Events in three batches, some repeated and some held back: kept, late or repeated.
+
+    The stream is stopped after each batch and goes on from its checkpoint.
+    """
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id")
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).head()
+    early = F.col("ts") < F.lit(span["low"] + (span["high"] - span["low"]) / 2)
+    held, twice = F.col("user_id") % 7 == 0, F.col("user_id") % 11 == 0
+    source, out = scratch_path(spark, "feed"), scratch_path(spark, "outcomes")
+    shape = events.select("event_id", "ts")
+    for part in (early & ~held, ~held & (~early | twice), held):
+        events.where(part).select("event_id", "ts").write.mode("append").parquet(source)
+        feed = spark.readStream.schema(shape.schema).parquet(source)
+        intake.reconciled(feed, out, f"{out}-progress", 86_400_000, "event_id",
+                          "ts").awaitTermination()
+    return intake.outcomes(spark, out).select(
+        F.col("batch").cast("int").alias("batch"), "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "outcome")

@@ -26,6 +26,11 @@ def has_extension(path: Column, extensions: Sequence[str]) -> Column:
     return F.lower(suffix(path)).isin(*extensions)
 
 
+def file_name(origin: Column) -> Column:
+    """The path that the image source writes with percent signs, as other sources write it."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(origin, r"\+", "%2B")), origin)
+
+
 def scan_images(spark: SparkSession, folder: str,
                 extensions: Sequence[str] = IMAGE_EXTENSIONS) -> DataFrame:
     """Catalog of a folder tree: path, length, label, original_split.  Content is not read."""
@@ -34,14 +39,14 @@ def scan_images(spark: SparkSession, folder: str,
     return with_place(files.where(has_extension(F.col("path"), extensions)))
 
 
-def decode_images(spark: SparkSession, folder: str,
+def decode_images(spark: SparkSession, folder: str | list[str],
                   extensions: Sequence[str] = SCAN_EXTENSIONS) -> DataFrame:
     """Decoded images with path, size and colour mode; ``error`` is set where decoding failed.
 
     Every file is decoded in full, so truncated pixel data is found too.
     """
     images = (spark.read.format("image").option("recursiveFileLookup", "true").load(folder)
-              .withColumn("path", F.col("image.origin")))
+              .withColumn("path", file_name(F.col("image.origin"))))
     images = with_place(images.where(has_extension(F.col("path"), extensions)))
     mode = F.create_map(*[F.lit(x) for pair in MODES.items() for x in pair])
     bad = F.col("image.height") <= 0

@@ -3,6 +3,7 @@ import os
 import random
 import shutil
 import time
+import urllib.parse
 
 import pytest
 from conftest import picture, png
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from cohort.operators import pairs, timelines
 from cohort.operators.fingerprint import image_prints
 from cohort.sources import images, logs
-from cohort.streaming import arrivals, feeds, stateful
+from cohort.streaming import arrivals, feeds, intake, stateful
 from cohort.streaming.jobs import run_available
 
 
@@ -191,12 +192,90 @@ def test_arriving_images_meet_known_ones(spark, image_folder, tmp_path, bucket_r
     assert {b for _, b in names} == {"glioma_Tr_0.png"} and len(found) == len(names)
 
 
-def test_arriving_files_are_checked(spark, tmp_path):
+@pytest.fixture
+def known_images(spark, image_folder):
+    prints = image_prints(images.decode_images(spark, f"{image_folder}/Training")).where(
+        F.col("print").isNotNull())
+    return arrivals.known_bands(pairs.print_groups(prints, "path"))
+
+
+def test_uploads_are_decoded_checked_and_looked_up(spark, image_folder, tmp_path, known_images):
     folder = tmp_path / "uploads"
     folder.mkdir()
-    (folder / "fine.png").write_bytes(png(picture(1)))
+    for i in (1, 2):
+        (folder / f"fine [{i}] {{x}}.png").write_bytes(png(picture(100 + i)))
+    shutil.copy(f"{image_folder}/Training/glioma/glioma_Tr_0.png", folder / "again.png")
+    (folder / "junk.png").write_bytes(b"not a picture")
+    (folder / "cut.png").write_bytes(png(picture(3))[:90])
     (folder / "notes.txt").write_bytes(b"x")
-    checked = run_available(arrivals.image_arrivals(spark, str(folder)).select(
-        "path", "reason"), "uploads")
-    assert {os.path.basename(r.path): r.reason for r in checked.collect()} == {
-        "fine.png": None, "notes.txt": "unsupported file type"}
+    out = str(tmp_path / "out")
+
+    def run(progress):
+        intake.intake(intake.arriving_files(spark, str(folder), 3), "path", intake.checked_images,
+                      *known_images, out, str(tmp_path / progress)).awaitTermination()
+
+    def name(path):
+        return urllib.parse.unquote(os.path.basename(path))
+
+    run("progress")
+    shown = []
+    for _ in range(2):
+        good = sorted(name(r.path) for r in intake.accepted(spark, out).collect())
+        bad = sorted((name(r.path), r.reason) for r in intake.rejected(spark, out).collect())
+        met = [(name(r.path), os.path.basename(r.known_first), r.distance)
+               for r in intake.matches(spark, out).collect()]
+        shown.append((good, bad, met))
+        # all batches once more, as after a crash: nothing is written twice
+        run("progress-again")
+    assert shown[0] == shown[1] == (
+        ["again.png", "fine [1] {x}.png", "fine [2] {x}.png"],
+        [("cut.png", "could not open image"), ("junk.png", "could not open image"),
+         ("notes.txt", "unsupported file type")],
+        [("again.png", "glioma_Tr_0.png", 0)])
+    assert {r.batch for r in intake.rejected(spark, out).select("batch").collect()} <= {0, 1, 2}
+
+
+def plain_outcomes(batches, delay):
+    kept, out, latest = set(), [], None
+    for batch in batches:
+        mark = None if latest is None else latest - delay
+        for key, s in sorted(batch, key=lambda r: (r[1] is None, r[1] or 0)):
+            if s is None or (mark is not None and s < mark):
+                out.append((key, s, "late"))
+            elif key is not None and key in kept:
+                out.append((key, s, "repeated"))
+            else:
+                kept.add(key)
+                out.append((key, s, "kept"))
+            if out[-1][2] != "late":
+                latest = s if latest is None else max(latest, s)
+    return sorted(out, key=str)
+
+
+def test_late_and_repeated_events_add_up(spark, tmp_path):
+    rng = random.Random(9)
+    batches = [[(rng.choice([None, *"abcdefghijklmnop"]) if rng.random() < 0.9 else f"k{rng.random()}",
+                 rng.choice([None, 600 * b + rng.randrange(1200)])) for _ in range(40)]
+               for b in range(5)]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id string, s bigint").select(
+            "event_id", "s", F.when(F.col("s").isNotNull(), at(F.col("s"))).alias("timestamp")
+        ).coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(0.05)
+    schema = "event_id string, s bigint, timestamp timestamp"
+
+    def run(progress):
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        intake.reconciled(events, out, str(tmp_path / progress), 300_000).awaitTermination()
+
+    run("progress")
+    for _ in range(2):
+        rows = intake.outcomes(spark, out).collect()
+        want = plain_outcomes(batches, 300)
+        # of one key and time any row may be the one kept
+        assert sorted(((r.event_id, r.s, r.outcome) for r in rows), key=str) == want
+        report = intake.batch_report(spark, out).collect()
+        assert [r.kept + r.late + r.repeated for r in sorted(report)] == [40] * 5
+        assert {o for _, _, o in want} == {"kept", "late", "repeated"}
+        run("progress-again")
