@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+#: State of streams in RocksDB: maps and timers need it, and large state stays out of the heap.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def build_session(app: str = "cohort", master: str | None = None, **settings) -> SparkSession:
@@ -18,8 +21,7 @@ def build_session(app: str = "cohort", master: str | None = None, **settings) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        STATE_STORE[0]: STATE_STORE[1],
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     builder = SparkSession.builder.appName(app)

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.session import scratch_path
+from cohort.session import STATE_STORE, scratch_path
 
 
 def with_end(stream: DataFrame, end: datetime.datetime, ts: str = "ts") -> DataFrame:
@@ -29,6 +29,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     """Process all available input into a Parquet folder and return it as a table."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
+    spark.conf.set(*STATE_STORE)
     query = (stream.writeStream.format("parquet").outputMode(mode)
              .option("path", path).option("checkpointLocation", f"{path}-progress")
              .trigger(availableNow=True).start())

@@ -1,63 +1,105 @@
 """Keyed state: rate limits and health checks as streams.
 
-Rows wait in the state until the watermark has passed them and are then replayed in the order of
-their time, so results do not depend on how rows fall into batches.  Rows that come after the
-watermark has passed their time are replayed at once, at the time the state has reached.
+Rows wait in a map of the state, one entry for each second in which the key has any, until a timer
+says that the watermark has passed that second; its rows are then replayed in the order of their
+time.  So results do not depend on how rows fall into batches, and a batch reads and writes only the
+seconds it touches, however many are waiting.  Rows behind the watermark are dropped; see
+``intake.reconciled`` for a feed that keeps account of them.
+
+Maps and timers need the RocksDB state store (``session.build_session`` and ``jobs.run_available``
+set it).
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from cohort.operators.timelines import (BURSTS, PROBE_RETRIES, RATE_PER_SECOND,
                                         START_GRACE_SECONDS, admit)
 
 
+class Replay(StatefulProcessor):
+    """Feeds ``step`` with the rows of a key, second by second in the order of time.
+
+    Rows are pairs (at, what) with ``unit`` values of ``at`` to the millisecond; equal rows are
+    counted, not kept.  ``step`` takes the key's value (None at first) and the sorted rows
+    (at, what, n), and returns the new value, the rows to give out, and the millisecond at which the
+    value may be forgotten (None: never).
+    """
+
+    def __init__(self, step: Callable, value: str, columns: list[str], unit: int = 1):
+        self.step, self.value, self.columns, self.unit = step, value, columns, unit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", f"{self.value}, until bigint")
+        self.waiting = handle.getMapState(
+            "waiting", "second bigint", "ats array<bigint>, whats array<bigint>, ns array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, Counter] = {}
+        for frame in rows:
+            for pair in zip(frame["at"].tolist(), frame["what"].tolist()):
+                second = pair[0] // (1000 * self.unit)
+                fresh.setdefault(second, Counter())[pair] += 1
+        for second, counts in fresh.items():
+            if self.waiting.containsKey((second,)):
+                ats, whats, ns = self.waiting.getValue((second,))
+                counts.update(dict(zip(zip(ats, whats), ns)))
+            else:
+                self.handle.registerTimer((second + 1) * 1000)
+            ats, whats = (list(c) for c in zip(*counts))
+            self.waiting.updateValue((second,), (ats, whats, list(counts.values())))
+        yield pd.DataFrame(columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        second = (now // 1000 - 1,)
+        held = self.held.get() if self.held.exists() else None
+        out = []
+        if now % 1000 == 0 and self.waiting.containsKey(second):
+            rows = sorted(zip(*self.waiting.getValue(second)))
+            self.waiting.removeKey(second)
+            value, out, until = self.step(tuple(held[:-1]) if held else None, rows)
+            if value is not None:
+                self.held.update((*value, until))
+                if until is not None:
+                    self.handle.registerTimer(max(until, now) // 1000 * 1000 + 1001)
+        elif held and held[-1] is not None and held[-1] < now:
+            self.held.clear()
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=self.columns)
+
+
 def streamed_breaches(requests: DataFrame, rate: float = RATE_PER_SECOND,
                       burst: int = BURSTS["/predict"], client: str = "client",
                       delay: str = "10 seconds") -> DataFrame:
     """Refused requests per client and millisecond.
 
-    The state is the level of the bucket and the requests that wait, counted per millisecond; it
-    expires when the bucket must have drained.
+    The state is the level of the bucket and the waiting requests, counted per millisecond; the
+    level is forgotten when the bucket must have drained.
     """
     kind = requests.schema[client].dataType.simpleString()
     drained_ms = int((burst + 1) / rate * 1000) + 1
 
-    def replay(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        level, last, ats, ns = state.get if state.exists else (0.0, -1, [], [])
-        waiting = Counter(dict(zip(ats, ns)))
-        for frame in frames:
-            waiting.update(frame["at"].tolist())
-        mark = state.getCurrentWatermarkMs()
-        bucket = None if last < 0 else (level, last)
-        rows = []
-        for at, n in sorted((a, n) for a, n in waiting.items() if a < mark):
+    def step(bucket, rows):
+        out = []
+        for at, _, n in rows:
             bucket, passed = admit(bucket, int(at), int(n), rate, burst)
             if passed < n:
-                rows.append((key[0], int(at), int(n), int(n) - passed))
-        rest = sorted((a, n) for a, n in waiting.items() if a >= mark)
-        if rest or (bucket and bucket[1] + drained_ms > mark):
-            level, last = bucket or (0.0, -1)
-            state.update((float(level), int(last), [int(a) for a, _ in rest],
-                          [int(n) for _, n in rest]))
-            due = rest[0][0] + 1 if rest else last + drained_ms
-            state.setTimeoutTimestamp(max(due, mark + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=[client, "at", "n", "refused"])
+                out.append((int(at), int(n), int(n) - passed))
+        return (float(bucket[0]), int(bucket[1])), out, int(bucket[1]) + drained_ms
 
     timed = (requests.withWatermark("ts", delay)
-             .select(client, "ts", F.unix_millis("ts").alias("at")))
-    return timed.groupBy(client).applyInPandasWithState(
-        replay, f"{client} {kind}, at bigint, n bigint, refused bigint",
-        "level double, last bigint, at array<bigint>, n array<bigint>", "append",
-        GroupStateTimeout.EventTimeTimeout
+             .select(client, "ts", F.unix_millis("ts").alias("at"),
+                     F.lit(0).cast("bigint").alias("what")))
+    return timed.groupBy(client).transformWithStateInPandas(
+        Replay(step, "level double, last bigint", [client, "at", "n", "refused"]),
+        f"{client} {kind}, at bigint, n bigint, refused bigint", "append", "eventTime"
     ).withColumn("at", F.timestamp_millis("at"))
 
 
@@ -71,34 +113,23 @@ def health_changes(probes: DataFrame, retries: int = PROBE_RETRIES,
     """
     kind = probes.schema["target"].dataType.simpleString()
 
-    def follow(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        begin, failures, ats, oks = state.get if state.exists else (-1, 0, [], [])
-        waiting = list(zip(ats, oks))
-        for frame in frames:
-            waiting += zip(frame["at"].tolist(), frame["ok"].tolist())
-        mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        rows, rest = [], [(a, ok) for a, ok in waiting if a >= mark]
-        for at, ok in waiting[:len(waiting) - len(rest)]:
-            begin = at if begin < 0 else begin
+    def step(value, rows):
+        begin, failures = value or (int(rows[0][0]), 0)
+        out = []
+        for at, ok, n in rows:
             if ok:
                 if failures >= retries:
-                    rows.append((key[0], int(at), True))
+                    out.append((int(at), True))
                 failures = 0
             elif at - begin >= grace_seconds * 1_000_000:
-                failures += 1
-                if failures == retries:
-                    rows.append((key[0], int(at), False))
-        state.update((int(begin), int(failures), [int(a) for a, _ in rest],
-                      [bool(ok) for _, ok in rest]))
-        if rest:
-            state.setTimeoutTimestamp(max(rest[0][0], mark) // 1000 + 1)
-        yield pd.DataFrame(rows, columns=["target", "at", "healthy"])
+                if failures < retries <= failures + n:
+                    out.append((int(at), False))
+                failures += int(n)
+        return (begin, failures), out, None
 
     timed = probes.withWatermark("ts", delay).select(
-        "target", "ts", F.unix_micros("ts").alias("at"), "ok")
-    return timed.groupBy("target").applyInPandasWithState(
-        follow, f"target {kind}, at bigint, healthy boolean",
-        "begin bigint, failures int, at array<bigint>, ok array<boolean>",
-        "append", GroupStateTimeout.EventTimeTimeout
+        "target", "ts", F.unix_micros("ts").alias("at"), F.coalesce(F.col("ok").cast("bigint"), F.lit(0)).alias("what"))
+    return timed.groupBy("target").transformWithStateInPandas(
+        Replay(step, "begin bigint, failures bigint", ["target", "at", "healthy"], 1000),
+        f"target {kind}, at bigint, healthy boolean", "append", "eventTime"
     ).withColumn("at", F.timestamp_micros("at"))
