@@ -6,14 +6,15 @@ starts of the ``gram``-byte strings inside a passage, the anchor is the one with
 equal passages have equal anchors, and neighbouring passages mostly share one.
 
 1. Anchors whose gram occurs once cannot lie in a repeat.  Gram hashes are sorted by sampled
-   ranges, those without an equal neighbour go; the edges of a range stay, as the neighbour may
-   lie in the next one.
+   ranges, those without an equal neighbour go, anchors of copies of one text counting once; the
+   edges of a range stay, as the neighbour may lie in the next one.
 2. The other anchors give suffixes: the bytes of all passages that share the anchor.  Sampled
-   splitters deal them into ranges by the leading bytes from the anchor on, then by document, so
-   a frequent suffix spreads over ranges.  A range sorts its passages by multikey quicksort,
-   eight bytes at a time, only ties going on.  All but the earliest of equal passages are repeats.
-3. Passages with the first or last leading bytes of a range may have equals beyond it.  Their
-   earliest occurrences, one per range, are compared across ranges by digest.
+   splitters deal them into as many ranges as there are shuffle partitions, by the leading bytes
+   from the anchor on, then by document, so a frequent suffix spreads over ranges.  A range is
+   read in that order, a run of bounded size at a time, and a run sorts its passages by multikey
+   quicksort, eight bytes at a time, only ties going on.  All but the earliest of equal passages are repeats.
+3. Passages with the first or last leading bytes of a run may have equals beyond it.  Their
+   earliest occurrences, one per run, are compared across runs by digest.
 
 Exact copies of whole texts are found first; only the earliest takes part in steps 2 and 3.
 """
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohort.llm.textbytes import BASE, chunks, mix
-from cohort.session import written
+from cohort.session import release, written
 
 LEAST, GRAM, LEAD = 100, 32, 16
-#: Suffixes that one range holds in memory.
-RANGE = 40_000
+#: Suffixes, and their bytes, that are sorted in memory at once; bytes that a step gives out.
+RANGE, RANGE_BYTES, OUTPUT = 40_000, 1 << 23, 1 << 22
 RAW_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(77)) * BASE)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -84,33 +86,48 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int
 def _grams(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # copies within a batch: one stands for all
+            keys = np.stack([batch.column(0).to_numpy(), pc.binary_length(batch.column(1))], axis=1)
+            batch = batch.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))
             for first, data, offsets in chunks(batch.column(1)):
                 row, at, _, _, hashes = anchors(data, offsets, least, gram)
                 yield pa.record_batch([
                     pa.array(hashes.view(np.int64)),
                     batch.column(0).take(pa.array(first + row)),
-                    pa.array((at - offsets[row]).astype(np.int32))], names=["h", "id", "at"])
+                    pa.array((at - offsets[row]).astype(np.int32))], names=["h", "tkey", "at"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, those that share it with a neighbour or lie at an edge."""
+    """Of rows sorted by (h, tkey, at), those that share h with another one, or lie at an edge.
+
+    Equal rows are the anchor of copies of one text: they count once.
+    """
     edge = before = held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+        new = np.r_[before is None or bool((rows[0] != before).any()),
+                    (rows[1:] != rows[:-1]).any(axis=1)]
+        last = rows[-1]
+        rows = rows[new]
+        if not len(rows):
+            continue
+        h = rows[:, 0]
         edge = h[0] if edge is None else edge
         same = h[1:] == h[:-1]
         kept = np.r_[False, same] | np.r_[same, False] | (h == edge)
-        if before is not None and h[0] == before:
+        if before is not None and h[0] == before[0]:
             kept[0] = True
             if held is not None:
                 yield held
-        held = None if kept[-1] else batch.slice(batch.num_rows - 1).select(["id", "at"])
-        before = h[-1]
-        yield batch.select(["id", "at"]).filter(pa.array(kept))
+        out = pa.record_batch([pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))],
+                              names=["tkey", "at"])
+        held = None if kept[-1] else out.slice(len(rows) - 1)
+        before = last
+        yield out.filter(pa.array(kept))
     if held is not None:
         yield held
 
@@ -130,16 +147,22 @@ def _suffixes(least: int, gram: int):
                 marked[asked[(asked >= 0) & (asked < len(data))]] = True
                 kept = marked[at]
                 row, at, begin, end = row[kept], at[kept], begin[kept], end[kept]
-                size = end - begin + least
-                where = np.r_[0, np.cumsum(size)]
-                flat = data[np.repeat(begin - where[:-1], size) + np.arange(where[-1])]
-                lead = data[at[:, None] + np.arange(LEAD)]
-                ids = pa.array(first + row)
-                yield pa.record_batch([
-                    _strings(lead.reshape(-1), np.arange(len(at) + 1) * LEAD),
-                    batch.column(0).take(ids), batch.column(1).take(ids),
-                    pa.array((begin - offsets[row]).astype(np.int64)), _strings(flat, where)],
-                    names=["lead", "id", "tkey", "start", "bytes"])
+                where = np.r_[0, np.cumsum(end - begin + least)]
+                low = 0
+                while low < len(at):  # a suffix can be a hundred times as long as its step
+                    high = max(low + 1, int(np.searchsorted(where, where[low] + OUTPUT, "right")) - 1)
+                    some = slice(low, high)
+                    place = where[low:high + 1] - where[low]
+                    source = np.repeat(begin[some] - place[:-1], np.diff(place)) + np.arange(place[-1])
+                    lead = data[at[some, None] + np.arange(LEAD)]
+                    ids = pa.array(first + row[some])
+                    yield pa.record_batch([
+                        _strings(lead.reshape(-1), np.arange(high - low + 1) * LEAD),
+                        batch.column(0).take(ids), batch.column(1).take(ids),
+                        pa.array((begin[some] - offsets[row[some]]).astype(np.int64)),
+                        _strings(data[source], place)],
+                        names=["lead", "id", "tkey", "start", "bytes"])
+                    low = high
 
     return run
 
@@ -182,9 +205,24 @@ def _bucket(least: int):
     depths = [*range(0, least - 7, 8)] + ([least - 8] if least % 8 else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(4)).to_numpy().astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                done = int(ends[low - 1]) if low else 0
+                high = int(np.searchsorted(ends, done + RANGE_BYTES - size, "right"))
+                high = min(max(high, low + (not held)), low + RANGE - rows, batch.num_rows)
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+                    rows, size, low = rows + high - low, size + int(ends[high - 1]) - done, high
+                if low < batch.num_rows:
+                    yield from sort(held)
+                    held, rows, size = [], 0, 0
+        if held:
+            yield from sort(held)
+
+    def sort(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).combine_chunks()
         lead, ids, keys, start, strings = (c.chunk(0) for c in table.columns)
         flat = np.frombuffer(strings.buffers()[2], np.uint8)
@@ -284,23 +322,23 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "tkey")
     owner = base.groupBy("sha").agg(F.min(order).alias("first"))
 
-    grams = source.select("id", "text").mapInArrow(_grams(least, gram),
-                                                   "h bigint, id bigint, at int")
-    flagged = written(grams.repartitionByRange("h", "id").sortWithinPartitions("h")
-                      .mapInArrow(_repeated, "id bigint, at int"), "repeated-grams")
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                 -(-flagged.count() // RANGE))
-    places = flagged.groupBy("id").agg(F.collect_set("at").alias("at"))
-    # the earliest of equal texts stands for all of them
-    earliest = owner.select("first.id", "first.tkey").withColumnsRenamed({"id": "i2", "tkey": "t2"})
-    places = places.join(earliest, F.col("id").eqNullSafe(F.col("i2"))).select("i2", "t2", "at")
+    grams = source.select("tkey", "text").mapInArrow(_grams(least, gram),
+                                                     "h bigint, tkey bigint, at int")
+    flagged = written(grams.repartitionByRange("h", "tkey").sortWithinPartitions("h", "tkey", "at")
+                      .mapInArrow(_repeated, "tkey bigint, at int"), "repeated-grams")
+    places = flagged.groupBy("tkey").agg(F.collect_set("at").alias("at"))
+    # the earliest of equal texts stands for all of them; texts that share a hash share places,
+    # of which those of the other one only cost a look
+    earliest = owner.select(F.col("first.id").alias("i2"), F.col("first.tkey").alias("t2"))
+    places = places.join(earliest, F.col("tkey") == F.col("t2")).select("i2", "t2", "at")
     both = F.col("id").eqNullSafe(F.col("i2")) & (F.col("tkey") == F.col("t2"))
     texts = source.hint("merge").join(places, both).select("id", "tkey", "text", "at")
     texts = written(texts, "texts-with-repeats")
+    release(flagged)
     suffixes = texts.mapInArrow(
         _suffixes(least, gram), "lead binary, id bigint, tkey bigint, start bigint, bytes binary")
-    found = written(suffixes.repartitionByRange(ranges, "lead", "id", "start")
-                    .mapInArrow(_bucket(least),
+    found = written(suffixes.repartitionByRange("lead", "id", "start")
+                    .sortWithinPartitions("lead", "id", "start").mapInArrow(_bucket(least),
                                 "id bigint, tkey bigint, start bigint, end bigint, digest binary"),
                     "suffix-ranges")
     going = found.where(F.col("digest").isNotNull())
@@ -316,6 +354,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "id", "tkey", "text", "low", "high").mapInArrow(
         _cut, "id bigint, tkey bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     cut = written(cut.withColumnsRenamed({"id": "i2", "tkey": "t2"}), "cut-texts")
+    release(texts, found)
 
     copies = base.join(owner, "sha").withColumn(
         "copy", (F.struct(F.col("id").isNotNull().alias("known"), "id", "tkey") != F.col("first"))

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once, so that a dozen 8-byte arrays of that length fit in a worker.
-CHUNK = 1 << 20
+#: Bytes handled at once; features of words take some fifty times as much in a worker.
+CHUNK = 1 << 18
 
 _codes = np.arange(256)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
