@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.textbytes import BASE, chunks, mix, run_hashes, word_bounds, word_hashes
+from cohort.llm.textbytes import BASE, CHUNK, chunks, mix, run_hashes, word_bounds, word_hashes
 from cohort.operators.components import connected_components
 from cohort.session import written
 
@@ -160,8 +161,14 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
+            size = [pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy() for k in (2, 3)]
+            upto = np.cumsum(size[0].astype(np.int64) + size[1])
+            first = 0
+            while first < batch.num_rows:  # pairs of about CHUNK bytes, one at least
+                start = upto[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(upto, start + CHUNK, "right")))
+                part = batch.slice(first, last - first)
+                first = last
                 same = similarities(part.column(2), part.column(3)) >= threshold
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(same)],
                                       names=["a", "b", "linked"])
