@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohort.functions.keyed import hmac_sha256
 from cohort.functions.names import sanitized
@@ -88,6 +90,79 @@ def broken_seals(log: DataFrame, key: str) -> DataFrame:
     return log.where(~F.col("mac").eqNullSafe(hmac_sha256(key, _content(log))))
 
 
+#: Columns that seals and links add to a log.
+SEALS = ("mac", "link", "chunk")
+
+
+def _linked_content(log: DataFrame, order: Sequence[str], ident: str) -> Column:
+    """The event and the one before it in its chunk; a chunk is read in order, never gathered."""
+    before = F.lag(ident).over(Window.partitionBy("chunk").orderBy(*order))
+    content = F.to_json(F.struct(*[F.col(c) for c in sorted(log.columns) if c not in SEALS]))
+    return F.concat_ws("|", F.col("chunk").cast("string"), F.coalesce(before, F.lit("-")), content)
+
+
+def linked(log: DataFrame, key: str, order: Sequence[str] = ("timestamp", "event_id"),
+           ident: str = "event_id", chunk: str = "hour", ts: str = "timestamp") -> DataFrame:
+    """Add ``chunk``, the event's hour (or other span), and ``link``, a keyed hash of the event and
+    of the name of the one before it in the chunk.
+
+    ``order`` has to tell all events of a chunk apart.
+    """
+    placed = log.withColumn("chunk", F.date_trunc(chunk, ts))
+    return placed.withColumn("link", hmac_sha256(key, _linked_content(placed, order, ident)))
+
+
+def chunk_roots(log: DataFrame, key: str) -> DataFrame:
+    """(chunk, n, root, chain) of a linked log: a keyed hash of the sum of its links, and of the
+    root together with that of the chunk before.
+
+    Sums fold before the shuffle.  Chunks are spans of time, so their number does not grow with
+    the rate of events; only their roots are chained, in one task.
+    """
+    words = [F.conv(F.substring("link", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
+             for i in range(8)]
+    sums = log.groupBy("chunk").agg(F.count("*").alias("n"), *(
+        F.sum(w).alias(f"w{i}") for i, w in enumerate(words)))
+    roots = sums.select("chunk", "n", hmac_sha256(key, F.concat_ws(
+        "|", F.col("chunk").cast("string"), "n", *(f"w{i}" for i in range(8)))).alias("root"))
+    return roots.withColumn("chain", _chain(key))
+
+
+def _chain(key: str) -> Column:
+    before = F.lag("root").over(Window.orderBy("chunk"))
+    return hmac_sha256(key, F.concat_ws("|", F.coalesce(before, F.lit("-")), "root"))
+
+
+def broken_links(log: DataFrame, key: str, order: Sequence[str] = ("timestamp", "event_id"),
+                 ident: str = "event_id", chunk: str = "hour", ts: str = "timestamp") -> DataFrame:
+    """Events that were changed or moved, or whose predecessor in the chunk is gone or new.
+
+    The last events of a chunk leave no successor behind; ``broken_chunks`` counts them.
+    """
+    placed = log.withColumn("chunk", F.date_trunc(chunk, ts))
+    return placed.withColumn(
+        "_now", hmac_sha256(key, _linked_content(placed, order, ident))).where(
+        ~F.col("link").eqNullSafe(F.col("_now"))).drop("_now")
+
+
+def broken_chunks(log: DataFrame, roots: DataFrame, key: str, chunk: str = "hour",
+                  ts: str = "timestamp") -> DataFrame:
+    """(chunk, n, found, fault) where a log no longer fits the roots that were kept apart from it.
+
+    ``fault`` is ``missing`` or ``added`` events, ``changed`` ones, or ``chain`` where the root
+    does not follow the one before it, as when a chunk is taken out of both log and roots.
+    """
+    now = chunk_roots(log.withColumn("chunk", F.date_trunc(chunk, ts)), key).select(
+        "chunk", F.col("n").alias("found"), F.col("root").alias("now"))
+    kept = roots.withColumn("follows", F.col("chain") == _chain(key))
+    both = kept.join(now, "chunk", "full")
+    n, found = F.coalesce("n", F.lit(0)), F.coalesce("found", F.lit(0))
+    fault = (F.when(found < n, "missing").when(found > n, "added")
+             .when(F.col("root") != F.col("now"), "changed").when(~F.col("follows"), "chain"))
+    return both.select("chunk", n.alias("n"), found.alias("found"), fault.alias("fault")).where(
+        F.col("fault").isNotNull())
+
+
 def leaked_values(log: DataFrame, text: str, values: DataFrame, value: str) -> DataFrame:
     """Log rows that contain any of the protected values, with the value.
 

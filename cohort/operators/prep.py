@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -54,6 +55,53 @@ def weighted_resample(df: DataFrame, key: str, classes: Sequence, draws: int | N
     return drawn.join(ranked, [label, "_rank"]).drop("_rank")
 
 
+#: Largest mean that one Poisson draw takes; larger ones are sums of several draws.
+MEAN = 8.0
+
+
+def poisson_cuts(mean: float) -> list[float]:
+    """P(count <= k) for k = 0, 1, ... as long as a draw of 52 bits can lie above it."""
+    term = total = math.exp(-mean)
+    cuts = [total]
+    while total < 1 - 2.0 ** -53 and term > 0 and len(cuts) < 200:
+        term *= mean / len(cuts)
+        total += term
+        cuts.append(total)
+    return cuts
+
+
+def _below(cuts: Column):
+    """How many of the cuts a draw has reached."""
+    return lambda u: F.size(F.filter(cuts, lambda c: c <= u))
+
+
+def poisson_resample(df: DataFrame, key: str, classes: Sequence, draws: int | None = None,
+                     seed: int = 42, label: str = "label") -> DataFrame:
+    """Rows with replacement by independent Poisson counts; adds ``copy`` from 1.
+
+    Every row of a class comes draws / (classes with rows * rows of its class) times on average, so
+    classes come out equally large and ``draws`` (default: all rows) is the expected size.  One pass
+    after the counts of the classes: no rank, no join, no shuffle.  Rows of equal key get equal
+    counts; null keys draw as one.
+    """
+    known = df.where(F.col(label).isin(*classes))
+    sizes = {r[0]: r[1] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    total = draws if draws is not None else sum(sizes.values())
+    count = F.lit(0)
+    for name, n in sizes.items():
+        mean = total / (len(sizes) * n)
+        parts = max(1, math.ceil(mean / MEAN))
+        cuts = F.array(*[F.lit(c) for c in poisson_cuts(mean / parts)])
+
+        drawn = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: seeded_uniform(
+            seed, F.lit("poisson"), F.col(key), i))
+        each = F.transform(drawn, _below(cuts))
+        count = F.when(F.col(label) == name, F.aggregate(
+            each, F.lit(0), lambda a, b: a + b)).otherwise(count)
+    return (known.withColumn("_count", count).where(F.col("_count") > 0)
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count"))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42, epoch: int = 0,
              name: str = "position") -> DataFrame:
     """Add the 1-based position of each row in the seeded order of an epoch."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,6 +33,38 @@ def monitor(predictions: DataFrame, window: str = MONITOR_WINDOW,
                     F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95")))
 
 
+#: Size of a quantile sketch; ranks are off by 1.33 % at most in 99 of 100 cases.
+SKETCH, RANK_ERROR = 200, 0.0133
+
+
+def latency_sketches(predictions: DataFrame, window: str = MONITOR_WINDOW,
+                     size: int = SKETCH) -> DataFrame:
+    """(window_start, class, n, total_confidence, sketch): monitoring that can be merged later.
+
+    The sketch (KLL) holds the latencies of the window in a few kilobytes whatever their number.
+    Null latencies are not in it.  Works on tables and on watermarked streams alike.
+    """
+    return (predictions.groupBy(F.window("ts", window).alias("w"), "class")
+            .agg(F.count("*").alias("n"), F.sum("confidence").alias("total_confidence"),
+                 F.kll_sketch_agg_double("latency_ms", size).alias("sketch"))
+            .select(F.col("w.start").alias("window_start"), "class", "n", "total_confidence",
+                    "sketch"))
+
+
+def merged_sketches(sketches: DataFrame, unit: str, quantiles: Sequence[float] = (0.5, 0.95)
+                    ) -> DataFrame:
+    """(unit_start, class, n, mean_confidence, quantiles) of longer spans, from sketches alone."""
+    merged = sketches.groupBy(F.date_trunc(unit, "window_start").alias("unit_start"), "class").agg(
+        F.sum("n").alias("n"), F.sum("total_confidence").alias("_sum"),
+        F.kll_merge_agg_double("sketch").alias("_sketch"))
+    at = F.array(*(F.lit(float(q)) for q in quantiles))
+    known = F.kll_sketch_get_n_double("_sketch") > 0
+    return merged.select("unit_start", "class", "n",
+                         (F.col("_sum") / F.col("n")).alias("mean_confidence"),
+                         F.when(known, F.kll_sketch_get_quantile_double("_sketch", at))
+                         .alias("quantiles"))
+
+
 def _millis(ts: Column) -> Column:
     return F.unix_millis(ts)
 

@@ -10,7 +10,7 @@ from cohort.plans.inputs import (ASSIGNED_SQL, BITS, CLUSTERS_SQL, DIMENSIONS, D
                                  DOCS_SQL, GROUPS_SQL, PRINTS_SQL, documents, fingerprints,
                                  rounded, table)
 from cohort.plans.registry import query
-from cohort.session import written
+from cohort.session import scratch_path, written
 from cohort.sources import images
 
 
@@ -406,3 +406,19 @@ def split_manifest(spark, folder):
     files = documents(spark, folder).select("id", path.alias("path"))
     rows = assigned(spark, folder).select("id", "split", "label").join(files, "id")
     return images.split_manifest(rows).select("id", "path", "destination")
+
+
+@query("s4_pruned_read", f"""WITH {ASSIGNED_SQL},
+shares AS (SELECT label, count(*) AS n FROM assigned WHERE split = 'val' GROUP BY label),
+wanted AS (SELECT label FROM shares WHERE n = (SELECT max(n) FROM shares))
+SELECT id, label, split FROM assigned
+WHERE split = 'val' AND label IN (SELECT label FROM wanted)""")
+def pruned_read(spark, folder):
+    """The largest validation class, read back from split folders by a join that prunes them."""
+    place = scratch_path(spark, "split-folders")
+    images.write_split(assigned(spark, folder).select("id", "label", "split"), place)
+    counts = written(images.read_split(spark, place, ["val"]).groupBy("split", "label").agg(
+        F.count("*").alias("n")), "val-counts")
+    most = counts.agg(F.max("n").alias("n"))
+    wanted = counts.join(F.broadcast(most), "n").select("split", "label")
+    return images.read_split_of(spark, place, wanted).select("id", "label", "split")

@@ -49,6 +49,25 @@ def resample(spark, folder):
     return prep.weighted_resample(docs, "id", LANGUAGES).select("draw", "label", "id")
 
 
+@query("w3_poisson", f"""WITH {DOCS_SQL},
+sizes AS (SELECT label, (SELECT count(*) FROM docs)::DOUBLE / (4 * count(*)) AS mean
+  FROM docs GROUP BY label),
+parts AS (SELECT label, mean, greatest(1, ceil(mean / 8))::BIGINT AS parts FROM sizes),
+cuts AS (
+  SELECT label, parts, k, sum(term) OVER (PARTITION BY label ORDER BY k) AS cut FROM (
+    SELECT label, parts, k, exp(-mean / parts) * pow(mean / parts, k) / factorial(k::INT) AS term
+    FROM parts, range(33) t(k))),
+draws AS (
+  SELECT id, label, i, {uniform_sql("'42|poisson|' || id || '|' || i")} AS u
+  FROM docs JOIN parts USING (label), range(1, parts + 1) t(i)),
+counts AS (SELECT id, label, count(*) AS n FROM draws d JOIN cuts c USING (label)
+  WHERE c.cut <= d.u GROUP BY id, label)
+SELECT id, label, unnest(range(1, n + 1))::INT AS copy FROM counts""")
+def poisson_resample(spark, folder):
+    docs = documents(spark, folder).select("id", "label")
+    return prep.poisson_resample(docs, "id", LANGUAGES)
+
+
 ORDER_SQL = """placed AS (
   SELECT vec_id, label, embedding, row_number() OVER (
     ORDER BY md5('42|' || 0 || '|' || vec_id), vec_id) - 1 AS zero,

@@ -204,6 +204,57 @@ def broken_seals(spark, folder):
         F.unix_micros("timestamp").alias("at"), "actor", "resource")
 
 
+TAMPERED_SQL = ACTIONS_SQL + """,
+before AS (SELECT id, timestamp AS ts, resource, date_trunc('day', timestamp) AS chunk FROM logged),
+after AS (
+  SELECT id, CASE WHEN id % 101 = 7 THEN ts + INTERVAL 26 HOUR ELSE ts END AS ts, resource
+  FROM before WHERE id % 97 <> 5),
+once AS (SELECT *, lag(resource) OVER (PARTITION BY chunk ORDER BY ts, resource) AS prev FROM before),
+now AS (SELECT *, date_trunc('day', ts) AS chunk, lag(resource) OVER (
+  PARTITION BY date_trunc('day', ts) ORDER BY ts, resource) AS prev FROM after)"""
+
+
+def _tampered(spark, folder):
+    """A linked log, its roots, and the log after events were deleted and moved to other days."""
+    order, ident = ("timestamp", "resource"), "resource"
+    log = audit_events(spark, folder)
+    kept = written(audit.linked(log, SALT, order, ident, "day"), "linked-log")
+    roots = written(audit.chunk_roots(kept, SALT), "log-roots")
+    numbers = table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.substring(F.sha2(F.concat(
+            F.lit("JohnDoe_"), F.col("event_id").cast("string")), 256), 1, 12), F.lit(".dcm"))
+        .alias("resource"))
+    later = F.when(F.col("id") % 101 == 7, F.col("timestamp") + F.expr("INTERVAL 26 HOURS"))
+    changed = (kept.join(numbers, "resource").where(F.col("id") % 97 != 5)
+               .withColumn("timestamp", F.coalesce(later, F.col("timestamp")))
+               .drop("id").select(*kept.columns))
+    return written(changed, "tampered-log"), roots, order, ident
+
+
+@query("d12_broken_links", f"""WITH {TAMPERED_SQL}
+SELECT epoch_us(n.ts) AS at, n.resource FROM now n JOIN once o USING (id)
+WHERE n.ts <> o.ts OR n.prev IS DISTINCT FROM o.prev""")
+def broken_links(spark, folder):
+    """Deleted events show in their successors, moved ones in themselves and their neighbours."""
+    changed, _, order, ident = _tampered(spark, folder)
+    return audit.broken_links(changed, SALT, order, ident, "day").select(
+        F.unix_micros("timestamp").alias("at"), "resource")
+
+
+@query("d12_broken_chunks", f"""WITH {TAMPERED_SQL},
+counts AS (SELECT chunk, sum(b)::BIGINT AS n, sum(a)::BIGINT AS found, sum(moved) AS moved FROM (
+    SELECT chunk, 1 AS b, 0 AS a, 0 AS moved FROM before
+    UNION ALL SELECT chunk, 0, 1, (id % 101 = 7)::INT FROM now
+    UNION ALL SELECT chunk, 0, 0, (id % 101 = 7 OR id % 97 = 5)::INT FROM before) GROUP BY chunk)
+SELECT epoch_us(chunk) AS day, n, found, CASE WHEN found < n THEN 'missing'
+  WHEN found > n THEN 'added' ELSE 'changed' END AS fault FROM counts WHERE moved > 0""")
+def broken_chunks(spark, folder):
+    """Days whose events no longer give the root that was kept."""
+    changed, roots, _, _ = _tampered(spark, folder)
+    return audit.broken_chunks(changed, roots, SALT, "day").select(
+        F.unix_micros(F.col("chunk").cast("timestamp")).alias("day"), "n", "found", "fault")
+
+
 @query("d13_leaked_values", """SELECT c_custkey, c_name AS leaked FROM customer
 WHERE c_custkey % 9 = 0""")
 def leaked_values(spark, folder):

@@ -305,3 +305,31 @@ def late_and_repeated(spark, folder):
     return intake.outcomes(spark, out).select(
         F.col("batch").cast("int").alias("batch"), "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "outcome")
+
+
+@query("st3_merged_quantiles", """SELECT epoch_us(date_trunc('day', ts)) AS day,
+  event_type AS class, count(*) AS n, round(avg(value / 500), 10) AS mean_confidence,
+  true AS p50_near, true AS p95_near FROM events GROUP BY 1, 2""")
+def merged_quantiles(spark, folder):
+    """Days merged from the sketches of an hourly stream; the ranks of the quantiles they give are
+    looked up among all rows of the day and lie within twice the stated error."""
+    events = table(spark, folder, "events")
+    stream = closed_stream_of(spark, folder, "events", _predictions).withWatermark("ts", "1 hour")
+    hours = run_available(timelines.latency_sketches(stream, "1 hour"), "sketches")
+    days = written(timelines.merged_sketches(hours, "day"), "days")
+    ranks = (_predictions(events).withColumn("unit_start", F.date_trunc("day", "ts"))
+             .join(days.select("unit_start", "class", "quantiles"), ["unit_start", "class"])
+             .groupBy("unit_start", "class").agg(*(
+                 F.avg((F.col("latency_ms") < F.col("quantiles")[i]).cast("double")).alias(f"lo{i}")
+                 for i in (0, 1)), *(
+                 F.avg((F.col("latency_ms") <= F.col("quantiles")[i]).cast("double"))
+                 .alias(f"hi{i}") for i in (0, 1))))
+
+    def near(i, q):
+        room = 2 * timelines.RANK_ERROR
+        return (F.col(f"lo{i}") <= q + room) & (F.col(f"hi{i}") >= q - room)
+
+    rows = days.join(ranks, ["unit_start", "class"]).select(
+        F.unix_micros("unit_start").alias("day"), "class", "n", "mean_confidence",
+        near(0, 0.5).alias("p50_near"), near(1, 0.95).alias("p95_near"))
+    return rounded(rows, "mean_confidence", digits=10)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_RECORDERS: list[list[DataFrame]] = []
 #: State of streams in RocksDB: maps and timers need it, and large state stays out of the heap.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -65,9 +67,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
+    for tables in _RECORDERS:
+        tables.append(table)
     return table
 
 
+def written_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``build`` returns, then delete all tables that it has written on the way."""
+    tables: list[DataFrame] = []
+    _RECORDERS.append(tables)
+    try:
+        out = written(build(), name)
+    finally:
+        _RECORDERS[:] = [t for t in _RECORDERS if t is not tables]
+    release(*(t for t in tables if t is not out))
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for table in tables:

@@ -95,3 +95,21 @@ def write_split(manifest: DataFrame, folder: str, force: bool = False) -> None:
     """Write rows (with their content, if they carry any) as split=/label= partitions."""
     manifest.write.mode("overwrite" if force else "errorifexists").partitionBy(
         "split", "label").parquet(folder)
+
+
+def read_split(spark: SparkSession, folder: str, splits: Sequence[str] | None = None,
+               labels: Sequence[str] | None = None) -> DataFrame:
+    """Rows that ``write_split`` has written; only the folders asked for are read."""
+    rows = spark.read.parquet(folder)
+    if splits is not None:
+        rows = rows.where(F.col("split").isin(*splits))
+    return rows if labels is None else rows.where(F.col("label").isin(*labels))
+
+
+def read_split_of(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """Rows of the (split, label) folders that the table ``wanted`` names, pruned as it is read.
+
+    The names are broadcast: pools times classes at most.
+    """
+    pairs = wanted.select("split", "label").distinct()
+    return spark.read.parquet(folder).join(F.broadcast(pairs), ["split", "label"], "left_semi")
