@@ -111,5 +111,6 @@ def read_split_of(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFr
 
     The names are broadcast: pools times classes at most.
     """
-    pairs = wanted.select("split", "label").distinct()
+    # Spark prunes by a join only if the other side is filtered
+    pairs = wanted.where("split <> '' AND label <> ''").select("split", "label").distinct()
     return spark.read.parquet(folder).join(F.broadcast(pairs), ["split", "label"], "left_semi")

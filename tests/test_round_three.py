@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohort.operators import audit, prep, timelines
+from cohort.session import written
 from cohort.sources import images, logs
 from cohort.streaming import feeds
 
@@ -110,8 +111,8 @@ def test_split_folders_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan and "DataFilters: []" in plan
     assert sorted(r.id for r in val.collect()) == [
         i for i in range(60) if i % 3 == 1 and i % 5 in (1, 2)]
-    wanted = spark.createDataFrame([("test", "3"), ("train", "0"), ("train", "9")],
-                                   "split string, label string")
+    wanted = written(spark.createDataFrame([("test", "3"), ("train", "0"), ("train", "9")],
+                                           "split string, label string"), "wanted")
     found = images.read_split_of(spark, place, wanted)
     assert sorted(r.id for r in found.collect()) == [
         i for i in range(60) if (i % 3, i % 5) in ((2, 3), (0, 0))]
