@@ -253,8 +253,9 @@ def _label(model: Model):
 
 
 def with_languages(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text",
-                   lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Add ``predicted``, a struct of lang_pred and score, to ``docs``.
+                   lang: str = "lang", per_language: int = PER_LANGUAGE,
+                   name: str = "predicted") -> DataFrame:
+    """Add ``name``, a struct of lang_pred and score, to ``docs``; a column of that name goes.
 
     The model is fitted on rows that are not held out and have key, text and language: at most
     ``per_language`` distinct texts of each language, those with the lowest hash.  Null texts and
@@ -275,7 +276,7 @@ def with_languages(docs: DataFrame, held_out: Column, key: str = "doc_id", text:
             .orderBy("l", "h").toPandas())
     out = "lang_pred string, score double"
     if not len(rows):
-        return docs.withColumn("predicted", F.struct(F.lit("und").alias("lang_pred"),
+        return docs.withColumn(name, F.struct(F.lit("und").alias("lang_pred"),
                                                      F.lit(0.0).alias("score")))
     model = fit(pa.array(rows["t"], pa.string()), rows["l"].tolist())
-    return docs.withColumn("predicted", F.pandas_udf(_label(model), out)(text))
+    return docs.withColumn(name, F.pandas_udf(_label(model), out)(text))

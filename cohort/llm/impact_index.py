@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohort.session import written
 
-BLOCK, QUERY_BLOCK = 16_384, 256
+BLOCK, QUERY_BLOCK = 16_384, 4096
 #: Bits below the quantised impact.
 SHIFT = 2
 #: Shares of the postings that are processed before the proof is tried.
@@ -38,8 +38,10 @@ def _matrix(block: pa.Array, i: int, dims: int) -> tuple[np.ndarray, np.ndarray,
 class Block:
     """Vectors with their postings: for each dimension, the rows by falling quantised impact."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None,
+                 rows: np.ndarray | None = None):
         self.ids, self.vectors = ids, vectors
+        self.rows = ids if rows is None else rows
         size = np.abs(vectors)
         shift = max(SHIFT, int(size.max(initial=0)).bit_length() - 8)
         level = size >> shift
@@ -63,9 +65,9 @@ class Block:
         return np.clip(least, 0, self.levels).astype(np.int64)
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) without the id ``own``; ties go to the smaller id."""
+        """The k best (score, id) without the row ``own``; ties go to the smaller id."""
         n, dims = self.vectors.shape
-        other = self.ids != own
+        other = self.rows != own
         query = query.astype(np.float64)
         size, each = np.abs(query), np.arange(dims)
 
@@ -112,21 +114,23 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dims = batch.column(0)[i].as_py()
-                ids, _, vectors = _matrix(batch.column(1), i, dims)
-                block = Block(ids, vectors, np.frombuffer(
-                    batch.column(2)[i].as_py(), np.uint32).reshape(dims, len(ids)))
-                q_ids, q_rows, queries = _matrix(batch.column(3), i, dims)
-                out = []
-                for own, row, query in zip(q_ids.tolist(), q_rows.tolist(), queries):
-                    out += [(row, own, vec, score) for score, vec in
-                            block.top(query, own, k)]
-                columns = list(zip(*out)) or [[]] * 4
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns],
-                                      names=["row", "query_id", "vec_id", "score"])
+    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if index.num_rows and asked.num_rows:
+            index = index.combine_chunks().to_batches()[0]
+            dims = index.column("dims")[0].as_py()
+            ids, numbers, vectors = _matrix(index.column("m"), 0, dims)
+            block = Block(ids, vectors, np.frombuffer(
+                index.column("impact")[0].as_py(), np.uint32).reshape(dims, len(ids)), numbers)
+            for batch in asked.to_batches():
+                for i in range(batch.num_rows):
+                    q_ids, q_rows, queries = _matrix(batch.column("q"), i, dims)
+                    for own, row, query in zip(q_ids.tolist(), q_rows.tolist(), queries):
+                        out += [(row, own, vec, score)
+                                for score, vec in block.top(query, row, k)]
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(
+            ("row", "query_id", "vec_id", "score"), columns)})
 
     return run
 
@@ -134,7 +138,7 @@ def _search(k: int):
 def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
                        key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best partners of every row whose key divides by
-    ``every``, among all rows with another key.
+    ``every``, among all other rows, also those that repeat its key.
 
     Components become floor(scale * x).  Rows without key or vector, or with a null or
     non-finite component, take no part; vectors meet only vectors of their own length.  Rows
@@ -161,12 +165,17 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: i
     index = written(dealt(rows, blocks).select("dims", "block", "m").mapInArrow(
         _index, "dims int, block int, m array<struct<id:bigint,row:bigint,v:array<bigint>>>, "
                 "impact binary"), "impact-index")
-    asked = written(dealt(wanted, query_blocks).select("dims", F.col("m").alias("q")), "queries")
-    # the stated query set meets every block of the index, block by block
+    asked = written(dealt(wanted, query_blocks).select(
+        "dims", F.col("block").alias("tile"), F.col("m").alias("q")), "queries")
+    # the stated query set meets every block of the index, tile by tile: a block of the index is
+    # sent once for each tile of 4,096 queries, so bytes stay far below products
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["dims", "block", "tile"]
+    tiles = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = (asked.join(index, ["dims", "block"]).repartition(F.col("block"), F.hash("q"))
-             .select("dims", "m", "impact", "q")
-             .mapInArrow(_search(k), "row bigint, query_id bigint, vec_id bigint, score bigint"))
+    found = (index.withColumn("tile", tiles).repartition(parts, *keys).groupBy(*keys)
+             .cogroup(asked.repartition(parts, *keys).groupBy(*keys))
+             .applyInArrow(_search(k), "row bigint, query_id bigint, vec_id bigint, score bigint"))
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc("vec_id"))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

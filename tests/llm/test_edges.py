@@ -102,3 +102,18 @@ def test_vectors_of_odd_rows(spark):
                if r["query_id"] == q] for q in (0, 50)}
     assert got == {0: [(1, 1), (2, 8), (3, 50)], 50: [(1, 0), (2, 1), (3, 8)]}
     assert top_inner_products(vectors.where("1 = 0")).collect() == []
+
+
+def test_rows_that_repeat_a_key_are_partners(spark):
+    vectors = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [0.5])],
+                                    "vec_id bigint, embedding array<float>")
+    rows = top_inner_products(vectors).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows) == [
+        (0, 1, 0, 131072), (0, 1, 0, 131072), (0, 2, 1, 32768), (0, 2, 1, 65536)]
+
+
+def test_names_of_helpers_may_be_taken(odd_docs):
+    docs = odd_docs.withColumns({c: F.lit("x") for c in ("i2", "i3", "t3", "clean", "t", "spans")})
+    rows = sanitise(docs)
+    assert rows.columns == docs.columns and rows.count() == docs.count()
+    assert rows.where("clean = 'x' AND i3 = 'x'").count() == docs.count()
