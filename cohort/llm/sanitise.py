@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohort.llm.textbytes import chunks, word_bounds, word_hashes
-from cohort.session import written
+from cohort.llm.columns import unused
+from cohort.session import release, written, written_alone
 
 KINDS = ("email", "ip", "card", "phone", "general", "term")
 #: Words on each side of an entity that count as near, texts that have to show a pair, and the
@@ -332,17 +333,25 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with personal data and disclosing terms taken out of the text."""
-    found = personal_data(docs, key, text, **settings).where(F.size("spans") > 0).select(
-        F.col(key).alias("i2"), F.col("tkey").alias("t2"), "spans").dropDuplicates(["i2", "t2"])
-    found = written(found, "spans")
+    """``docs`` with personal data and disclosing terms taken out of the text.
+
+    All columns and rows stay, whatever their names; null texts stay null.
+    """
+    found = written_alone(
+        lambda: personal_data(docs, key, text, **settings).where(F.size("spans") > 0).select(
+            F.col(key).alias("i2"), F.col("tkey").alias("t2"), "spans")
+        .dropDuplicates(["i2", "t2"]), "spans")
+    mine = docs.select(F.col(key).cast("bigint").alias("i1"), F.col(text).alias("t"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t1"))
+    same = F.col("i1").eqNullSafe(F.col("i2")) & (F.col("t1") == F.col("t2"))
+    changed = mine.hint("merge").join(found, same).select(
+        "i2", "t2", "t", F.col("spans.start").alias("s"), F.col("spans.kind").alias("k"),
+        F.col("spans.end").alias("e")).dropDuplicates(["i2", "t2"])
+    i3, t3, clean = unused(docs, "i3", "t3", "clean")
+    fixed = written(changed.mapInArrow(_rewrite, "i3 bigint, t3 bigint, clean string"),
+                    "clean-texts").toDF(i3, t3, clean)
+    release(found)
     tkey = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    same = F.col(key).cast("bigint").eqNullSafe(F.col("i2")) & (tkey == F.col("t2"))
-    changed = docs.hint("merge").join(found, same).select(
-        "i2", "t2", F.col(text).alias("t"), F.col("spans.start").alias("s"),
-        F.col("spans.kind").alias("k"), F.col("spans.end").alias("e")).dropDuplicates(["i2", "t2"])
-    clean = written(changed.mapInArrow(_rewrite, "i3 bigint, t3 bigint, clean string"),
-                    "clean-texts")
     return docs.hint("merge").join(
-        clean, F.col(key).cast("bigint").eqNullSafe(F.col("i3")) & (tkey == F.col("t3")), "left"
-    ).withColumn(text, F.coalesce("clean", text)).drop("i3", "t3", "clean")
+        fixed, F.col(key).cast("bigint").eqNullSafe(F.col(i3)) & (tkey == F.col(t3)), "left"
+    ).withColumn(text, F.coalesce(clean, text)).drop(i3, t3, clean)
