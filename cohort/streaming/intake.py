@@ -108,8 +108,8 @@ def reconciled(events: DataFrame, folder: str, checkpoint: str, delay_ms: int,
     """Deal each arriving event to ``outcome=kept``, ``late`` or ``repeated``.
 
     Late is an event more than ``delay_ms`` behind the latest one of the batches before; repeated
-    is one whose key was kept before, or another row of its batch with that key (the earliest
-    stays).  Both are decided against what earlier batches have written, so no row is lost: kept,
+    is one whose key an earlier batch kept with a time that is not late by now, or another row of
+    its batch with that key (the earliest stays).  Both are decided against what earlier batches have written, so no row is lost: kept,
     late and repeated rows add up to the input.  A null time is late, null keys are never repeats.
 
     The mark of each batch is written with it.  Keys are looked up only in batches that reach

@@ -128,7 +128,8 @@ def health_changes(probes: DataFrame, retries: int = PROBE_RETRIES,
         return (begin, failures), out, None
 
     timed = probes.withWatermark("ts", delay).select(
-        "target", "ts", F.unix_micros("ts").alias("at"), F.coalesce(F.col("ok").cast("bigint"), F.lit(0)).alias("what"))
+        "target", "ts", F.unix_micros("ts").alias("at"),
+        F.coalesce(F.col("ok").cast("bigint"), F.lit(0)).alias("what"))
     return timed.groupBy("target").transformWithStateInPandas(
         Replay(step, "begin bigint, failures bigint", ["target", "at", "healthy"], 1000),
         f"target {kind}, at bigint, healthy boolean", "append", "eventTime"

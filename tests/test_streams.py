@@ -236,9 +236,11 @@ def test_uploads_are_decoded_checked_and_looked_up(spark, image_folder, tmp_path
 
 
 def plain_outcomes(batches, delay):
-    kept, out, latest = set(), [], None
+    times, out, latest = {}, [], None
     for batch in batches:
         mark = None if latest is None else latest - delay
+        # keys kept by earlier batches count as long as their rows are not behind the mark
+        kept = {k for k, ts in times.items() if mark is None or max(ts) >= mark}
         for key, s in sorted(batch, key=lambda r: (r[1] is None, r[1] or 0)):
             if s is None or (mark is not None and s < mark):
                 out.append((key, s, "late"))
@@ -246,6 +248,7 @@ def plain_outcomes(batches, delay):
                 out.append((key, s, "repeated"))
             else:
                 kept.add(key)
+                times.setdefault(key, []).append(s)
                 out.append((key, s, "kept"))
             if out[-1][2] != "late":
                 latest = s if latest is None else max(latest, s)
