@@ -1,11 +1,14 @@
 """Personal data by patterns, and the terms that give it away by corpus statistics.
 
 Patterns find the protected entities: addresses, card and phone numbers.  A term anywhere in a text
-with an entity reveals it as far as the corpus lets one be inferred from the other.  With p the share
-of distinct texts, the pointwise mutual information log p(t, e) / (p(t) p(e)) is compared with the
-information -log p(e) of the entity: a term that discloses more than a share of it is
-generalised, one that discloses nearly all of it is removed.  A pair seen in one text is judged
-like any other: what it discloses then depends on how rare the term is in the corpus.
+with an entity e reveals it as far as the corpus lets e be inferred from the term t.  The chance q of
+e given t is estimated from the *other* texts with t, since the text in which a pair was noticed is no
+evidence for it: q = (n_both - 1 + w r) / (n_term - 1 + w).  A term seen once thus has the rate r of
+its class: the rate at which terms that are near an entity, or far from it, occur with the same entity
+again, which is counted over the corpus and itself drawn towards zero.  With p the share of texts with
+e, the term is expected to tell q log(q / p) of the information -log p; a term that tells more than a
+share of it is generalised, one that tells nearly all is removed.  What an entity has in common with
+others (mail domain, network, leading digits) is an entity too, that tells a part of the whole.
 """
 
 from __future__ import annotations
@@ -18,16 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohort.llm.textbytes import chunks, word_bounds, word_hashes
+from cohort.llm.textbytes import chunks, mix, word_bounds, word_hashes
 from cohort.llm.columns import unused
 from cohort.session import release, written, written_alone
 
 KINDS = ("email", "ip", "card", "phone", "general", "term")
-#: Words on each side of an entity that count as near, texts that have to show a pair, and the
-#: shares of the entity's information from which a term is generalised or removed.
-REACH, SUPPORT, GENERALISE, REMOVE = 5, 1, 0.7, 0.9
-#: Weight of what a term discloses that is near in no text.
-FAR = 0.9
+#: Words on each side of an entity that count as near, and the shares of the entity's information
+#: from which a term is generalised or removed.
+REACH, GENERALISE, REMOVE = 5, 0.4, 0.7
+#: Texts that the rate of its class counts for in the estimate of a term, texts without the entity
+#: that are added to those of a class, and the weight of what a term tells that is near in no text.
+WEIGHT, DOUBT, FAR = 2.0, 20.0, 0.9
+#: Words of a run; texts with the same smallest hash of a run count as near copies.
+RUN = 5
 #: Rows of places that are held before they are passed on.
 HELD = 1 << 17
 #: Hash buckets that tell which texts may have copies, a broadcast of one line each at most.
@@ -124,11 +130,30 @@ def term_places(text: str, spans: list[tuple[int, int, int]], reach: int
     return places
 
 
-def entity_code(text: str, start: int, kind: int, end: int) -> int:
+def entity_codes(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
+    """Codes of an entity and of what it shares with others: domain, network, leading digits."""
     value = text[start:end].lower()
-    value = value if kind < 2 else "".join(DIGITS.findall(value))
-    return int.from_bytes(hashlib.blake2b(
-        f"{kind}{value}".encode(), digest_size=8).digest(), "big", signed=True)
+    if kind == 0:
+        shared = value.partition("@")[2]
+    elif kind == 1:
+        shared = ".".join(value.split(".")[:2])
+    else:
+        value = "".join(DIGITS.findall(value))
+        shared = value[:6]
+    return tuple(int.from_bytes(hashlib.blake2b(
+        x.encode(), digest_size=8).digest(), "big", signed=True)
+        for x in (f"{kind}{value}", f"{kind}in{shared}"))
+
+
+def look(text: str) -> int:
+    """The smallest hash of a run of ``RUN`` words, which near copies mostly share."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    begin, end, _ = word_bounds(data, np.array([0, len(data)]))
+    words = word_hashes(data, begin, end)
+    runs = words[:max(len(words) - RUN + 1, 1)].copy()
+    for k in range(1, min(RUN, len(words))):
+        runs = mix(runs) + words[k:k + len(runs)]
+    return int(mix(runs).min().view(np.int64)) if len(runs) else 0
 
 
 def _find(reach: int):
@@ -162,7 +187,10 @@ def _find(reach: int):
                 kinds = [k for _, k, _ in spans]
                 found.append((tkey, *(kinds.count(k) for k in range(4)),
                               [a for a, _, _ in spans], kinds, [b for _, _, b in spans]))
-                entities += [(tkey, e) for e in {entity_code(text, *s) for s in spans}]
+                codes = {entity_codes(text, *s) for s in spans}
+                alike = look(text)
+                entities += [(tkey, e, part, alike) for part in (False, True)
+                             for e in {c[part] for c in codes}]
                 near += [(tkey, word, *places)
                          for word, places in term_places(text, spans, reach).items()]
                 if len(near) > HELD:
@@ -171,7 +199,7 @@ def _find(reach: int):
             if found:
                 yield table(0, ("tkey", "n_email", "n_ip", "n_card", "n_phone", "starts", "kinds",
                                 "ends"), found)
-                yield table(3, ("tkey", "entity"), entities)
+                yield table(3, ("tkey", "entity", "near", "n"), entities)
             if near:
                 yield terms(near)
             # in how many texts each word stands, added up as far as memory allows
@@ -229,39 +257,51 @@ def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, int]:
     return once.unionByName(folded).drop("bucket"), copies.count()
 
 
-def disclosing_terms(found: DataFrame, total: int, support: int, generalise: float,
-                     remove: float) -> DataFrame:
+def disclosing_terms(found: DataFrame, total: int, generalise: float, remove: float) -> DataFrame:
     """(tkey, more): places of the terms that disclose an entity of their text.
 
     Entities that stand in the same texts are one, so a text with many entities of its own is no
-    more work than one with a single entity.
+    more work than one with a single entity.  Near copies with an entity count once.
     """
-    n, held = float(max(total, 1)), found.where("what = 3").select("tkey", "entity")
-    same = held.groupBy("entity").agg(
-        F.count("*").alias("n_entity"), F.bit_xor("tkey").alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "tkey")).alias("y")).where(F.col("n_entity") < n)
-    classes = written(held.join(same.select("entity", "n_entity", F.xxhash64("n_entity", "x", "y")
-                                            .alias("class")), "entity")
-                      .select("tkey", "class", "n_entity").distinct(), "entity-classes")
-    # the most a term can disclose is with n_both = min(n_term, n_entity) and near: terms beyond
-    # the limit cannot reach the share, whatever their pairs, and need not be paired
-    limit = n ** (1 - generalise) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9)
+    n = float(max(total, 1))
+    held = found.where("what = 3").select("tkey", "entity", F.col("near").alias("part"),
+                                          F.col("n").alias("look"))
+    same = held.groupBy("entity", "part").agg(
+        F.count_distinct("look").alias("n_entity"), F.count("*").alias("texts"),
+        F.bit_xor("tkey").alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "tkey")).alias("y"))
+    # a shared part is measured by the most that an entity can have
+    info = F.when(F.col("part"), F.log(F.lit(n))).otherwise(F.log(n / F.col("n_entity")))
+    code = F.xxhash64("part", "texts", "x", "y").alias("class")
+    same = same.withColumn("info", info).where(F.log(n / F.col("n_entity")) > F.greatest(
+        F.col("info") * generalise, F.lit(1e-9)))
+    classes = written(held.join(same.select("entity", "part", "n_entity", "texts", "info", code),
+                                ["entity", "part"])
+                      .select("tkey", "class", "look", "n_entity", "texts", "info").distinct(),
+                      "entity-classes")
+    # no term tells more than its chance, which is at most that of the term in all texts of the
+    # entity: terms of more texts cannot reach the share, whatever their pairs
+    limit = ((F.col("n_entity") - 1 + WEIGHT) / generalise + 1 - WEIGHT + F.col("texts")
+             - F.col("n_entity") + 1e-6)
     most = classes.agg(F.max(limit)).head()[0] or 0.0
     words = found.where("what = 1").select("tkey", "term", "near", "starts", "ends")
     terms = (found.where("what = 2").groupBy("term").agg(F.sum("n").alias("n_term"))
              .where(F.col("n_term") <= most))
     pairs = written(words.join(terms, "term").join(classes, "tkey")
                     .where(F.col("n_term") <= limit), "entity-terms")
-    # both shares come from texts: a pair cannot be seen more often than its term
-    both = F.least("n_both", "n_term", "n_entity")
-    told = (F.log(both * n / (F.col("n_term") * F.col("n_entity")))
-            / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9)) + 1e-9)
-    weight = F.when(F.col("near"), 1.0).otherwise(FAR)
+    counted = written(pairs.groupBy("class", "term", "n_term", "n_entity", "info").agg(
+        F.count_distinct("look").alias("n_both"), F.count("*").alias("seen"),
+        F.max("near").alias("near")).withColumn(
+            "others", F.greatest(F.col("n_term") - F.col("seen"), F.lit(0)) + F.col("n_both") - 1),
+        "entity-term-counts")
+    rate = {row["near"]: row["again"] / (row["others"] + DOUBT)  # one line per class
+            for row in counted.groupBy("near").agg(F.sum(F.col("n_both") - 1).alias("again"),
+                                                   F.sum("others").alias("others")).collect()}
+    base = F.when(F.col("near"), rate.get(True, 0.0)).otherwise(rate.get(False, 0.0))
+    chance = (F.col("n_both") - 1 + WEIGHT * base) / (F.col("others") + WEIGHT)
+    told = (chance * F.log(F.greatest(chance, F.lit(1e-300)) * n / F.col("n_entity"))
+            / F.col("info") * F.when(F.col("near"), 1.0).otherwise(FAR) + 1e-9)
     disclosed = written(
-        pairs.groupBy("class", "term", "n_term", "n_entity").agg(
-            F.count("*").alias("n_both"), F.max("near").alias("near"))
-        .where(F.col("n_both") >= support).withColumn("told", told * weight)
-        .where(F.col("told") >= generalise)
+        counted.withColumn("told", told).where(F.col("told") >= generalise)
         .select("class", "term", F.when(F.col("told") >= remove, KINDS.index("term"))
                 .otherwise(KINDS.index("general")).alias("kind")), "disclosed")
     places = pairs.join(disclosed, ["class", "term"]).select(
@@ -272,17 +312,15 @@ def disclosing_terms(found: DataFrame, total: int, support: int, generalise: flo
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH,
-                  support: int = SUPPORT, generalise: float = GENERALISE,
-                  remove: float = REMOVE) -> DataFrame:
+                  generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(key, tkey, n_email, n_ip, n_card, n_phone, base, spans) for every row of ``docs``.
 
     ``base`` and ``spans`` are arrays of (start, kind, end) in code points, sorted; kinds count
     from 0 in the order of ``KINDS``.  ``spans`` adds the terms that disclose an
-    entity of their text, at every place where they stand outside of ``base``: seen with it
-    in ``support`` distinct texts or more, anywhere in them, and disclosing the share
-    ``generalise`` or ``remove`` of its information; that share counts ``FAR`` times where the term
-    is within ``reach`` words of an entity in none of these texts.  Texts without the entity keep
-    the term.  Null texts are empty, and empty texts have
+    entity of their text, at every place where they stand outside of ``base``: those expected to
+    tell the share ``generalise`` or ``remove`` of its information, by the distinct texts that hold
+    both, anywhere in them; that share counts ``FAR`` times where the term is within ``reach``
+    words of an entity in none of these texts.  Texts without the entity keep the term.  Null texts are empty, and empty texts have
     no spans.  Rows of equal text count as one text in all statistics and get equal results.
     Keys are integers.  Other columns are ignored.
     """
@@ -295,7 +333,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
     base = F.arrays_zip(F.col("starts").alias("start"), F.col("kinds").alias("kind"),
                         F.col("ends").alias("end")).cast(struct)
     none, counts = F.array().cast(struct), ("n_email", "n_ip", "n_card", "n_phone")
-    more = disclosing_terms(found, total, support, generalise, remove)
+    more = disclosing_terms(found, total, generalise, remove)
     held = written(found.where("what = 0").select("tkey", *counts, base.alias("base")).join(
         more, "tkey", "left").select("tkey", *counts, "base", F.array_sort(F.concat(
             "base", F.coalesce(F.col("more").cast(struct), none))).alias("spans")), "text-spans")
