@@ -3,11 +3,11 @@
 The paths of a host form a tree.  Level by level, a segment stays as it is if a good share of its
 parent's URLs have it; rarer ones are generalised, first their digits, then the whole segment.
 Branches of one parent that go on alike and whose labels do not differ significantly are merged.
-A template is rejected if its labelled URLs are bad to a share that still exceeds the threshold
-after smoothing towards the share of all.
+A template is rejected if the odds of a bad URL among its labelled ones are surely higher than
+among all: its share is smoothed towards that of all, and its lower bound counts.
 
 Only DataFrame functions.  The tree is a table with one row per node; counts are added up before
-they are shuffled, so a host with a third of all URLs is no more work for one task than others.
+they are shuffled, and nodes of many URLs, such as a host with a third of all, are broadcast.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohort.operators.skew import join_groups
 from cohort.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree, what is deeper counts as one tail; share of a parent's URLs and number of
-#: URLs that keep a segment from being generalised.
-LEVELS, SHARE, COUNT = 8, 0.05, 3
-#: Largest z of two bad shares that still merges branches; smoothing weight; rejection threshold.
-SIMILAR, WEIGHT, THRESHOLD = 1.0, 10.0, 0.5
+#: Share of a parent's URLs and number of URLs that keep a segment from being generalised.
+SHARE, COUNT = 0.05, 3
+#: Largest z of two bad shares that still merges branches.
+SIMILAR = 1.0
+#: Smoothing weight; odds of a rejected template against those of all; z of its lower bound.
+WEIGHT, LIFT, SURE = 2.0, 2.0, 2.33
 
 
 def url_host(url: Column) -> Column:
@@ -51,32 +53,47 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return found
 
 
-def path_templates(urls: DataFrame, levels: int = LEVELS, share: float = SHARE,
-                   count: int = COUNT) -> DataFrame:
-    """Add ``template``, an array of generalised segments, to rows with host and path."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    parts = F.when(F.size(parts) > levels,
-                   F.concat(F.slice(parts, 1, levels), F.array(F.lit("**")))).otherwise(parts)
-    rows = written(urls.withColumn("segments", parts).withColumn(
-        "template", F.array().cast("array<string>")), "url-segments")
-    depth = rows.agg(F.max(F.size("segments"))).head()[0] or 0  # levels + 1 at most
-    for d in range(depth):
-        rows = rows.withColumn("segment", F.get("segments", F.lit(d)))
-        some = rows.where(F.col("segment").isNotNull())
-        node = ["host", "template"]
-        counts = some.groupBy(*node, "segment").agg(F.count("*").alias("n")).withColumn(
-            "shape", F.regexp_replace("segment", "[0-9]+", "#"))
-        totals = counts.groupBy(*node).agg(F.sum("n").alias("total"))
-        shapes = counts.groupBy(*node, "shape").agg(F.sum("n").alias("n_shape"))
+def path_templates(urls: DataFrame, share: float = SHARE, count: int = COUNT) -> DataFrame:
+    """Add ``template``, an array of generalised segments, to rows with host and path.
+
+    A node of fewer than ``count`` URLs cannot keep a segment: what follows it is one tail of
+    wildcards.  All other nodes are split as deep as their paths go.
+    """
+    node = ["host", "template"]
+    rows = written(urls.withColumns({
+        "segments": F.split(F.regexp_replace("path", "^/", ""), "/"),
+        "template": F.array().cast("array<string>")}), "url-segments")
+    names, done, depth = [*urls.columns, "template"], [], 0
+    while not rows.isEmpty():
+        segment = F.get("segments", F.lit(depth))
+        shape = F.regexp_replace("segment", "[0-9]+", "#")
+        rows = rows.withColumn("segment", segment).withColumn("shape", shape)
+        counts = rows.groupBy(*node, "segment", "shape").agg(F.count("*").alias("n"))
+        shapes = counts.groupBy(*node, "shape").agg(F.sum("n").alias("n_shape"), F.collect_list(
+            F.when(F.col("n") >= count, F.struct("n", "segment"))).alias("kept"))
+        nodes = shapes.groupBy(*node).agg(
+            F.sum("n_shape").alias("total"), F.collect_list(F.when(F.col("n_shape") >= count, F.struct(
+                "n_shape", "shape", "kept"))).alias("shapes"))
+        # at most 1 / share of each stay
         least = F.greatest(F.lit(count), F.col("total") * share)
-        chosen = counts.join(totals, node).join(shapes, [*node, "shape"]).select(
-            *node, "segment", F.when(F.col("n") >= least, F.col("segment"))
-            .when(F.col("n_shape") >= least, F.col("shape")).otherwise("*").alias("part"))
-        rows = rows.join(chosen, [*node, "segment"], "left").withColumn(
-            "template", F.when(F.col("part").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.array("part")))).drop("segment", "part")
-        rows = written(rows, "url-level")
-    return rows.drop("segments")
+        nodes = nodes.select(
+            *node, "total", F.flatten(F.transform("shapes", lambda s: F.transform(F.filter(
+                s["kept"], lambda k: k["n"] >= least), lambda k: k["segment"]))).alias("kept"),
+            F.transform(F.filter("shapes", lambda s: s["n_shape"] >= least),
+                        lambda s: s["shape"]).alias("shapes"))
+        left = F.size("segments") - depth
+        part = (F.when(F.col("total") < count, F.array_join(F.array_repeat(F.lit("*"), left), "/"))
+                .when(F.array_contains("kept", F.col("segment")), F.col("segment"))
+                .when(F.array_contains("shapes", F.col("shape")), F.col("shape")).otherwise("*"))
+        level = written(join_groups(rows, written(nodes, "url-nodes"), node, "total").select(
+            *urls.columns, "segments", F.concat("template", F.array(part)).alias("template"),
+            ((left == 1) | (F.col("total") < count)).alias("done")), "url-level")
+        done.append(level.where("done").select(*names))
+        rows, depth = level.where("not done").drop("done"), depth + 1
+    out = rows.select(*names)
+    for level in done:
+        out = out.unionByName(level)
+    return out
 
 
 def merged_templates(templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -120,14 +137,15 @@ def merged_templates(templates: DataFrame, similar: float = SIMILAR) -> DataFram
 
 def url_verdicts(urls: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]],
                  key: str = "page_id", url: str = "url", weight: float = WEIGHT,
-                 threshold: float = THRESHOLD, **tree) -> DataFrame:
+                 lift: float = LIFT, sure: float = SURE, **tree) -> DataFrame:
     """(key, host, path, rule, verdict, template, bad_share) for every row of ``urls``.
 
     ``labels`` has ``key`` and ``bad`` (0 or 1) for some rows; of several labels of a key the
     worse counts, null labels and null keys are not used.  A rule decides where one fits, else the
-    template: block if its smoothed bad share is ``threshold`` or more, and allow otherwise, also
-    where nothing is labelled.  Null urls and urls without :// have empty host and path, and one
-    template.  Rows that repeat a key count each.  Other columns are ignored.
+    template: block if it has a bad URL and the lower bound of its smoothed bad share has ``lift``
+    times the odds of all labelled URLs or more, and allow otherwise, also where nothing is
+    labelled.  Null urls and urls without :// have empty host and path, and one template.  Rows
+    that repeat a key count each.  Other columns are ignored.
     """
     known = labels.where(F.col("bad").isin(0, 1)).groupBy(F.col(key).alias("k2")).agg(
         F.max("bad").alias("bad"))
@@ -136,17 +154,27 @@ def url_verdicts(urls: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
     rows = rows.join(known, F.col("key") == F.col("k2"), "left").drop("k2")
     rows = path_templates(rows, **tree)
-    counts = rows.groupBy("host", "template").agg(
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"), F.count("bad").alias("n_known"))
+    counts = written(rows.groupBy("host", "template").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"),
+        F.count("bad").alias("n_known")), "template-counts")
     branches = merged_templates(counts)
     total = branches.agg(F.sum("n_bad"), F.sum("n_known")).head()
     prior = (total[0] or 0) / max(total[1] or 0, 1)
     decided = branches.groupBy("host", "branch").agg(
-        ((F.sum("n_bad") + weight * prior) / (F.sum("n_known") + weight)).alias("bad_share"))
-    decided = branches.select("host", "template", "branch").join(decided, ["host", "branch"])
+        F.sum("n_bad").alias("bad"), ((F.sum("n_bad") + weight * prior)
+                                      / (F.sum("n_known") + weight)).alias("bad_share"),
+        (F.sum("n_known") + weight).alias("seen"))
+    lower = F.col("bad_share") - sure * F.sqrt(
+        F.col("bad_share") * (1 - F.col("bad_share")) / F.col("seen"))
+    limit = lift * prior / (1 + (lift - 1) * prior)
+    decided = decided.withColumn("rejected", (F.col("bad") > 0) & (lower >= limit - 1e-12))
+    decided = counts.select("host", "template", "n").join(
+        branches.select("host", "template", "branch"), ["host", "template"]).join(
+        decided.drop("bad", "seen"), ["host", "branch"])
     rule = matching_rule(F.col("host"), F.col("path"), rules)
-    return rows.join(decided, ["host", "template"], "left").withColumn("r", rule).select(
+    return join_groups(rows, written(decided, "template-verdicts"), ["host", "template"]).withColumn(
+        "r", rule).select(
         F.col("key").alias(key), "host", "path", F.col("r.rule").alias("rule"),
-        F.coalesce("r.verdict", F.when(F.col("bad_share") >= threshold, "block")
-                   .otherwise("allow")).alias("verdict"),
+        F.coalesce("r.verdict", F.when(F.col("rejected"), "block").otherwise("allow"))
+        .alias("verdict"),
         F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "bad_share")

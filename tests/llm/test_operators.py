@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohort.llm import (bag_minhash, crf_language, impact_index, nbsvm, packing, sanitise,
                         suffix_dedup, textbytes, url_templates, winnowing)
+from cohort.operators.skew import join_groups
 
 from .conftest import WORDS, prose
 
@@ -124,6 +126,101 @@ def test_templates_generalise_merge_and_reject(spark):
         ("/{blog|news}/#", "allow"), ("/spam/#", "block")}
 
 
+def brute_templates(urls):
+    """The template of each (host, segments), by walking the tree of each host."""
+    out = {}
+
+    def walk(rows, depth, template):
+        groups = {}
+        for row in rows:
+            groups.setdefault(row[1][depth], []).append(row)
+        least = max(3, 0.05 * len(rows))
+        shapes = Counter(re.sub("[0-9]+", "#", r[1][depth]) for r in rows)
+        parts = {}
+        for segment, members in groups.items():
+            shape = re.sub("[0-9]+", "#", segment)
+            part = (segment if len(members) >= least else
+                    shape if shapes[shape] >= least else "*")
+            parts.setdefault(part, []).extend(members)
+        for part, members in parts.items():
+            if len(rows) < 3:
+                for r in members:
+                    out[r] = (*template, "/".join("*" * (len(r[1]) - depth)))
+                continue
+            for r in members:
+                out[r] = (*template, part)
+            further = [r for r in members if len(r[1]) > depth + 1]
+            if further:
+                walk(further, depth + 1, (*template, part))
+
+    for host in {h for h, _ in urls}:
+        walk([(h, p, i) for i, (h, p) in enumerate(urls) if h == host], 0, ())
+    return [out[h, p, i] for i, (h, p) in enumerate(urls)]
+
+
+def brute_branches(counts):
+    """{(host, template): branch}, merged from the deepest level up."""
+    branch = {k: k[1] for k in counts}
+    for d in reversed(range(max(len(t) for _, t in counts))):
+        siblings = {}
+        for (host, t), b in branch.items():
+            if len(b) > d:
+                bad, known = counts[host, t]
+                old = siblings.setdefault((host, b[:d], b[d + 1:]), {}).get(b[d], (0, 0))
+                siblings[host, b[:d], b[d + 1:]][b[d]] = old[0] + bad, old[1] + known
+        names = {}
+        for at, parts in siblings.items():
+            ranked = sorted(((x + 1) / (n + 2), part, n) for part, (x, n) in parts.items())
+            groups = [[ranked[0]]]
+            for one, two in zip(ranked, ranked[1:]):
+                wide = sum(p * (1 - p) / (n + 2) for p, _, n in (one, two)) ** 0.5
+                groups[-1].append(two) if (two[0] - one[0]) / wide <= 1 else groups.append([two])
+            for group in groups:
+                members = sorted(part for _, part, _ in group)
+                for part in members:
+                    names[at, part] = "{" + "|".join(members) + "}" if members[1:] else part
+        branch = {k: b if len(b) <= d else (
+            *b[:d], names[(k[0], b[:d], b[d + 1:]), b[d]], *b[d + 1:]) for k, b in branch.items()}
+    return branch
+
+
+def test_verdicts_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    deep = "/".join(f"d{i}" for i in range(11))
+    urls, bad = [], {}
+    for i in range(900):
+        host = "hot.example" if i % 3 else f"h{rng.randrange(60)}.example"
+        path = rng.choice([f"news/{i}", f"blog/{rng.randrange(9)}/{i}.html", f"spam/{i}/x",
+                           f"{deep}/good/{i}", f"{deep}/junk/{i}", "", f"{i}", f"a{i}b/c"])
+        urls.append((host, tuple(path.split("/"))))
+        if rng.random() < 0.5:
+            worse = "spam" in path or "junk" in path
+            bad[i] = int(rng.random() < (0.9 if worse else 0.1))
+    # nodes of many URLs take the other way
+    monkeypatch.setattr(url_templates, "join_groups", lambda *args: join_groups(*args, hot_rows=100)
+                        if len(args) > 3 else join_groups(*args, size="n", hot_rows=100))
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_templates.url_verdicts(
+        spark.createDataFrame([(i, f"http://{h}/" + "/".join(p)) for i, (h, p) in enumerate(urls)],
+                              "page_id bigint, url string"),
+        spark.createDataFrame(list(bad.items()), "page_id bigint, bad int"), []).collect()}
+    templates, counts = brute_templates(urls), {}
+    for i, (h, _) in enumerate(urls):
+        x, n = counts.get((h, templates[i]), (0, 0))
+        counts[h, templates[i]] = x + bad.get(i, 0), n + (i in bad)
+    branch, sums = brute_branches(counts), {}
+    for (h, t), (x, n) in counts.items():
+        old = sums.get((h, branch[h, t]), (0, 0))
+        sums[h, branch[h, t]] = old[0] + x, old[1] + n
+    prior = sum(bad.values()) / len(bad)
+    for i, (h, p) in enumerate(urls):
+        x, n = sums[h, branch[h, templates[i]]]
+        s = (x + 2 * prior) / (n + 2)
+        block = x and s - 2.33 * (s * (1 - s) / (n + 2)) ** 0.5 >= 2 * prior / (1 + prior)
+        assert got[i] == ("/" + "/".join(branch[h, templates[i]]), "block" if block else "allow")
+        if h == "hot.example":
+            assert got[i][1] == ("block" if {"spam", "junk"} & set(p) else "allow")
+
+
 # --- personal data
 
 PATTERNS = [re.compile(p) for p in (
