@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohort.session import written
+
 HOT_ROWS = 1_000_000
-RANK_BUCKETS_HEX = 3
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str = "n",
@@ -29,26 +30,34 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
 
 
 def global_rank(df: DataFrame, order_key: str, tie: str, within: Sequence[str] = (),
-                name: str = "rank", digits: int = RANK_BUCKETS_HEX) -> DataFrame:
-    """1-based rank in the order of a hex hash key without sorting in one task.
+                name: str = "rank", digits: int | None = None) -> DataFrame:
+    """1-based rank by ``order_key`` and ``tie`` without sorting in one task.
 
-    The leading hex digits of a hash cut the rows into even ranges.  Ranges are counted first;
-    a row's rank is its place in its range plus the sizes of the ranges before it.
+    Sampled splitters deal the rows into even ranges of (``within``, order), whatever the keys look
+    like and however many rows a group has.  The sorted ranges are written once; a row's rank is
+    its place in its range plus the totals of the ranges before it that have its group.  There are
+    ``spark.sql.shuffle.partitions`` ranges, or 16 ** ``digits``; rows of equal order are ranked in
+    any order.
     """
     within = list(within)
-    ranged = df.withColumn("_range", F.substring(order_key, 1, digits))
-    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(
+    order = [*within, order_key, tie]
+    count = 16 ** digits if digits else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()), "ranges")
+    # the id holds the range in its upper bits and the place in it below
+    part = F.shiftright("_at", 33)
+    before = Window.partitionBy(*(f"_w{i}" for i in range(len(within)))).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
-    if not within:
-        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .drop("_n"))
-    place = Window.partitionBy(*within, "_range").orderBy(order_key, tie)
-    ranked = ranged.withColumn("_place", F.row_number().over(place))
-    return (ranked.join(offsets, [*within, "_range"])
-            .withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint"))
-            .drop("_range", "_place", "_before"))
+    offsets = ranged.groupBy(part.alias("_part"), *(
+        F.col(c).alias(f"_w{i}") for i, c in enumerate(within))).agg(
+            F.count("*").alias("_n"), F.min("_at").alias("_first")).withColumn(
+            "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first"))
+    same = part == F.col("_part")
+    for i, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return ranged.join(offsets, same).withColumn(
+        name, (F.col("_at") + F.col("_before")).cast("bigint")).drop(
+        "_at", "_part", "_n", "_first", "_before", *(f"_w{i}" for i in range(len(within))))
 
 
 def smallest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,

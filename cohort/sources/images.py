@@ -77,7 +77,7 @@ def split_manifest(assigned: DataFrame) -> DataFrame:
     while True:
         keyed = named.withColumn("_order", F.concat(
             F.when(renamed, "1").otherwise("0"), seeded_key(0, F.col("path"))))
-        ranked = global_rank(keyed, "_order", "path", ["split", "label", "_name"], "_rank", 4)
+        ranked = global_rank(keyed, "_order", "path", ["split", "label", "_name"], "_rank")
         ranked = written(ranked.drop("_order"), "manifest")
         extension = suffix(F.col("_name"))
         bare = F.substring(F.col("_name"), F.lit(1), F.length("_name") - F.length(extension))

@@ -31,30 +31,49 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_access_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Fields of access-log lines; the others come from :func:`rejected_access_lines`."""
-    # an array in between keeps the nine fields from being split off the line nine times
-    parts = lines.select(F.explode(F.array(_access_fields(column))).alias("p"))
+    # an array in between keeps the fields from being split off the line once each
+    return lines.select(F.explode(F.array(_access_record(column))).alias("p")).where(
+        _complete("p")).select("p.*")
+
+
+def _access_record(column: str) -> Column:
+    """The nine fields as a record, null where the line has another form or no such value exists."""
+    fields = _access_fields(column)
 
     def part(i):
-        return F.get("p", F.lit(i - 1))
+        return F.get(fields, F.lit(i - 1))
 
-    return parts.where(F.size("p") == 9).select(
+    return F.when(F.size(fields) == 9, F.struct(
         part(1).alias("remote_addr"), part(2).alias("remote_user"),
         F.try_to_timestamp(part(3), F.lit(ACCESS_TIME)).alias("ts"), part(4).alias("request"),
-        part(5).cast("int").alias("status"), part(6).cast("bigint").alias("bytes"),
+        part(5).try_cast("int").alias("status"), part(6).try_cast("bigint").alias("bytes"),
         part(7).alias("referer"), part(8).alias("user_agent"),
-        part(9).cast("double").alias("request_time"))
+        part(9).try_cast("double").alias("request_time")))
+
+
+def _complete(record: str) -> Column:
+    """No impossible date and no number that is not one or does not fit."""
+    return F.col(f"{record}.ts").isNotNull() & F.col(f"{record}.status").isNotNull() & F.col(
+        f"{record}.bytes").isNotNull() & F.col(f"{record}.request_time").isNotNull()
 
 
 def _access_fields(column: str) -> Column:
-    """The nine fields of a line in one pass; a line of another form is one field."""
-    joined = F.regexp_replace(column, ACCESS_LINE, "\u0001".join(f"${i}" for i in range(1, 10)))
-    return F.split(joined, "\u0001")
+    """The nine fields of a line in one pass; a line of another form is one field.
+
+    A line that itself holds the sign put between the fields is taken apart field by field.
+    """
+    mark = "\u0001"
+    joined = F.regexp_replace(column, ACCESS_LINE, mark.join(f"${i}" for i in range(1, 10)))
+    singly = F.when(F.rlike(F.col(column), F.lit(ACCESS_LINE)), F.array(*(
+        F.regexp_extract(column, ACCESS_LINE, i) for i in range(1, 10)))).otherwise(
+        F.array(F.col(column)))
+    return F.when(F.col(column).contains(mark), singly).otherwise(F.split(joined, mark))
 
 
 def rejected_access_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """The lines that :func:`parse_access_lines` leaves out, null ones too."""
-    fields = F.coalesce(F.size(_access_fields(column)), F.lit(0))
-    return lines.where(fields != 9).select(column)
+    checked = lines.withColumn("_p", F.explode(F.array(_access_record(column))))
+    return checked.where(~F.coalesce(_complete("_p"), F.lit(False))).select(column)
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:

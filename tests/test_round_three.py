@@ -140,3 +140,40 @@ def test_a_sink_goes_on_where_it_was_stopped(spark, tmp_path):
     feeds.audit_sink(events, out, progress).awaitTermination()
     names_ = [r.event_id for r in logs.read_events(spark, out).collect()]
     assert sorted(names_) == sorted(f"e{i}" for i in range(65)) and 0 < done
+
+
+def test_access_lines_with_odd_signs_and_values(spark):
+    from cohort.sources.logs import parse_access_lines, rejected_access_lines
+
+    def line(request="GET / HTTP/1.1", at="10/Oct/2025:13:55:36 +0000", size="12", rt="0.1", agent="x"):
+        return f'10.0.0.1 - - [{at}] "{request}" 200 {size} "-" "{agent}" rt={rt}'
+
+    good = [line(), line(request="GET /\u0001a"), line(agent="\u0001")]
+    bad = [line(at="31/Feb/2025:13:55:36 +0000"), line(size="9" * 30), line(rt="1.2.3"),
+           "\u0001" * 8, line() + "\u0001", "", None]
+    lines = spark.createDataFrame([(x,) for x in good + bad], "value string")
+    rows = parse_access_lines(lines).collect()
+    assert {(r["request"], r["user_agent"], r["bytes"]) for r in rows} == {
+        ("GET / HTTP/1.1", "x", 12), ("GET /\u0001a", "x", 12), ("GET / HTTP/1.1", "\u0001", 12)}
+    rejected = [r["value"] for r in rejected_access_lines(lines).collect()]
+    assert sorted(map(str, rejected)) == sorted(map(str, bad))
+
+
+def test_rank_by_sampled_splitters(spark):
+    """A group with most rows, null groups, keys that share all leading digits, and no rows."""
+    import random
+
+    from cohort.operators.skew import global_rank
+
+    rng = random.Random(3)
+    keys = [(f"0000{rng.randrange(10**9):09d}", i, rng.choice(["a", "a", "a", "b", None]))
+            for i in range(5000)]
+    frame = spark.createDataFrame(keys, "k string, id bigint, g string").repartition(7)
+    for within in ([], ["g"]):
+        seen, want = {}, {}
+        for k, i, g in sorted(keys):
+            seen[g if within else 0] = want[i] = seen.get(g if within else 0, 0) + 1
+        ranked = global_rank(frame, "k", "id", within, digits=1)
+        assert {r["id"]: r["rank"] for r in ranked.collect()} == want
+        assert ranked.columns == ["k", "id", "g", "rank"]
+    assert global_rank(frame.where("id < 0"), "k", "id").collect() == []
