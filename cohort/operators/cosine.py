@@ -1,32 +1,46 @@
-"""Pairs of vectors with a cosine of at least a threshold, exact and without comparing all.
-
-Angles obey the triangle inequality.  Every vector lives in the cell of its nearest pivot.  If x
-(cell p) and y (cell q) are at most theta apart, then angle(y, p) <= angle(y, q) + 2 theta, so
-y only has to visit the cells for which that holds.  It need not visit a cell further away than
-the cell's radius and theta, nor one numbered below its own, whose members visit y's cell instead.
-Cells are cut into blocks of bounded size and every (cell, home block, visitor block) is its own
-group, so a dense cell is spread too.  Where vectors form no clusters, angles to all pivots are
-alike, every cell of higher number is visited, and half of all pairs are compared.
-Equal vectors are folded into one first.
+"""Pairs of vectors with a cosine of at least a threshold: exact, pruned by a tree of balls.
+
+Angles obey the triangle inequality.  Vectors lie in the ball of their nearest pivot, and within it
+in the sub-ball of the nearest of its own pivots.  Members of two balls can only be within theta if
+the angle of the pivots is at most the two radii and theta, so a sub-ball first meets the balls, and
+then the sub-balls of the balls that it has met.  There are about the square root of (vectors /
+sub-ball size) balls, and as many sub-balls in each.  A sub-ball of very many vectors is cut into
+blocks, and every pair of blocks is its own group.  Equal vectors are folded into one first.
+
+Nothing is left out, so where vectors form no clusters no bound prunes, and half of all pairs are
+compared: that is the worst case, and bytes moved are then the square of the vectors over the size
+of a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.functions.keyed import seeded_key
+from cohort.functions.keyed import seeded_key, seeded_uniform
 from cohort.functions.vectors import unit
+from cohort.operators.skew import join_groups
 from cohort.session import written
 
-PIVOTS = 32
 BLOCK_ROWS = 2_000
+#: Candidates for each pivot, sub-balls of a ball at most (times the balls), and rows of one group
+#: that are placed or compared with pivots at once.
+CANDIDATES, MOST_SUBS, CHUNK = 4, 4, 1_000
 _SLACK = 1e-6
 
 
+class BallTree(NamedTuple):
+    """Vectors with their ball and sub-ball, sub-balls with pivot, radius and size, and the balls."""
+    members: DataFrame
+    leaves: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+
+
 def vector_groups(df: DataFrame, key: str, vector: str) -> DataFrame:
     """One row per distinct direction-bearing vector: first key, members, unit vector."""
     values = F.col(vector).cast("array<double>")
@@ -35,83 +49,180 @@ def vector_groups(df: DataFrame, key: str, vector: str) -> DataFrame:
             .withColumn("v", unit(F.col("v"))).where(F.col("v").isNotNull()))
 
 
-def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int = PIVOTS,
-                 block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
-    """(first1, first2, cosine, pairs) for distinct vectors with a cosine >= threshold.
+def _angles(vectors: pd.Series, points: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(np.stack(vectors.to_list()) @ points.T, -1, 1))
 
-    ``pairs`` is the number of row pairs behind a line, as for fingerprint pairs; the copies
-    inside one vector are a line of their own with ``first1 = first2``.
+
+def _far_apart(points: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` of the points, each the furthest from those before it."""
+    chosen, nearest = [0], points @ points[0]
+    while len(chosen) < min(count, len(points)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, points @ points[chosen[-1]])
+    return points[chosen]
+
+
+def _in_chunks(rows: DataFrame, others: DataFrame, ball: str):
+    """Cogroup rows with the few others of their ball, at most about ``CHUNK`` rows at a time."""
+    # one line per ball
+    sizes = F.broadcast(rows.groupBy(ball).agg(
+        F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in ("v", ball))), F.col("parts"))
+    dealt = rows.join(sizes, ball).withColumn("part", part.cast("int")).drop("parts")
+    copied = others.join(sizes, ball).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.groupBy(ball, "part").cogroup(copied.groupBy(ball, "part"))
+
+
+def ball_tree(groups: DataFrame, pivots: int | None = None, leaf_rows: int = BLOCK_ROWS // 2,
+              seed: int = 42) -> BallTree | None:
+    """The tree over distinct vectors ``groups`` (a written table), None if there are none.
+
+    The driver sees the candidates for the ball pivots, which grow with the square root of the
+    table, and one line per ball.
     """
-    groups = written(groups, "vectors")
-    spark = groups.sparkSession
+    spark, total = groups.sparkSession, groups.count()
+    if not total:
+        return None
     kind = groups.schema["first"].dataType.simpleString()
-    chosen = groups.orderBy(seeded_key(seed, F.col("first")), "first").limit(pivots)
-    points = np.array([row["v"] for row in chosen.select("v").collect()])
-    if not len(points):
-        return spark.createDataFrame([], f"first1 {kind}, first2 {kind}, cosine double, "
-                                         "pairs bigint")
-    theta = float(np.arccos(np.clip(threshold, -1, 1)))
+    count = pivots or int(np.ceil(np.sqrt(total / leaf_rows)))
+    sample = groups.orderBy(seeded_key(seed, F.col("first")), "first").limit(CANDIDATES * count)
+    points = _far_apart(np.array([row["v"] for row in sample.select("v").collect()]), count)
 
-    def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_balls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not frame.empty:
-                angles = np.arccos(np.clip(np.stack(frame["v"].to_list()) @ points.T, -1, 1))
-                yield pd.DataFrame({"cell": angles.argmin(axis=1), "angle": angles.min(axis=1)})
-
-    # one line per pivot
-    radius = np.zeros(len(points))
-    for cell, angle in groups.mapInPandas(distances, "cell int, angle double").groupBy(
-            "cell").agg(F.max("angle")).collect():
-        radius[cell] = angle
+                angles = _angles(frame["v"], points)
+                yield frame[["first", "n", "v"]].assign(ball=angles.argmin(axis=1),
+                                                        angle=angles.min(axis=1))
+
+    near = written(groups.select("first", "n", "v").mapInPandas(
+        to_balls, f"first {kind}, n bigint, v array<double>, ball int, angle double"), "balls")
+    radius, lines = np.zeros(len(points)), []
+    for ball, size, angle in near.groupBy("ball").agg(F.count("*"), F.max("angle")).collect():
+        radius[ball] = angle
+        lines.append((ball, min(-(-size // leaf_rows), MOST_SUBS * count), size))
+    wanted = F.broadcast(spark.createDataFrame(lines, "ball int, subs int, size bigint"))
+    drawn = near.join(wanted, "ball").where(
+        seeded_uniform(seed + 1, F.col("first")) * F.col("size") < F.col("subs") * CANDIDATES)
+    tops = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)],
+                                 "ball int, v array<double>").join(wanted, "ball")
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        chosen = _far_apart(np.stack(frame["v"].to_list()), int(frame["subs"].iloc[0]))
+        return pd.DataFrame({"ball": frame["ball"].iloc[0], "sub": np.arange(len(chosen)),
+                             "v": list(chosen)})
+
+    subs = written(drawn.select("ball", "subs", "v").unionByName(tops.select("ball", "subs", "v"))
+                   .groupBy("ball").applyInPandas(choose, "ball int, sub int, v array<double>"),
+                   "sub-pivots")
+
+    def place(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or pivots.empty:
+            return pd.DataFrame(columns=["first", "n", "v", "ball", "sub", "angle"])
+        angles = _angles(rows["v"], np.stack(pivots["v"].to_list()))
+        return rows[["first", "n", "v", "ball"]].assign(
+            sub=pivots["sub"].to_numpy()[angles.argmin(axis=1)], angle=angles.min(axis=1))
+
+    members = written(_in_chunks(near.drop("angle"), subs, "ball").applyInPandas(
+        place, f"first {kind}, n bigint, v array<double>, ball int, sub int, angle double"),
+        "sub-balls")
+    leaves = written(members.groupBy("ball", "sub").agg(
+        F.count("*").alias("size"), F.max("angle").alias("radius")).join(subs, ["ball", "sub"]),
+        "leaves")
+    return BallTree(members, leaves, points, radius)
+
+
+def leaf_pairs(tree: BallTree, threshold: float) -> DataFrame:
+    """(ball1, sub1, size1, ball2, sub2, size2): sub-balls that may hold a pair, each pair once."""
+    theta = float(np.arccos(np.clip(threshold, -1, 1)))
+    points, radius = tree.pivots, tree.radius
 
-    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met_balls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if frame.empty:
                 continue
-            angles = np.arccos(np.clip(np.stack(frame["v"].to_list()) @ points.T, -1, 1))
-            home = angles.argmin(axis=1)
-            near = angles <= np.minimum(angles.min(axis=1)[:, None] + theta,
-                                        radius[None, :]) + theta + _SLACK
-            near &= np.arange(len(points))[None, :] > home[:, None]
-            near[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(near)
-            out = frame.iloc[row][["first", "n", "v"]].reset_index(drop=True)
-            yield out.assign(cell=cell.astype("int32"), home=home[row] == cell)
-
-    placed = written(groups.mapInPandas(
-        visits, f"first {kind}, n bigint, v array<double>, cell int, home boolean"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count_if("home").alias("homes"),
-                                       F.count("*").alias("visitors"))
-    blocks = sizes.select("cell", F.ceil(F.col("homes") / block_rows).cast("int").alias("rows"),
-                          F.ceil(F.col("visitors") / block_rows).cast("int").alias("columns"))
-    spread = placed.join(F.broadcast(blocks), "cell").where(F.col("rows") > 0)
-    row_block = F.pmod(F.xxhash64("first"), F.col("rows")).cast("int")
-    column_block = F.pmod(F.xxhash64("first"), F.col("columns")).cast("int")
-    homes = (spread.where("home").withColumn("row", row_block)
-             .withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-             .withColumn("side", F.lit(0)))
-    visitors = (spread.withColumn("column", column_block)
-                .withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-                .withColumn("side", F.lit(1)))
-    grid = homes.unionByName(visitors).select("cell", "row", "column", "side", "first", "n", "v",
-                                             "home")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block["side"] == 0], block[block["side"] == 1]
+            own = frame["ball1"].to_numpy()
+            near = _angles(frame["v"], points) <= (
+                frame["radius1"].to_numpy()[:, None] + radius[None, :] + theta + _SLACK)
+            near &= np.arange(len(points))[None, :] >= own[:, None]
+            row, ball = np.nonzero(near)
+            yield frame.iloc[row].assign(ball=ball)
+
+    def met_leaves(visitors: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        names = ["ball1", "sub1", "size1", "ball2", "sub2", "size2"]
+        if visitors.empty or leaves.empty:
+            return pd.DataFrame(columns=names)
+        near = _angles(visitors["v"], np.stack(leaves["v"].to_list())) <= (
+            visitors["radius1"].to_numpy()[:, None] + leaves["radius"].to_numpy()[None, :]
+            + theta + _SLACK)
+        near &= ((visitors["ball1"].to_numpy() < visitors["ball"].to_numpy())[:, None]
+                 | (visitors["sub1"].to_numpy()[:, None] <= leaves["sub"].to_numpy()[None, :]))
+        i, j = np.nonzero(near)
+        one, two = visitors.iloc[i], leaves.iloc[j]
+        columns = [one["ball1"], one["sub1"], one["size1"], two["ball"], two["sub"], two["size"]]
+        return pd.DataFrame({n: c.to_numpy() for n, c in zip(names, columns)})
+
+    visitors = written(tree.leaves.select(
+        F.col("ball").alias("ball1"), F.col("sub").alias("sub1"), F.col("size").alias("size1"),
+        F.col("radius").alias("radius1"), "v").mapInPandas(
+            met_balls, "ball1 int, sub1 int, size1 bigint, radius1 double, v array<double>, "
+                       "ball int"), "visits")
+    return _in_chunks(visitors, tree.leaves, "ball").applyInPandas(
+        met_leaves, "ball1 int, sub1 int, size1 bigint, ball2 int, sub2 int, size2 bigint")
+
+
+def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int | None = None,
+                 block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
+    """(first1, first2, cosine, pairs) for distinct vectors with a cosine >= threshold.
+
+    ``pairs`` is the number of row pairs behind a line, as for fingerprint pairs; the copies
+    inside one vector are a line of their own with ``first1 = first2``.
+    """
+    groups = written(groups, "vectors")
+    kind = groups.schema["first"].dataType.simpleString()
+    tree = ball_tree(groups, pivots, max(block_rows // 2, 1), seed)
+    if tree is None:
+        return groups.sparkSession.createDataFrame(
+            [], f"first1 {kind}, first2 {kind}, cosine double, pairs bigint")
+    met = written(leaf_pairs(tree, threshold), "leaf-pairs")
+
+    def blocks(size):
+        return F.ceil(F.col(size) / block_rows).cast("int")
+
+    def each_block(size):
+        return F.explode(F.sequence(F.lit(0), blocks(size) - 1))
+
+    same = (F.col("ball1") == F.col("ball2")) & (F.col("sub1") == F.col("sub2"))
+    grid = (met.withColumn("block1", each_block("size1")).withColumn("block2", each_block("size2"))
+            .where(~same | (F.col("block1") <= F.col("block2"))).drop("size1", "size2"))
+    members = join_groups(
+        tree.members.drop("angle"), tree.leaves.select("ball", "sub", "size"), ["ball", "sub"],
+        "size").withColumn("block", F.pmod(F.xxhash64("first"), blocks("size")).cast("int"))
+    keys = [f"{name}{side}" for side in (1, 2) for name in ("ball", "sub", "block")]
+
+    def side(k: int):
+        mine = members.select(F.col("ball").alias(f"ball{k}"), F.col("sub").alias(f"sub{k}"),
+                              F.col("block").alias(f"block{k}"), "first", "n", "v")
+        found = grid.join(mine, [f"ball{k}", f"sub{k}", f"block{k}"])
+        return found.toDF(*found.columns).groupBy(*keys)  # both sides read the same tables
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=["first1", "first2", "cosine", "pairs"])
         cosine = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
         i, j = np.nonzero(cosine >= threshold)
         a, b = left["first"].to_numpy()[i], right["first"].to_numpy()[j]
-        # pairs within the cell come both ways, pairs with a visitor once
-        keep = (a < b) | ~right["home"].to_numpy(bool)[j]
+        at = left.iloc[0]
+        # a block meets itself both ways
+        keep = (a < b) | any(at[f"{c}1"] != at[f"{c}2"] for c in ("ball", "sub", "block"))
         swap = b < a
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pd.DataFrame({
             "first1": a[keep], "first2": b[keep], "cosine": cosine[i, j][keep],
             "pairs": (left["n"].to_numpy()[i] * right["n"].to_numpy()[j])[keep]})
 
-    different = grid.groupBy("cell", "row", "column").applyInPandas(
+    different = side(1).cogroup(side(2)).applyInPandas(
         compare, f"first1 {kind}, first2 {kind}, cosine double, pairs bigint")
     copies = groups.where(F.col("n") > 1).select(
         F.col("first").alias("first1"), F.col("first").alias("first2"),

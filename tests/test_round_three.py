@@ -1,13 +1,14 @@
-"""Hash tree of the log, Poisson resampling, mergeable quantiles, pruned reads, restart of a sink."""
+"""Ball tree, hash tree of the log, Poisson resampling, mergeable quantiles, pruned reads, restart of a sink."""
 
 import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohort.operators import audit, prep, timelines
+from cohort.operators import audit, cosine, prep, timelines
 from cohort.session import written
 from cohort.sources import images, logs
 from cohort.streaming import feeds
@@ -177,3 +178,28 @@ def test_rank_by_sampled_splitters(spark):
         assert {r["id"]: r["rank"] for r in ranked.collect()} == want
         assert ranked.columns == ["k", "id", "g", "rank"]
     assert global_rank(frame.where("id < 0"), "k", "id").collect() == []
+
+
+def test_ball_tree_prunes_clusters_and_loses_nothing(spark):
+    """Clustered vectors meet a small share of all pairs; a dense sub-ball is cut into blocks."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    vectors = np.concatenate([np.repeat(centres, 30, axis=0), np.repeat(centres[:1], 600, axis=0)])
+    vectors = vectors + rng.normal(0, 0.03, vectors.shape)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                                  "id bigint, v array<double>")
+    groups = written(cosine.vector_groups(frame, "id", "v"), "vectors")
+    tree = cosine.ball_tree(groups, leaf_rows=20)
+    assert len(tree.pivots) == 10
+    met = cosine.leaf_pairs(tree, 0.99).collect()
+    compared = sum(r.size1 * r.size2 for r in met)
+    n = len(vectors)
+    assert compared < 0.35 * n * n / 2  # the hot cluster alone is 0.12 of all pairs
+    assert len({(r.ball1, r.sub1, r.ball2, r.sub2) for r in met}) == len(met)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.99, 1))
+    found = {(r.first1, r.first2) for r in cosine.cosine_pairs(
+        groups, 0.99, block_rows=40).select("first1", "first2").collect()}
+    assert found == set(zip(i.tolist(), j.tolist()))
+    none = cosine.cosine_pairs(groups.limit(0), 0.9)
+    assert none.columns == ["first1", "first2", "cosine", "pairs"] and none.count() == 0
