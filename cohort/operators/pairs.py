@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohort.functions.bits import risk_tier
@@ -18,6 +20,8 @@ from cohort.session import written
 
 THRESHOLD = 8
 BUCKET_ROWS = 2_000
+#: Fingerprints of a bucket from which it gives a spanning forest instead of its pairs.
+DENSE_ROWS = 64
 
 
 def print_groups(prints: DataFrame, key: str, within: Sequence[str] = ()) -> DataFrame:
@@ -56,6 +60,14 @@ def near_prints(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
     it should be a written table; its bands are cheap to cut again and are not stored.
     """
     bands = Bands(bits, threshold)
+    candidates, keys, refined = _candidates(groups, bands, within, flags, bucket_rows)
+    return _compared(candidates, keys, bands, refined, within, flags, wanted)
+
+
+def _candidates(groups: DataFrame, bands: Bands, within: Sequence[str], flags: Sequence[str],
+                bucket_rows: int) -> tuple[DataFrame, list[str], bool]:
+    """Banded fingerprints in buckets of bounded size, the bucket's keys, and whether any bucket
+    has a second band."""
     keys = [*within, "band", "value"]
     rows = bands.banded(groups, [*within, *flags])
     plain = {"sub": F.lit(-1), "sub_value": F.lit(0).cast("bigint"), "block": F.lit(0),
@@ -74,12 +86,17 @@ def near_prints(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
     else:
         whole = rows.withColumns({c: plain[c] for c in ("sub", "sub_value")})
         candidates = _blocked(whole, keys, bands, bucket_rows)
+    return candidates, [*keys, "sub", "sub_value", "block_low", "block_high"], refined
+
 
+def _compared(candidates: DataFrame, keys: list[str], bands: Bands, refined: bool,
+              within: Sequence[str], flags: Sequence[str], wanted=None) -> DataFrame:
+    """All near pairs of the buckets, each at its first equal band."""
     a, b = candidates.alias("a"), candidates.alias("b")
     condition = F.lit(True)
-    for key in [*keys, "sub", "sub_value", "block_low", "block_high"]:
+    for key in keys:
         condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    condition = condition & (bands.distance() <= threshold) & bands.in_order()
+    condition = condition & (bands.distance() <= bands.threshold) & bands.in_order()
     condition = condition & ((F.col("a.block") != F.col("b.block"))
                              | (F.col("a.block_low") == F.col("a.block_high")))
     if wanted is not None:
@@ -113,6 +130,54 @@ def _blocked(rows: DataFrame, keys: list[str], bands: Bands, bucket_rows: int) -
     return small.unionByName(split)
 
 
+def spanning_links(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
+                   within: Sequence[str] = ("label",), bucket_rows: int = BUCKET_ROWS,
+                   dense_rows: int = DENSE_ROWS) -> DataFrame:
+    """(*within, first1, first2, distance): links that connect all that near pairs connect.
+
+    A neighbourhood of n fingerprints near each other has n * (n - 1) / 2 pairs, but n - 1 links
+    connect it.  A bucket of more than ``dense_rows`` fingerprints, or a pair of its blocks, gives a
+    spanning forest: every near pair shares a bucket, so the forests together connect what all pairs
+    connect.  A fingerprint has about one link in each bucket that holds it: threshold + 1, the
+    square of that with second bands, and one for each further block.  Smaller buckets give their
+    pairs.  A link may come from several buckets; ``groups`` is a written table.
+    """
+    within = list(within)
+    bands = Bands(bits, threshold)
+    candidates, keys, refined = _candidates(groups, bands, within, ["first"], bucket_rows)
+    dense = written(candidates.groupBy(*keys).agg(F.count("*").alias("bucket_n"))
+                    .where(F.col("bucket_n") > dense_rows).select(*keys), "dense-buckets")
+    columns = [*within, "first1", "first2", "distance"]
+    if dense.isEmpty():
+        return _compared(candidates, keys, bands, refined, within, ["first"]).select(*columns)
+    sparse = candidates.join(dense, keys, "left_anti")
+    words = [f"w{i}" for i in range(bands.words)]
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in within), f"first1 {kinds['first']}",
+                        f"first2 {kinds['first']}", "distance int"])
+
+    def forest(bucket: pd.DataFrame) -> pd.DataFrame:
+        prints = bucket[words].to_numpy(np.int64).view(np.uint64)
+        rest, parts = np.arange(len(prints)), []
+        while len(rest):
+            waiting, rest = [rest[0]], rest[1:]
+            while waiting and len(rest):
+                at = waiting.pop()
+                away = np.bitwise_count(prints[rest] ^ prints[at]).sum(axis=1)
+                near = away <= threshold
+                parts.append((np.full(near.sum(), at), rest[near], away[near]))
+                waiting.extend(rest[near])
+                rest = rest[~near]
+        one, two, away = (np.concatenate(p) for p in zip(*parts)) if parts else ([], [], [])
+        names = bucket["first"].to_numpy()
+        return pd.DataFrame({**{c: bucket[c].iloc[0] for c in within}, "first1": names[one],
+                             "first2": names[two], "distance": away}, index=range(len(one)))
+
+    forests = candidates.join(dense, keys, "left_semi").groupBy(*keys).applyInPandas(forest, schema)
+    pairs = _compared(sparse, keys, bands, refined, within, ["first"]).select(*columns)
+    return pairs.unionByName(forests)
+
+
 def within_label_pairs(groups: DataFrame, threshold: int = THRESHOLD, bits: int = 256,
                        within: Sequence[str] = ("label",),
                        bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -9,6 +9,7 @@ from cohort.operators import components, cosine, migration, pairs, splits
 from cohort.plans.inputs import (ASSIGNED_SQL, BITS, CLUSTERS_SQL, DIMENSIONS, DISTANCE,
                                  DOCS_SQL, GROUPS_SQL, PRINTS_SQL, documents, fingerprints,
                                  rounded, table)
+from cohort.operators.skew import join_groups
 from cohort.plans.registry import query
 from cohort.session import scratch_path, written
 from cohort.sources import images
@@ -24,8 +25,9 @@ def label_pairs(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def clustered(spark: SparkSession, folder: str) -> DataFrame:
     """Catalog rows with ``first`` and ``cluster_id``, written."""
     prints = fingerprints(spark, folder)
-    groups, found = label_pairs(prints)
-    return written(components.clusters_from_prints(prints, groups, found, "id"), "clustered")
+    groups = written(pairs.print_groups(prints, "id", ["label"]), "groups")
+    links = written(pairs.spanning_links(groups, DISTANCE, BITS), "links")
+    return written(components.clusters_from_prints(prints, groups, links, "id"), "clustered")
 
 
 def assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,6 +160,22 @@ def pool_clusters(spark, folder):
     return components.build_clusters(pool, links, "id")
 
 
+@query("g1_link_components", f"""WITH {CLUSTERS_SQL}
+SELECT label, print, n AS copies, cluster_id AS component,
+  count(*) OVER (PARTITION BY cluster_id) AS prints FROM groups JOIN root USING (first)""")
+def link_components(spark, folder):
+    """Components of print groups by spanning links; the SQL follows all near pairs."""
+    groups = written(pairs.print_groups(fingerprints(spark, folder), "id", ["label"]), "groups")
+    links = written(pairs.spanning_links(groups, DISTANCE, BITS), "links")
+    found = components.connected_components(links, "first1", "first2").withColumnRenamed(
+        "node", "first")
+    named = groups.join(found, "first", "left").select(
+        "label", "print", F.col("n").alias("copies"),
+        F.coalesce("component", "first").alias("component"))
+    sizes = written(named.groupBy("component").agg(F.count("*").alias("prints")), "sizes")
+    return join_groups(named, sizes, ["component"], "prints")
+
+
 @query("g2_clusters", f"WITH {CLUSTERS_SQL} SELECT id, label, cluster_id FROM clustered")
 def clusters(spark, folder):
     return clustered(spark, folder).select("id", "label", "cluster_id")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohort.operators import audit, cosine, prep, timelines
+from cohort.operators import audit, components, cosine, pairs, prep, timelines
 from cohort.session import written
 from cohort.sources import images, logs
 from cohort.streaming import feeds
@@ -203,3 +203,49 @@ def test_ball_tree_prunes_clusters_and_loses_nothing(spark):
     assert found == set(zip(i.tolist(), j.tolist()))
     none = cosine.cosine_pairs(groups.limit(0), 0.9)
     assert none.columns == ["first1", "first2", "cosine", "pairs"] and none.count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows, dense_rows, most", [(2000, 64, 10), (300, 8, 16)])
+def test_spanning_links_connect_what_all_pairs_connect(spark, bucket_rows, dense_rows, most):
+    """A dense ball of fingerprints gives few links, all of them near, and no lost connection.
+
+    A fingerprint has a link in the forest of each of its 4 bands (of 16 with second bands), and
+    half of ``dense_rows`` pairs in a bucket that is not dense.
+    """
+    rng = np.random.default_rng(8)
+    flips = [1 << i for i in range(64)]
+    base = 0x0123456789ABCDEF
+    prints = {base} | {base ^ a for a in flips} | {base ^ a ^ b for a in flips for b in flips}
+    prints = sorted(prints - {base} | {int(x) for x in rng.integers(1, 1 << 62, 300)})
+    chain = [int(x) for x in rng.integers(1, 1 << 62, 40)]
+    prints += [x ^ 7 for x in chain] + [x ^ 63 for x in chain] + chain
+    rows = [(f"p{i:04}", "ab"[i % 2], f"{x:016x}") for i, x in enumerate(prints)]
+    frame = spark.createDataFrame(rows, "path string, label string, print string")
+    groups = written(pairs.print_groups(frame, "path", ["label"]), "groups")
+    links = written(pairs.spanning_links(groups, 3, 64, bucket_rows=bucket_rows,
+                                           dense_rows=dense_rows), "links")
+    found = {(r.first1, r.first2): r.distance for r in links.collect()}
+    value = {name: np.uint64(int(x, 16)) for name, _, x in rows}
+    label = {name: x for name, x, _ in rows}
+    assert all(label[a] == label[b] and np.bitwise_count(value[a] ^ value[b]) == d <= 3
+               for (a, b), d in found.items())
+    codes, near = np.array([value[r[0]] for r in rows]), 0
+    names, root = [r[0] for r in rows], {r[0]: r[0] for r in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, name in enumerate(names):
+        for j in np.flatnonzero(np.bitwise_count(codes[:i] ^ codes[i]) <= 3):
+            if label[names[j]] == label[name]:
+                near += 1
+                a, b = top(name), top(names[j])
+                root[max(a, b)] = min(a, b)
+    expected = {name: top(name) for name in names if any(name in p for p in found)}
+    parts = {r.node: r.component for r in components.connected_components(
+        links, "first1", "first2").collect()}
+    assert parts == expected
+    assert {n for n in names if top(n) != n} <= set(parts)
+    assert near > 50 * len(prints) and links.count() <= most * len(prints)
