@@ -1,6 +1,6 @@
 """Naive Bayes support vectors: a linear hinge-loss model over n-gram indicators.
 
-Indicators are hashed byte n-grams of the whole text.  Each is scaled by the log ratio of its
+Indicators are hashed n-grams of bytes and words of the whole text.  Each is scaled by the log ratio of its
 smoothed shares in the two classes, and a linear model on the scaled indicators is fitted by dual
 coordinate descent.  A logistic curve fitted to the margins turns them into scores.
 """
@@ -15,10 +15,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohort.llm.textbytes import BYTE_CODE, chunks, mix, word_bounds, word_hashes
+from cohort.llm.textbytes import BYTE_CODE, chunks, mix, run_hashes, word_bounds, word_hashes
 
-#: Hashed indicators, n-gram lengths in bytes, and labelled rows of each class that are fitted.
-BITS, LENGTHS, PER_CLASS = 16, (1, 2, 3), 1500
+#: Hashed indicators, n-gram lengths in bytes and in words, and labelled rows of each class that are fitted.
+BITS, LENGTHS, WORDS, PER_CLASS = 18, (1, 2, 3), (1, 2), 1500
 #: Kinds of bytes: n-grams are taken over these, so that they tell style rather than words.
 _codes = np.arange(256)
 _kind = np.where((_codes >= 97) & (_codes <= 122), ord("a"), _codes)
@@ -36,8 +36,10 @@ class Model(NamedTuple):
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """The indicators of each text: hashed n-grams of bytes and of kinds of bytes, and how many
-    of its word bigrams, in eighths, repeat one word."""
+    """The indicators of each text: hashed n-grams of bytes, of kinds of bytes, and of words."""
+    def slots(total: np.ndarray, n: int) -> np.ndarray:
+        return (mix(total + np.full(1, n, np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+
     grams = []
     for salt, codes in ((1, BYTE_CODE[data]), (2, mix(KIND[data].astype(np.uint64) + np.uint64(9)))):
         total = np.zeros(len(data), np.uint64)
@@ -47,21 +49,21 @@ def indicators(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[
             else:
                 total = codes + np.full(1, salt, np.uint64)
             if n in LENGTHS:
-                grams.append((n, (mix(total + np.full(1, n, np.uint64))
-                                  >> np.uint64(64 - bits)).astype(np.int32)))
+                grams.append((n, slots(total, n)))
     start, end, rows = word_bounds(data, offsets)
     words = word_hashes(data, start, end)
-    n_texts = len(offsets) - 1
-    pair = (rows[1:] == rows[:-1])
-    twice = np.bincount(rows[1:][pair & (words[1:] == words[:-1])], minlength=n_texts)
-    eighth = 8 * twice // np.maximum(np.bincount(rows[1:][pair], minlength=n_texts), 1)
+    runs = []
+    for n in WORDS:  # a text of fewer words has one run of all of them
+        hashed, first = run_hashes(words, rows, n)
+        runs.append((slots(mix(hashed) + np.uint64(3), n),
+                     np.searchsorted(rows[first], np.arange(len(offsets)))))
     out, seen = [], np.zeros(1 << bits, bool)
-    for a, b, k in zip(offsets[:-1], offsets[1:], eighth):
+    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
         seen[:] = False
         for n, hashed in grams:
             seen[hashed[a:max(b - n + 1, a)]] = True
-        seen[:9] = False  # kept for the share of repeats
-        seen[k] = b > a
+        for hashed, of_row in runs:
+            seen[hashed[of_row[k]:of_row[k + 1]]] = True
         out.append(np.flatnonzero(seen).astype(np.int32))
     return out
 

@@ -1,16 +1,19 @@
 """Collocations, whitening and SimHash balls against brute force, and on odd tables."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from cohort.llm import collocations as col
+from cohort.llm import nbsvm
 from cohort.llm import simhash_balls as balls
 from cohort.llm import whitening as white
 
@@ -308,3 +311,40 @@ def test_components_of_odd_rows(odd_docs, no_docs):
     assert (("0" * 16), 1) in by[None]
     assert by[6] == {(min(by[7])[0], 6)} and len(by[11]) == 1
     assert balls.simhash_components(no_docs).collect() == []
+
+
+def test_quality_model_follows_its_method():
+    """Indicators of words, ratios and dual steps against plain loops."""
+    texts = ["a b b", "b c", "", "c c c a", "d", "a d d b"]
+    goal = np.array([1, 0, 1, 0, 1, 0])
+    found = [f for _, data, offsets in nbsvm.chunks(pa.array(texts))
+             for f in nbsvm.indicators(data, offsets)]
+    alone = [f for t in texts for _, data, offsets in nbsvm.chunks(pa.array([t]))
+             for f in nbsvm.indicators(data, offsets)]
+    assert [f.tolist() for f in found] == [f.tolist() for f in alone] and not len(found[2])
+    assert set(found[3]) - set(nbsvm.indicators(*_flat("c a c"))[0]), "c c is an indicator"
+    ratios = nbsvm.log_ratios(found, goal)
+    size = 1 << nbsvm.BITS
+    mass = [size + sum(len(f) for f, g in zip(found, goal) if g == c) for c in (0, 1)]
+    for slot in {int(x) for f in found for x in f}:
+        n = [1 + sum(slot in f for f, g in zip(found, goal) if g == c) for c in (0, 1)]
+        assert abs(ratios[slot] - math.log(n[1] / mass[1] / (n[0] / mass[0]))) < 1e-12
+    weights, bias = nbsvm.dual_descent(found, goal, ratios, rounds=400)
+
+    def primal(w, b):
+        rows = [ratios[f] / max(np.sqrt((ratios[f] ** 2).sum()), 1e-12) for f in found]
+        return 0.5 * (w @ w + b * b) + 0.1 * sum(
+            max(0.0, 1 - (1 if g else -1) * (w[f] @ r + b)) for f, r, g in zip(found, rows, goal))
+
+    best, rng = primal(weights, bias), np.random.default_rng(3)
+    used = np.unique(np.concatenate(found))
+    for scale in (1e-1, 1e-2, 1e-3):
+        for _ in range(40):
+            step = np.zeros(size)
+            step[used] = rng.normal(0, scale, len(used))
+            assert primal(weights + step, bias + rng.normal(0, scale)) >= best - 1e-9
+
+
+def _flat(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
