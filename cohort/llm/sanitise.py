@@ -243,8 +243,8 @@ DDL = ("what int, tkey bigint, n_email bigint, n_ip bigint, n_card bigint, n_pho
        "near boolean, n bigint")
 
 
-def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """(tkey, text) of each distinct text, and how many there are.
+def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tkey, text) of each distinct text, and the written table of their keys.
 
     Texts are only moved to be folded, and only those in the bucket of a text with copies.
     """
@@ -254,7 +254,7 @@ def _distinct_texts(keyed: DataFrame) -> tuple[DataFrame, int]:
     texts = keyed.select("tkey", F.coalesce("text", F.lit("")).alias("text"), bucket)
     once = texts.join(repeated, "bucket", "left_anti")
     folded = texts.join(repeated, "bucket", "left_semi").dropDuplicates(["tkey"])
-    return once.unionByName(folded).drop("bucket"), copies.count()
+    return once.unionByName(folded).drop("bucket"), copies
 
 
 def disclosing_terms(found: DataFrame, total: int, generalise: float, remove: float) -> DataFrame:
@@ -283,11 +283,12 @@ def disclosing_terms(found: DataFrame, total: int, generalise: float, remove: fl
     limit = ((F.col("n_entity") - 1 + WEIGHT) / generalise + 1 - WEIGHT + F.col("texts")
              - F.col("n_entity") + 1e-6)
     most = classes.agg(F.max(limit)).head()[0] or 0.0
-    words = found.where("what = 1").select("tkey", "term", "near", "starts", "ends")
+    words = found.where("what = 1").select("tkey", "term", "near")
     terms = (found.where("what = 2").groupBy("term").agg(F.sum("n").alias("n_term"))
              .where(F.col("n_term") <= most))
     pairs = written(words.join(terms, "term").join(classes, "tkey")
                     .where(F.col("n_term") <= limit), "entity-terms")
+    release(classes)
     counted = written(pairs.groupBy("class", "term", "n_term", "n_entity", "info").agg(
         F.count_distinct("look").alias("n_both"), F.count("*").alias("seen"),
         F.max("near").alias("near")).withColumn(
@@ -304,8 +305,14 @@ def disclosing_terms(found: DataFrame, total: int, generalise: float, remove: fl
         counted.withColumn("told", told).where(F.col("told") >= generalise)
         .select("class", "term", F.when(F.col("told") >= remove, KINDS.index("term"))
                 .otherwise(KINDS.index("general")).alias("kind")), "disclosed")
-    places = pairs.join(disclosed, ["class", "term"]).select(
-        "tkey", "kind", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
+    release(counted)
+    # places are only looked up for terms that disclose, so they do not move with the pairs
+    named = written(pairs.select("tkey", "class", "term").join(disclosed, ["class", "term"])
+                   .groupBy("tkey", "term").agg(F.max("kind").alias("kind")), "disclosing-terms")
+    release(pairs, disclosed)
+    places = found.where("what = 1").select("tkey", "term", "starts", "ends").join(
+        named, ["tkey", "term"]).select(
+            "tkey", "kind", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
     return (places.groupBy("tkey", F.col("at.starts").alias("start"), F.col("at.ends").alias("end"))
             .agg(F.max("kind").alias("kind")).groupBy("tkey")
             .agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
@@ -327,8 +334,10 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
     keyed = docs.select(F.col(key).cast("bigint").alias("id"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"),
                         F.col(text).alias("text"))
-    texts, total = _distinct_texts(keyed)
+    texts, copies = _distinct_texts(keyed)
+    total = copies.count()
     found = written(texts.mapInArrow(_find(reach), DDL), "personal-data")
+    release(copies)
     struct = "array<struct<start:bigint,kind:int,end:bigint>>"
     base = F.arrays_zip(F.col("starts").alias("start"), F.col("kinds").alias("kind"),
                         F.col("ends").alias("end")).cast(struct)
@@ -337,6 +346,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
     held = written(found.where("what = 0").select("tkey", *counts, base.alias("base")).join(
         more, "tkey", "left").select("tkey", *counts, "base", F.array_sort(F.concat(
             "base", F.coalesce(F.col("more").cast(struct), none))).alias("spans")), "text-spans")
+    release(found)
     return keyed.select("id", "tkey").join(held, "tkey", "left").select(
         F.col("id").alias(key), "tkey", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
         F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
