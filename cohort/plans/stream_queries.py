@@ -18,10 +18,12 @@ from cohort.streaming.jobs import run_available, with_end
 
 
 def stream_of(spark, folder, name):
-    """A given table as a file stream."""
+    """A given table, one file or a folder of them, as a file stream.
+
+    The path is a pattern, as a stream takes the plain path of a folder only.
+    """
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
-        folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def closed_stream_of(spark, folder, name, shape):
