@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohort.functions.keyed import hmac_sha256
 from cohort.functions.names import sanitized
+from cohort.session import written
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("action", T.StringType()),
@@ -169,7 +170,9 @@ def leaked_values(log: DataFrame, text: str, values: DataFrame, value: str) -> D
     Values fall into classes by length (1, 2 to 3, 4 to 7, ...).  A class is looked up by its
     shortest length: every piece of that length in the text meets the values that begin with it,
     and what follows is compared in place.  So a text makes about one line per character and
-    class, however many lengths there are.  A value is reported at its first place in a text.
+    class, however many lengths there are.  A line carries the text as far as a value of its class
+    reaches.  Values may be as many as rows, so both joins are merge joins: a broadcast would pass
+    them all through the driver.
     """
     wanted = values.where(F.length(value) > 0).select(F.col(value).alias("leaked")).distinct()
     wanted = wanted.withColumn("_size", F.floor(F.log2(F.length("leaked"))).cast("int"))
@@ -184,12 +187,18 @@ def leaked_values(log: DataFrame, text: str, values: DataFrame, value: str) -> D
             F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))).otherwise(
             F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(
-            F.lit(size).alias("_size"), i.alias("_at"),
-            F.substring(F.col(text), i, F.lit(n)).alias("_piece")))
-
-    keyed = wanted.withColumn("_piece", F.substring(
-        F.col("leaked"), F.lit(1), F.pow(F.lit(2), F.col("_size")).cast("int")))
-    placed = log.withColumn("_p", F.explode_outer(F.concat(*[pieces(s) for s in classes])))
-    found = placed.select("*", "_p.*").drop("_p").join(keyed, ["_size", "_piece"])
-    return found.where(F.instr(F.col(text), F.col("leaked")) == F.col("_at")).drop(
-        "_size", "_at", "_piece")
+            F.lit(size).alias("_size"),
+            F.substring(F.col(text), i, F.lit(2 * n - 1)).alias("_reach")))
+
+    def key(size: str, of: str) -> Column:
+        begins = F.substring(F.col(of), F.lit(1), F.pow(F.lit(2), F.col(size)).cast("int"))
+        return F.xxhash64(size, begins)
+
+    rows = written(log.withColumn("_row", F.monotonically_increasing_id()), "log-rows")
+    placed = rows.select("_row", F.explode(F.concat(*[pieces(s) for s in classes])).alias(
+        "_p")).select("_row", "_p.*").withColumn("_key", key("_size", "_reach"))
+    keyed = wanted.withColumn("_key", key("_size", "leaked")).drop("_size")
+    hits = (placed.join(keyed.hint("merge"), "_key")
+            .where(F.startswith(F.col("_reach"), F.col("leaked")))
+            .select("_row", "leaked").distinct())
+    return rows.join(hits.hint("merge"), "_row").drop("_row")
