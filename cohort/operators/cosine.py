@@ -5,11 +5,15 @@ in the sub-ball of the nearest of its own pivots.  Members of two balls can only
 the angle of the pivots is at most the two radii and theta, so a sub-ball first meets the balls, and
 then the sub-balls of the balls that it has met.  There are about the square root of (vectors /
 sub-ball size) balls, and as many sub-balls in each.  A sub-ball of very many vectors is cut into
-blocks, and every pair of blocks is its own group.  Equal vectors are folded into one first.
+blocks.  Equal vectors are folded into one first.
+
+Blocks stand in the order of the balls, and the order is cut into strips of equal length.  A pair
+of strips is a tile: one task gets the blocks of both that meet there and compares those that may
+hold a pair.  So a vector moves once for every strip that it meets and not for every block; the
+strips follow the cores, and only tables of more than ``TILE_ROWS`` for each strip get more.
 
 Nothing is left out, so where vectors form no clusters no bound prunes, and half of all pairs are
-compared: that is the worst case, and bytes moved are then the square of the vectors over the size
-of a block.
+compared: that is the worst case for time, and a vector is then moved once for every strip.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohort.functions.keyed import seeded_key, seeded_uniform
 from cohort.functions.vectors import unit
@@ -30,6 +36,9 @@ BLOCK_ROWS = 2_000
 #: Candidates for each pivot, sub-balls of a ball at most (times the balls), and rows of one group
 #: that are placed or compared with pivots at once.
 CANDIDATES, MOST_SUBS, CHUNK = 4, 4, 1_000
+#: Tiles for each core, vectors of a strip at most, and result rows that a task holds before it
+#: hands them on (and those of one more pair of blocks).
+TILES, TILE_ROWS, OUT_ROWS = 4, 50_000, 50_000
 _SLACK = 1e-6
 
 
@@ -172,58 +181,111 @@ def leaf_pairs(tree: BallTree, threshold: float) -> DataFrame:
         met_leaves, "ball1 int, sub1 int, size1 bigint, ball2 int, sub2 int, size2 bigint")
 
 
+def _block_places(leaves: DataFrame, block_rows: int) -> DataFrame:
+    """Sub-balls with their number of blocks and ``start``, the rows of the sub-balls before them."""
+    before = Window.orderBy("ball").rowsBetween(Window.unboundedPreceding, -1)
+    # one line per ball
+    balls = F.broadcast(leaves.groupBy("ball").agg(F.sum("size").alias("rows")).select(
+        "ball", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ball_start")))
+    inside = Window.partitionBy("ball").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    return leaves.join(balls, "ball").select(
+        "ball", "sub", "size", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks"),
+        (F.col("ball_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"))
+
+
+def _block_place(block: str):
+    """Names a block by its place in the order, which no other block has."""
+    return F.col("start") + F.expr(f"{block} * size div blocks")
+
+
+def _compared(threshold: float):
+    """Pairs of one tile: its vectors with their blocks, and lines of two blocks to compare."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(batches)
+        kind = tile.schema.field("first").type
+        lines, rows = tile.filter(pc.is_null(tile["v"])), tile.filter(pc.is_valid(tile["v"]))
+        rows = rows.sort_by("block1")
+        if not len(lines) or not len(rows):
+            return
+        values = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vectors = values.reshape(len(rows), -1)
+        names = rows["first"].to_numpy()
+        counts, blocks = rows["n"].to_numpy(), rows["block1"].to_numpy()
+        pairs = [lines[c].to_numpy() for c in ("block1", "block2")]
+        edges = [np.searchsorted(blocks, block, side) for block in pairs for side in ("left", "right")]
+        kept, waiting = [], 0
+        for one, two, a, b, c, d in zip(*pairs, *edges):
+            cosine = vectors[a:b] @ vectors[c:d].T
+            i, j = np.nonzero(cosine >= threshold)
+            found = cosine[i, j]
+            i, j = i + a, j + c
+            swap = names[j] < names[i]
+            if one == two:  # a block meets itself both ways
+                keep = names[i] < names[j]
+                i, j, found, swap = i[keep], j[keep], found[keep], swap[keep]
+            kept.append((np.where(swap, j, i), np.where(swap, i, j), found))
+            waiting += len(i)
+            if waiting >= OUT_ROWS:
+                yield made(kept, names, counts, kind)
+                kept, waiting = [], 0
+        if waiting:
+            yield made(kept, names, counts, kind)
+
+    def made(kept, names, counts, kind: pa.DataType) -> pa.RecordBatch:
+        i, j, found = (np.concatenate(column) for column in zip(*kept))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[i], kind), pa.array(names[j], kind), pa.array(found),
+             pa.array(counts[i] * counts[j])], names=["first1", "first2", "cosine", "pairs"])
+
+    return compare
+
+
 def cosine_pairs(groups: DataFrame, threshold: float = 0.95, pivots: int | None = None,
-                 block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS, seed: int = 42,
+                 tile_rows: int = TILE_ROWS) -> DataFrame:
     """(first1, first2, cosine, pairs) for distinct vectors with a cosine >= threshold.
 
     ``pairs`` is the number of row pairs behind a line, as for fingerprint pairs; the copies
     inside one vector are a line of their own with ``first1 = first2``.
     """
     groups = written(groups, "vectors")
-    kind = groups.schema["first"].dataType.simpleString()
+    spark, kind = groups.sparkSession, groups.schema["first"].dataType.simpleString()
     tree = ball_tree(groups, pivots, max(block_rows // 2, 1), seed)
     if tree is None:
-        return groups.sparkSession.createDataFrame(
+        return spark.createDataFrame(
             [], f"first1 {kind}, first2 {kind}, cosine double, pairs bigint")
-    met = written(leaf_pairs(tree, threshold), "leaf-pairs")
-
-    def blocks(size):
-        return F.ceil(F.col(size) / block_rows).cast("int")
-
-    def each_block(size):
-        return F.explode(F.sequence(F.lit(0), blocks(size) - 1))
-
-    same = (F.col("ball1") == F.col("ball2")) & (F.col("sub1") == F.col("sub2"))
-    grid = (met.withColumn("block1", each_block("size1")).withColumn("block2", each_block("size2"))
-            .where(~same | (F.col("block1") <= F.col("block2"))).drop("size1", "size2"))
-    members = join_groups(
-        tree.members.drop("angle"), tree.leaves.select("ball", "sub", "size"), ["ball", "sub"],
-        "size").withColumn("block", F.pmod(F.xxhash64("first"), blocks("size")).cast("int"))
-    keys = [f"{name}{side}" for side in (1, 2) for name in ("ball", "sub", "block")]
-
-    def side(k: int):
-        mine = members.select(F.col("ball").alias(f"ball{k}"), F.col("sub").alias(f"sub{k}"),
-                              F.col("block").alias(f"block{k}"), "first", "n", "v")
-        found = grid.join(mine, [f"ball{k}", f"sub{k}", f"block{k}"])
-        return found.toDF(*found.columns).groupBy(*keys)  # both sides read the same tables
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["first1", "first2", "cosine", "pairs"])
-        cosine = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
-        i, j = np.nonzero(cosine >= threshold)
-        a, b = left["first"].to_numpy()[i], right["first"].to_numpy()[j]
-        at = left.iloc[0]
-        # a block meets itself both ways
-        keep = (a < b) | any(at[f"{c}1"] != at[f"{c}2"] for c in ("ball", "sub", "block"))
-        swap = b < a
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pd.DataFrame({
-            "first1": a[keep], "first2": b[keep], "cosine": cosine[i, j][keep],
-            "pairs": (left["n"].to_numpy()[i] * right["n"].to_numpy()[j])[keep]})
-
-    different = side(1).cogroup(side(2)).applyInPandas(
-        compare, f"first1 {kind}, first2 {kind}, cosine double, pairs bigint")
+    places = written(_block_places(tree.leaves, block_rows), "places")
+    total = places.agg(F.sum("size")).first()[0]
+    strips = int(np.ceil(max(np.sqrt(2 * TILES * spark.sparkContext.defaultParallelism),
+                             total / tile_rows)))
+    length = max(-(-total // strips), block_rows)
+    strips = -(-total // length)
+
+    def blocks(k: int) -> DataFrame:
+        each = places.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return each.select(F.col("ball").alias(f"ball{k}"), F.col("sub").alias(f"sub{k}"),
+                           _block_place("block").alias(f"block{k}"))
+
+    # sub-balls meet in the order of their places
+    grid = written(
+        leaf_pairs(tree, threshold).select("ball1", "sub1", "ball2", "sub2")
+        .join(blocks(1), ["ball1", "sub1"]).join(blocks(2), ["ball2", "sub2"])
+        .where(F.col("block1") <= F.col("block2"))
+        .select("block1", "block2", *(F.expr(f"int(block{k} div {length})").alias(f"strip{k}")
+                                      for k in (1, 2))), "grid")
+    tiles = written(
+        grid.select("block1", "strip1", "strip2").union(grid.select("block2", "strip1", "strip2"))
+        .groupBy("block1").agg(F.collect_set(F.struct("strip1", "strip2")).alias("tiles")), "tiles")
+    placed = join_groups(tree.members.drop("angle"), places, ["ball", "sub"], "size").withColumn(
+        "block", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int")).select(
+        _block_place("block").alias("block1"), "first", "n", "v")
+    sent = (placed.join(tiles, "block1").withColumn("tile", F.explode("tiles"))
+            .select("tile.strip1", "tile.strip2", "block1", "first", "n", "v"))
+    tile = ["strip1", "strip2"]
+    different = (sent.unionByName(grid, allowMissingColumns=True)
+                 .repartition(strips * strips, *tile).groupBy(*tile)
+                 .applyInArrow(_compared(threshold),
+                               f"first1 {kind}, first2 {kind}, cosine double, pairs bigint"))
     copies = groups.where(F.col("n") > 1).select(
         F.col("first").alias("first1"), F.col("first").alias("first2"),
         F.lit(1.0).alias("cosine"), F.expr("n * (n - 1) div 2").alias("pairs"))
